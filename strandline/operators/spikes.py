@@ -3,10 +3,11 @@
 Each source has a local-level model of the logarithm of its price: the level
 moves by the source's own daily standard deviation, a reading adds little
 noise. A Kalman filter forecasts each reading; an innovation above
-``threshold`` standard deviations is held back from the update. A held-back
-reading whose successors return to the old level within ``back_within`` rows is
-a spike; one whose successors stay is a lasting move, and the filter restarts
-from it. Runs over which the innovations of the noise-free filter vanish are
+``threshold`` of those standard deviations is held back from the update. A
+held-back reading whose successors return to the old level (or where sound
+returns take it) within ``back_within`` rows is a spike, together with the rows
+before the return; one whose successors stay is a lasting move, and the filter
+restarts from it. Runs over which the innovations of the noise-free filter vanish are
 stuck readings. Returns are judged against the filtered level.
 
 The recursion is sequential per source, so a source is cut into segments of
@@ -102,33 +103,42 @@ def judge(price: np.ndarray, ret: np.ndarray, spread: np.ndarray, rule: SpikeRul
     first = np.take_along_axis(y, np.argmax(valid, axis=1)[:, None], axis=1)[:, 0]
     near = np.abs(first - middle) <= rule.threshold * np.sqrt(q)
     x, p = np.where(near, first, middle), q * rule.noise
-    spike, lasting = np.zeros((n, t), bool), np.zeros((n, t), bool)
+    spike = np.zeros((n, t), bool)
+    held = np.zeros((n, t + rule.back_within), bool)  # rows of a spike that has not returned yet
     level, innovation = np.full((n, t), np.nan), np.full((n, t), np.nan)
-    ahead = [(_ahead(y, k, np.nan), _ahead(valid, k, False)) for k in range(1, rule.back_within + 1)]
-    noise = q * rule.noise
+    noise, limit = q * rule.noise, rule.threshold * np.sqrt(q)
+    # the level's own way while a spike lasts, from returns that are sound themselves
+    with np.errstate(invalid="ignore"):
+        way = np.where(np.isfinite(ret) & (np.abs(ret) <= limit[:, None]), ret, 0.0)
+    ahead = [(_ahead(y, k, np.nan), _ahead(valid, k, False), _ahead(way, k, 0.0)) for k in range(1, rule.back_within + 1)]
     for j in range(t):
         p = p + q
         v = y[:, j] - x
-        level[:, j], innovation[:, j] = x, v / np.sqrt(p + noise)
+        level[:, j], innovation[:, j] = x, v / np.sqrt(q)
         with np.errstate(invalid="ignore"):
-            big = valid[:, j] & (np.abs(v) > rule.threshold * np.sqrt(p + noise))
+            big = valid[:, j] & (np.abs(v) > limit) & ~held[:, j]
+        moved = big
         if big.any():
-            back, any_ahead = np.zeros(n, bool), np.zeros(n, bool)
-            for later, there in ahead:
-                with np.errstate(invalid="ignore"):
-                    back |= there[:, j] & (np.abs(later[:, j] - x) <= 0.5 * np.abs(v))
-                any_ahead |= there[:, j]
-            # nothing follows: a move its own return confirms is no spike
+            returns_at, any_ahead, drift = np.zeros(n, np.int64), np.zeros(n, bool), way[:, j].copy()
             with np.errstate(invalid="ignore"):
+                for k, (later, there, step) in enumerate(ahead, 1):
+                    drift += step[:, j]
+                    off = np.minimum(np.abs(later[:, j] - x), np.abs(later[:, j] - x - drift))
+                    returns_at = np.where((returns_at == 0) & there[:, j] & (off <= 0.5 * np.abs(v)), k, returns_at)
+                    any_ahead |= there[:, j]
+                # nothing follows: a move its own return confirms is no spike
                 confirmed = np.abs(ret[:, j] - v) <= 0.5 * np.abs(v)
-            wrong = big & np.where(any_ahead, back, ~confirmed)
-            spike[:, j], lasting[:, j] = wrong, big & ~wrong
+            wrong = big & np.where(any_ahead, returns_at > 0, ~confirmed)
+            for k in range(1, rule.back_within):
+                held[:, j + k] |= wrong & (returns_at > k)
+            spike[:, j], moved = wrong, big & ~wrong
+        spike[:, j] |= held[:, j] & valid[:, j]
         use = valid[:, j] & ~spike[:, j]
-        gain = np.where(lasting[:, j], 1.0, p / (p + noise))
+        gain = np.where(moved, 1.0, p / (p + noise))
         x = np.where(use, x + gain * np.nan_to_num(v), x)
-        p = np.where(use, np.where(lasting[:, j], noise, (1 - gain) * p), p)
+        p = np.where(use, np.where(moved, noise, (1 - gain) * p), p)
     # returns: large ones that the level does not follow, or that come from a wrong price
-    limit = rule.threshold * np.sqrt(q)[:, None]
+    limit = limit[:, None]
     follow, seen = np.where(valid & ~spike, y, np.nan), valid & ~spike
     for k in range(1, rule.back_within + 1):
         later = _ahead(np.where(spike, np.nan, y), k, np.nan)
