@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.scalars import clean_ticker, is_finite
+from strandline.llm.mixing import MixSettings, mix_documents, mix_report, token_table
 from strandline.llm.percentiles import BucketScale, combine, read_percentiles, sketch
 from strandline.llm.topn import top_n
 from strandline.session import table
@@ -44,7 +45,19 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("sweep_id", "ticker", "run_id")
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p5_found": p5_found}
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and actual shares of every plan and source."""
+    tokens = token_table(table(spark, folder, "documents"), MixSettings())
+    return mix_report(tokens, table(spark, folder, "mix_targets"))
+
+
+def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents each plan draws, with tokens and repeats."""
+    tokens = token_table(table(spark, folder, "documents"), MixSettings())
+    return mix_documents(tokens, table(spark, folder, "mix_targets"))
+
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p5_found": p5_found, "p7_shares": p7_shares, "p7_documents": p7_documents}
 
 _TICKER = "upper(trim(ticker, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
 

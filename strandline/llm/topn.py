@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from strandline.functions.scalars import is_finite
 from strandline.session import scratch_table
 
-STATS_SCHEMA = "path string, row_group int, rows bigint, group_no bigint, best double, worst double"
+STATS_SCHEMA = "path string, row_group int, rows bigint, group_key string, best double, worst double"
 
 
 def cluster(frame: DataFrame, groups: Sequence[str], score: str, ties: Sequence[str], path: str, *, row_group_bytes: int = 1 << 20) -> None:
@@ -72,7 +72,7 @@ def _one_value(part: pq.ColumnChunkMetaData, rows: int) -> bool:
 
 
 def row_group_statistics(frame_of_paths: DataFrame, groups: Sequence[str], score: str) -> DataFrame:
-    """The footers' statistics, read by tasks: one row per row group; ``group_no`` is null unless it holds one group."""
+    """The footers' statistics, read by tasks: one row per row group; ``group_key`` is null unless it holds one group."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +84,10 @@ def row_group_statistics(frame_of_paths: DataFrame, groups: Sequence[str], score
                     part = footer.row_group(k)
                     single = all(_one_value(part.column(at[c]), part.num_rows) for c in ("group_no", *groups))
                     value = part.column(at[score]).statistics
-                    rows.append((path, k, part.num_rows, part.column(at["group_no"]).statistics.min if single else None, float(value.min), float(value.max)))
+                    key = repr([(part.column(at[c]).statistics.null_count, part.column(at[c]).statistics.min) if part.column(at[c]).statistics.has_min_max else None for c in groups]) if single else None
+                    rows.append((path, k, part.num_rows, key, float(value.min), float(value.max)))
             columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in STATS_SCHEMA.split(", ")])
 
     return frame_of_paths.mapInArrow(read, STATS_SCHEMA)
@@ -98,8 +99,8 @@ def surviving_row_groups(statistics: DataFrame, n: int) -> DataFrame:
     The bound is the least worst score of a row group that holds that one group
     and at least N distinct items; it comes from statistics alone.
     """
-    bound = statistics.where(F.col("group_no").isNotNull() & (F.col("rows") >= n)).groupBy("group_no").agg(F.min("worst").alias("bound"))
-    joined = statistics.join(bound, "group_no", "left")
+    bound = statistics.where(F.col("group_key").isNotNull() & (F.col("rows") >= n)).groupBy("group_key").agg(F.min("worst").alias("bound"))
+    joined = statistics.join(bound, "group_key", "left")
     return joined.where(F.col("bound").isNull() | (F.col("best") <= F.col("bound"))).drop("bound")
 
 
@@ -124,7 +125,7 @@ def top_n(frame: DataFrame, groups: Sequence[str], score: str, ties: Sequence[st
     listing = spark.createDataFrame([(x,) for x in files], "path string").repartition(min(len(files), 4 * spark.sparkContext.defaultParallelism))
     statistics = row_group_statistics(listing, groups, score)
     alive = surviving_row_groups(statistics, n)
-    plan = alive.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("best", "row_group", "group_no"))).alias("parts"))
+    plan = alive.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("best", "row_group", "group_key"))).alias("parts"))
     columns, order = schema.names, [score, *ties]
 
     def keep_best(state: pa.Table | None, part: pa.Table) -> pa.Table:
@@ -145,14 +146,18 @@ def top_n(frame: DataFrame, groups: Sequence[str], score: str, ties: Sequence[st
         for batch in batches:
             for path, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 file, state = _open(path), None
-                nth: dict[int, float] = {}
+                nth: dict[str, float] = {}
                 for part in parts:
-                    group = part["group_no"]
+                    group = part["group_key"]
                     if group is not None and part["best"] > nth.get(group, np.inf):
                         continue
-                    state = keep_best(state, file.read_row_group(part["row_group"], columns=["group_no", *columns]))
+                    more = file.read_row_group(part["row_group"], columns=["group_no", *columns])
+                    state = keep_best(state, more)
                     if group is not None:
-                        mine = state.filter(pa.compute.equal(state.column("group_no"), group))
+                        mine = state
+                        for c in groups:
+                            only = more.column(c)[0]
+                            mine = mine.filter(pa.compute.equal(mine.column(c), only) if only.is_valid else pa.compute.is_null(mine.column(c)))
                         if mine.num_rows >= n:
                             nth[group] = mine.column(score)[mine.num_rows - 1].as_py()
                 if state is not None:
