@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.scalars import clean_ticker, is_finite
+from strandline.llm.leakage import find_leaks
 from strandline.llm.mixing import MixSettings, mix_documents, mix_report, token_table
 from strandline.llm.percentiles import BucketScale, combine, read_percentiles, sketch
 from strandline.llm.topn import top_n
@@ -45,6 +46,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("sweep_id", "ticker", "run_id")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with every evaluation item it leaks."""
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Wanted and actual shares of every plan and source."""
     tokens = token_table(table(spark, folder, "documents"), MixSettings())
@@ -57,7 +63,7 @@ def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
     return mix_documents(tokens, table(spark, folder, "mix_targets"))
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p5_found": p5_found, "p7_shares": p7_shares, "p7_documents": p7_documents}
+QUERIES = {"p1_percentiles": p1_percentiles, "p5_found": p5_found, "p6_found": p6_found, "p7_shares": p7_shares, "p7_documents": p7_documents}
 
 _TICKER = "upper(trim(ticker, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
 
