@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.scalars import clean_ticker, is_finite
+from strandline.llm.langid import document_languages, label_findings, label_segments
 from strandline.llm.leakage import find_leaks
 from strandline.llm.mixing import MixSettings, mix_documents, mix_report, token_table
 from strandline.llm.percentiles import BucketScale, combine, read_percentiles, sketch
@@ -63,7 +64,23 @@ def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
     return mix_documents(tokens, table(spark, folder, "mix_targets"))
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p5_found": p5_found, "p6_found": p6_found, "p7_shares": p7_shares, "p7_documents": p7_documents}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of the documents whose label is missing or wrong or which mix languages."""
+    documents = table(spark, folder, "documents")
+    return label_findings(documents, document_languages(label_segments(documents)))
+
+
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The language or languages of every document with running text, with a confidence."""
+    return document_languages(label_segments(table(spark, folder, "documents")))
+
+
+def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch of sentences in one language, with a confidence."""
+    return label_segments(table(spark, folder, "documents"))
+
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p5_found": p5_found, "p6_found": p6_found, "p7_shares": p7_shares, "p7_documents": p7_documents, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 
 _TICKER = "upper(trim(ticker, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
 
