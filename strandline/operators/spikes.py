@@ -53,17 +53,36 @@ class SpikeRule:
         return max(self.back_within, self.stuck_rows) + 1
 
 
+#: Natural logarithm of the width of the size classes that the spread is read from.
+CLASS = 0.02
+
+
 def sound_spread(daily: DataFrame) -> DataFrame:
-    """Standard deviation of each source's sound returns, by mergeable aggregates.
+    """Standard deviation of each source's sound returns.
 
-    Returns count as sound within ten robust deviations (median absolute
-    return / 0.6745, from a mergeable quantile summary) of zero, and in a
-    second pass within eight of the standard deviations found so.
+    Returns count as sound within ten robust deviations (median absolute return
+    / 0.6745) of zero, and in a second step within eight of the standard
+    deviations found so. Rows are first summed by source and size class, classes
+    2 % wide; the limits fall on class edges. A source has a few thousand
+    classes at most, whatever its rows.
     """
-    usable = daily.select("ticker", finite_or_null("log_return").alias("r")).where("r is not null and r <> 0")
-    robust = usable.groupBy("ticker").agg((F.percentile_approx(F.abs("r"), 0.5, 2000) / F.lit(0.6745)).alias("robust"))
-    first = usable.join(robust, "ticker").where(F.abs("r") <= 10 * F.col("robust")).groupBy("ticker").agg(F.stddev_samp("r").alias("first"))
-    return usable.join(first, "ticker").where(F.abs("r") <= 8 * F.col("first")).groupBy("ticker").agg(F.stddev_samp("r").alias("spread"))
+    classes = (
+        daily.select("ticker", finite_or_null("log_return").alias("r"))
+        .where("r is not null and r <> 0")
+        .groupBy("ticker", F.floor(F.ln(F.abs("r")) / F.lit(CLASS)).cast("int").alias("size"))
+        .agg(F.count("*").cast("double").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss"))
+    )
+    whole = Window.partitionBy("ticker")
+    upto = whole.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = classes.withColumns({"reached": F.sum("n").over(upto), "all": F.sum("n").over(whole)})
+    out = ranked.withColumn("limit", F.min(F.when(F.col("reached") * 2 >= F.col("all"), F.col("size"))).over(whole) + F.lit(np.log(10 / 0.6745) / CLASS))
+    for factor in (8, None):
+        inside = F.col("size") <= F.col("limit")
+        n, s, ss = (F.sum(F.when(inside, F.col(c))).over(whole) for c in ("n", "s", "ss"))
+        out = out.withColumn("spread", F.when(n > 1, F.sqrt(F.greatest((ss - s * s / n) / (n - 1), F.lit(0.0)))))
+        if factor:
+            out = out.withColumn("limit", F.floor(F.ln(F.col("spread") * factor) / F.lit(CLASS)))
+    return out.groupBy("ticker").agg(F.max("spread").alias("spread"))
 
 
 def _runs(values: np.ndarray, usable: np.ndarray, least: int) -> np.ndarray:
@@ -178,7 +197,8 @@ def find_cases(frame: DataFrame, rule: SpikeRule | None = None) -> DataFrame:
             "ticker", "block", F.coalesce(F.sum("rows").over(Window.partitionBy("ticker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset")
         )
     )
-    spread = sound_spread(daily)
+    # offset and spread reach the rows by block: no source meets itself in one task
+    blocks = blocks.join(sound_spread(daily), "ticker", "left")
     numbered = daily.withColumn("n", F.row_number().over(Window.partitionBy("ticker", "block").orderBy("day"))).join(blocks, ["ticker", "block"])
     n = (F.col("offset") + F.col("n") - 1).alias("n")
     length = F.lit(float(rule.segment))
@@ -192,8 +212,8 @@ def find_cases(frame: DataFrame, rule: SpikeRule | None = None) -> DataFrame:
         )
     )
     segments = (
-        numbered.select("ticker", n, "day", "adj_close", "log_return")
-        .select("ticker", "n", "day", "adj_close", "log_return", F.explode(homes).alias("home"))
+        numbered.select("ticker", n, "day", "adj_close", "log_return", "spread")
+        .select("ticker", "n", "day", "adj_close", "log_return", "spread", F.explode(homes).alias("home"))
         .groupBy("ticker", "home.part")
         .agg(
             F.sort_array(
@@ -202,9 +222,9 @@ def find_cases(frame: DataFrame, rule: SpikeRule | None = None) -> DataFrame:
                 )
             ).alias("rows"),
             F.max("home.own").alias("any_own"),
+            F.max("spread").alias("spread"),
         )
         .where("any_own")
-        .join(spread, "ticker", "left")
         .select("ticker", "spread", *(F.col(f"rows.{x}").alias(x) for x in ("day", "p", "r", "own")))
     )
 
