@@ -74,22 +74,25 @@ def return_summary(returns: DataFrame, keys: Sequence[str] = ("ticker",), annual
 def return_correlation(returns: DataFrame, method: str = "pearson") -> DataFrame:
     """Pairwise-complete correlation of tickers, long form; ranks are taken within each pair's common dates.
 
-    Pairs are of tickers, joined by date: a date has at most one row per ticker.
+    The result is one row per pair of tickers by definition. Tickers join by
+    date, each pair once, and the finished figures are mirrored.
     """
     if method not in ("pearson", "spearman"):
         raise ValueError("method is pearson or spearman")
     a = returns.where(F.col("log_return").isNotNull()).select("date", F.col("ticker").alias("ticker_a"), F.col("log_return").alias("x"))
     b = a.select("date", F.col("ticker_a").alias("ticker_b"), F.col("x").alias("y"))
-    pairs = a.join(b, "date")
+    pairs = a.join(b, "date").where(F.col("ticker_a") <= F.col("ticker_b"))
     if method == "spearman":
         pairs = pairs.withColumns({c: _average_rank(c) for c in ("x", "y")})
     varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
     n = F.count("*").cast("double")
     # written out so that a constant column gives null instead of an error
     covariance = F.sum(F.col("x") * F.col("y")) / n - F.avg("x") * F.avg("y")
-    return pairs.groupBy("ticker_a", "ticker_b").agg(
+    half = pairs.groupBy("ticker_a", "ticker_b").agg(
         F.when(varies, covariance / (F.stddev_pop("x") * F.stddev_pop("y"))).alias("correlation"), F.count("*").alias("dates")
     )
+    sides = F.array(F.struct("ticker_a", "ticker_b"), F.when(F.col("ticker_a") != F.col("ticker_b"), F.struct(F.col("ticker_b").alias("ticker_a"), F.col("ticker_a").alias("ticker_b"))))
+    return half.select(F.explode(F.array_compact(sides)).alias("side"), "correlation", "dates").select("side.*", "correlation", "dates")
 
 
 def _average_rank(column: str) -> Column:

@@ -33,7 +33,7 @@ TREE_SCHEMA = "entity string, shard int, first_day int, last_day int, sums array
 
 @dataclass(frozen=True)
 class TreeLayout:
-    """Shape of the trees: ``leaves`` a power of two above the longest window."""
+    """Shape of the trees: ``leaves`` a power of two of at least twice the longest window."""
 
     windows: tuple[int, ...] = (7, 30)
     leaves: int = 256
@@ -43,8 +43,8 @@ class TreeLayout:
             raise ValueError("leaves must be a power of two")
         if not self.windows or min(self.windows) < 1 or len(set(self.windows)) != len(self.windows):
             raise ValueError("windows must be distinct positive day counts")
-        if self.halo >= self.leaves:
-            raise ValueError("the longest window must fit beside one own day")
+        if self.own < self.halo:
+            raise ValueError("a tree must hold twice the longest window, so that a day is in at most two trees")
 
     @property
     def halo(self) -> int:

@@ -35,8 +35,9 @@ def read_instant(column: Column | str) -> Column:
     text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=T|\s|$)", "$1-$2-$3")
     text = F.regexp_replace(text, r"([T\s])(\d{2})(\d{2})(\d{2})", "$1$2:$3:$4")
     text = F.regexp_replace(text, r"([T\s]\d{2}:\d{2}(?::\d{2})?),(\d+)", "$1.$2")
-    text = F.regexp_replace(text, r"\s*([+-]\d{2}):?(\d{2})?$", "$1:$2")
+    text = F.regexp_replace(text, r"([T\s]\d{2}\S*?)\s*([+-]\d{2}):?(\d{2})?$", "$1$2:$3")
     text = F.regexp_replace(text, r"([T\s].*[+-]\d{2}):$", "$1:00")
+    text = F.regexp_replace(text, r"([T\s]\d{2}:\d{2})(?=\s?(?:Z|UTC|[+-])|$)", "$1:00")
     text = F.when(text.rlike(r"[T\s]\d{2}.*(Z|UTC|[+-]\d{2}:\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
     text = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}Z$"), F.concat(F.substring(text, 1, 10), F.lit("T00:00:00Z"))).otherwise(text)
     return text.try_cast("timestamp")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandline.plans import core_queries
+from strandline.plans import core_queries, panel_queries
 
-QUERIES = dict(core_queries.QUERIES)
-ORACLE = dict(core_queries.ORACLE)
-FLAGSHIP = "p3_found"
+QUERIES = panel_queries.QUERIES | core_queries.QUERIES
+ORACLE = panel_queries.ORACLE | core_queries.ORACLE
+FLAGSHIP = "naive_metrics"
