@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.joins import join_counted
 from strandline.functions.scalars import clean_label
 from strandline.llm.tokens import DEFAULT_VOCABULARY, count_tokens
 from strandline.session import scratch_table
@@ -88,7 +89,7 @@ def pack_blocks(tokens: DataFrame, settings: MixSettings) -> DataFrame:
     usable = tokens.where("source is not null and tokens > 0")
     sizes = usable.groupBy("source").agg(F.ceil(F.sum("tokens") / F.lit(float(settings.bucket))).alias("buckets"))
     place = F.xxhash64("doc_id", F.lit(settings.seed))
-    bucketed = usable.join(sizes, "source").select(
+    bucketed = join_counted(usable, sizes, ["source"]).select(
         "source", F.pmod(place, F.col("buckets")).alias("bucket"), F.xxhash64("doc_id", F.lit(settings.seed + 1)).alias("order"), "doc_id", "tokens"
     )
     along = Window.partitionBy("source", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -102,7 +103,7 @@ def pack_blocks(tokens: DataFrame, settings: MixSettings) -> DataFrame:
     blocks = F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("end") - 1) / length)))
     parts = laid.select("source", "bucket", "doc_id", "start", "end", blocks.alias("k"))
     inside = F.least("end", (F.col("k") + 1) * settings.block) - F.greatest("start", F.col("k") * settings.block)
-    return parts.join(counts, ["source", "bucket"]).select("source", (F.col("first") + F.col("k")).alias("block"), "doc_id", inside.alias("tokens"))
+    return parts.join(counts.hint("merge"), ["source", "bucket"]).select("source", (F.col("first") + F.col("k")).alias("block"), "doc_id", inside.alias("tokens"))
 
 
 def wanted(targets: DataFrame, tokens: DataFrame, settings: MixSettings) -> DataFrame:
@@ -112,7 +113,7 @@ def wanted(targets: DataFrame, tokens: DataFrame, settings: MixSettings) -> Data
     usable = tokens.where("source is not null and tokens > 0")
     buckets = usable.groupBy("source").agg(F.ceil(F.sum("tokens") / F.lit(float(settings.bucket))).alias("buckets"))
     there = (
-        usable.join(buckets, "source")
+        join_counted(usable, buckets, ["source"])
         .groupBy("source", F.pmod(place, F.col("buckets")).alias("bucket"))
         .agg(F.sum("tokens").alias("tokens"))
         .groupBy("source")
@@ -176,7 +177,7 @@ def mix_documents(tokens: DataFrame, targets: DataFrame, settings: MixSettings |
     settings = settings or MixSettings()
     taken = draw_slots(wanted(targets, tokens, settings), settings).groupBy("plan", "source", "block").agg(F.count("*").alias("times"))
     return (
-        taken.join(pack_blocks(tokens, settings), ["source", "block"])
+        taken.join(pack_blocks(tokens, settings).hint("merge"), ["source", "block"])
         .groupBy("plan", "source", "doc_id")
         .agg(F.sum(F.col("times") * F.col("tokens")).alias("tokens"), F.max("times").alias("times"))
     )
