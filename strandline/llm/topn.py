@@ -100,7 +100,7 @@ def surviving_row_groups(statistics: DataFrame, n: int) -> DataFrame:
     and at least N distinct items; it comes from statistics alone.
     """
     bound = statistics.where(F.col("group_key").isNotNull() & (F.col("rows") >= n)).groupBy("group_key").agg(F.min("worst").alias("bound"))
-    joined = statistics.join(bound, "group_key", "left")
+    joined = statistics.join(bound.hint("merge"), "group_key", "left")
     return joined.where(F.col("bound").isNull() | (F.col("best") <= F.col("bound"))).drop("bound")
 
 
@@ -126,6 +126,8 @@ def top_n(frame: DataFrame, groups: Sequence[str], score: str, ties: Sequence[st
     statistics = row_group_statistics(listing, groups, score)
     alive = surviving_row_groups(statistics, n)
     plan = alive.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("best", "row_group", "group_key"))).alias("parts"))
+    # paths are few bytes each: without a number of its own the plan would shrink to one task
+    plan = plan.repartition(len(files), "path")
     columns, order = schema.names, [score, *ties]
 
     def keep_best(state: pa.Table | None, part: pa.Table) -> pa.Table:
