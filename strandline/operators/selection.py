@@ -39,13 +39,18 @@ def selected_predictions(predictions: DataFrame, winners: DataFrame, name: str =
 
 
 def configuration_metrics(runs: DataFrame) -> DataFrame:
-    """Per (ticker, window, units, dropout): sound runs, mean errors, spread and the one parameter count."""
+    """Per (ticker, window, units, dropout): sound runs, mean errors, spread and the one parameter count.
+
+    Sums are rounded to eight decimals before they are divided, so that equal
+    means tie whatever the order of addition.
+    """
     ok = F.col("status") == "ok"
     value = lambda c: F.when(ok & is_finite(c), F.col(c))
+    mean = lambda c: F.when(F.count(value(c)) > 0, F.round(F.sum(value(c)), 8) / F.count(value(c)))
     return runs.groupBy("ticker", "window", "units", "dropout").agg(
         F.count_if(ok).alias("successful_seeds"),
-        F.avg(value("mae_bps")).alias("mean_mae_bps"),
-        F.avg(value("rmse_bps")).alias("mean_rmse_bps"),
+        mean("mae_bps").alias("mean_mae_bps"),
+        mean("rmse_bps").alias("mean_rmse_bps"),
         F.stddev_samp(value("mae_bps")).alias("std_mae_bps"),
         F.max(F.when(ok, F.col("parameter_count"))).alias("parameter_count"),
         (F.min(F.when(ok, F.col("parameter_count"))) == F.max(F.when(ok, F.col("parameter_count")))).alias("one_parameter_count"),

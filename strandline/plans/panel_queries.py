@@ -668,11 +668,11 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     return flat.distinct()
 
 
-_CONFIGS = f"""WITH runs AS ({_RUNS}), c AS (SELECT ticker, "window", units, dropout, CAST(count_if(status = 'ok') AS BIGINT) AS successful_seeds, avg(CASE WHEN status = 'ok' THEN mae_bps END) AS mean_mae_bps, avg(CASE WHEN status = 'ok' THEN rmse_bps END) AS mean_rmse_bps,
+_CONFIGS = f"""WITH runs AS ({_RUNS}), c AS (SELECT ticker, "window", units, dropout, CAST(count_if(status = 'ok') AS BIGINT) AS successful_seeds, round(sum(CASE WHEN status = 'ok' THEN mae_bps END), 8) / nullif(count(CASE WHEN status = 'ok' THEN mae_bps END), 0) AS mean_mae_bps, round(sum(CASE WHEN status = 'ok' THEN rmse_bps END), 8) / nullif(count(CASE WHEN status = 'ok' THEN rmse_bps END), 0) AS mean_rmse_bps,
   stddev_samp(CASE WHEN status = 'ok' THEN mae_bps END) AS std_mae_bps, max(CASE WHEN status = 'ok' THEN parameter_count END) AS parameter_count FROM runs GROUP BY 1, 2, 3, 4)"""
 
 
-@query(f"{_CONFIGS} SELECT * FROM c", mean_mae_bps=9, mean_rmse_bps=9, std_mae_bps=7)
+@query(f"{_CONFIGS} SELECT * FROM c", std_mae_bps=6)
 def configuration_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Mean and spread of each ticker's configurations over sound runs."""
     return selection.configuration_metrics(runs(spark, folder)).drop("one_parameter_count")
@@ -681,7 +681,6 @@ def configuration_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""{_CONFIGS} SELECT ticker, "window", units, dropout, successful_seeds, mean_mae_bps, parameter_count, 'lstm' AS model FROM c WHERE mean_mae_bps IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY mean_mae_bps, mean_rmse_bps NULLS FIRST, std_mae_bps NULLS FIRST, parameter_count, "window", units, dropout) = 1""",
-    mean_mae_bps=9,
 )
 def lstm_select(spark: SparkSession, folder: str) -> DataFrame:
     """The best configuration of each ticker, ties settled by error, size and settings."""
