@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings dataset manifest dataset_snapshots run_metrics eval_items mix_targets".split()
 
@@ -22,6 +23,9 @@ def assert_same(spark, folder, query, sql):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert len(got) == len(want)
+    for c in columns:
+        if pd.api.types.is_numeric_dtype(got[c]) != pd.api.types.is_bool_dtype(got[c]) or pd.api.types.is_numeric_dtype(want[c]) != pd.api.types.is_bool_dtype(want[c]):
+            got[c], want[c] = (pd.to_numeric(x[c]).astype("float64") for x in (got, want))
     text = lambda frame: frame[columns].astype(str).replace({"NaT": "None", "<NA>": "None", "nan": "None"}).sort_values(columns).reset_index(drop=True)
     a, b = text(got), text(want)
     different = (a != b).any(axis=1)
