@@ -126,8 +126,8 @@ def top_n(frame: DataFrame, groups: Sequence[str], score: str, ties: Sequence[st
     statistics = row_group_statistics(listing, groups, score)
     alive = surviving_row_groups(statistics, n)
     plan = alive.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("best", "row_group", "group_key"))).alias("parts"))
-    # paths are few bytes each: without a number of its own the plan would shrink to one task
-    plan = plan.repartition(len(files), "path")
+    # paths are few bytes each: by size the plan would shrink to one task; by path it would be merged with the grouping
+    plan = plan.repartition(len(files))
     columns, order = schema.names, [score, *ties]
 
     def keep_best(state: pa.Table | None, part: pa.Table) -> pa.Table:
