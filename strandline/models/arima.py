@@ -50,22 +50,30 @@ def _filter(y: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarr
     """(sum of scaled squares, sum of log variances, one-step forecast, its scaled variance) of each row's model of ``y`` (m, n)."""
     t, noise, p = _system(phi, theta)
     m, n = y.shape
-    a = np.zeros((m, t.shape[1]))
+    a = np.zeros((m, t.shape[1], 1))
     squares, logs = np.zeros(m), np.zeros(m)
-    steady = False
-    for j in range(n):
-        if not steady:
-            f = p[:, 0, 0]
-            gain = np.einsum("mij,mj->mi", t, p[:, :, 0]) / f[:, None]
-            following = np.einsum("mij,mjk,mlk->mil", t, p, t) + noise - gain[:, :, None] * gain[:, None, :] * f[:, None, None]
-            steady = j > 5 and np.abs(following - p).max() < 1e-11
-            p = following
-            logf = np.log(f)
-        v = y[:, j] - a[:, 0]
+    j, steady = 0, False
+    while j < n and not steady:
+        f = p[:, 0, 0]
+        gain = t @ p[:, :, :1] / f[:, None, None]
+        following = t @ p @ t.transpose(0, 2, 1) + noise - gain @ gain.transpose(0, 2, 1) * f[:, None, None]
+        steady = j > 5 and np.abs(following - p).max() < 1e-11
+        p = following
+        v = y[:, j] - a[:, 0, 0]
         squares += v * v / f
-        logs += logf
-        a = np.einsum("mij,mj->mi", t, a) + gain * v[:, None]
-    return squares, logs, a[:, 0], p[:, 0, 0]
+        logs += np.log(f)
+        a = t @ a + gain * v[:, None, None]
+        j += 1
+    if j < n:
+        # the gain stands still: one product a step
+        closed, rest = t.copy(), np.empty((m, n - j))
+        closed[:, :, 0] -= gain[:, :, 0]
+        for k in range(j, n):
+            rest[:, k - j] = a[:, 0, 0]
+            a = closed @ a + gain * y[:, k, None, None]
+        squares += ((y[:, j:] - rest) ** 2).sum(axis=1) / f
+        logs += (n - j) * np.log(f)
+    return squares, logs, a[:, 0, 0], p[:, 0, 0]
 
 
 @dataclass(frozen=True)
@@ -95,6 +103,8 @@ class ArimaFit:
     def forecast(self, values: np.ndarray) -> float:
         """One step beyond ``values``."""
         y = np.diff(values, n=self.order[1]) if self.order[1] else np.asarray(values, float)
+        if not len(self.phi) and not len(self.theta):
+            return self.constant + sum(float(np.diff(values, n=k)[-1]) for k in range(self.order[1]))
         _, _, ahead, _ = _filter((y - self.constant)[None], self.phi[None], self.theta[None])
         out = self.constant + float(ahead[0])
         for k in range(self.order[1] - 1, -1, -1):

@@ -17,6 +17,7 @@ from strandline.operators.contracts import enforce, key_difference, model_input,
 from strandline.operators.returns import by_date, eligible_origins
 from strandline.operators.sequences import lag_sequences
 from strandline.schema import PREDICTION_COLUMNS, PREDICTION_DDL, PREDICTION_KEYS, TOLERANCE_RESIDUAL, NetworkConfig
+from strandline.session import spread
 
 SEARCH_DDL = "ticker string, p int, d int, q int, aic double, bic double, converged boolean, status string"
 RUN_DDL = "ticker string, window int, units int, dropout double, seed int, status string, best_epoch int, parameter_count int, mae_bps double, rmse_bps double, error string"
@@ -92,7 +93,7 @@ def walk_forward(
         .groupBy("ticker", "chunk")
         .agg(F.sort_array(F.collect_list(F.struct("date", "target_date", "split", "target_return", "history"))).alias("origins"), F.max("history").cast("int").alias("reach"))
     )
-    work = chunks.join(series, "ticker").select("ticker", "chunk", "origins", F.slice("series.log_return", 1, F.col("reach")).alias("returns")).repartition("ticker", "chunk")
+    work = chunks.join(series, "ticker").select("ticker", "chunk", "origins", F.slice("series.log_return", 1, F.col("reach")).alias("returns"))
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
@@ -107,7 +108,7 @@ def walk_forward(
                     rows.append((o["date"], o["target_date"], ticker, o["split"], name, o["target_return"], forecast))
             yield pd.DataFrame(rows, columns=list(PREDICTION_COLUMNS))
 
-    return work.mapInPandas(run, PREDICTION_DDL)
+    return spread(work, "ticker", "chunk").mapInPandas(run, PREDICTION_DDL)
 
 
 def arima_fitter(orders: dict[str, tuple[int, int, int]]) -> Fitter:
@@ -136,7 +137,7 @@ def search_orders(dataset: DataFrame, most_p: int = 5, most_q: int = 5, d: int =
     """AIC and BIC of every order of the grid per ticker; failures are statuses, not errors."""
     series = dataset.where(F.col("split").isin(*splits)).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", "log_return"))).alias("series"))
     grid = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in range(most_p + 1) for q in range(most_q + 1))))
-    work = series.select("ticker", F.col("series.log_return").alias("returns"), grid.alias("order")).repartition("ticker", "order")
+    work = series.select("ticker", F.col("series.log_return").alias("returns"), grid.alias("order"))
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
@@ -152,7 +153,7 @@ def search_orders(dataset: DataFrame, most_p: int = 5, most_q: int = 5, d: int =
                 rows.append((ticker, p, d, q, got.aic, got.bic, got.converged, status))
             yield pd.DataFrame(rows, columns=[x.strip().split()[0] for x in SEARCH_DDL.split(",")])
 
-    return work.mapInPandas(run, SEARCH_DDL)
+    return spread(work, "ticker", "order").mapInPandas(run, SEARCH_DDL)
 
 
 def grid_schedule(tickers: DataFrame, configs: Sequence[NetworkConfig], seeds: Sequence[int]) -> DataFrame:
@@ -181,7 +182,7 @@ def run_grid(
     data = rows.groupBy("ticker").agg(
         F.sort_array(F.collect_list(F.struct("date", "target_date", "split", "features", "target_return"))).alias("rows")
     )
-    work = runs.join(data, "ticker").repartition("ticker", "window", "units", "dropout", "seed")
+    work = spread(runs.join(data, "ticker"), "ticker", "window", "units", "dropout", "seed")
     one = "struct<date:date,target_date:date,ticker:string,split:string,model:string,actual_return:double,predicted_return:double>"
     schema = f"{RUN_DDL}, predictions array<{one}>"
     columns = [x.strip().split()[0] for x in RUN_DDL.split(",")] + ["predictions"]

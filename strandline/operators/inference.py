@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandline.functions.tails import normal_two_sided_p
 from strandline.operators.metrics import POOLED
 from strandline.schema import BPS, COMPARISONS, InferenceConfig
+from strandline.session import spread
 
 INTERVAL_DDL = (
     "ticker string, metric string, candidate string, comparator string, observations bigint, estimate double, "
@@ -170,4 +171,4 @@ def bootstrap_intervals(predictions: DataFrame, config: InferenceConfig | None =
         )
 
     total = scopes.agg(F.count("*").alias("scope_count"))
-    return ranked.join(F.broadcast(total)).groupBy("scope", "pair_no", "scope_count").applyInPandas(interval, INTERVAL_DDL)  # one row
+    return spread(ranked.join(F.broadcast(total)), "scope", "pair_no", "scope_count").groupBy("scope", "pair_no", "scope_count").applyInPandas(interval, INTERVAL_DDL)  # one row

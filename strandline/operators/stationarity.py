@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from strandline.session import spread
+
 REPORT_DDL = (
     "ticker string, series string, regression string, test string, statistic double, p_value double, lags int, observations int, "
     "critical_1pct double, critical_5pct double, critical_10pct double, stationary_at_5pct boolean"
@@ -122,4 +124,4 @@ def stationarity_report(series: DataFrame) -> DataFrame:
             rows.append((pdf["ticker"].iloc[0], name, regression, label, statistic, p, lags, n, *critical, bool(p < 0.05 if label == "ADF" else p >= 0.05)))
         return pd.DataFrame(rows, columns=[x.strip().split()[0] for x in REPORT_DDL.split(",")])
 
-    return series.groupBy("ticker", "series").applyInPandas(test, REPORT_DDL)
+    return spread(series, "ticker", "series").groupBy("ticker", "series").applyInPandas(test, REPORT_DDL)

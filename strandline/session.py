@@ -58,3 +58,14 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_table(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder for a table written on the way."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key over a fixed number of tasks, for work that is long and data that is small.
+
+    Partitions by key alone are merged by their bytes, which says nothing of
+    hours of fitting; a repartition with a number of its own is not.
+    """
+    spark = frame.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return frame.repartition(tasks, *keys)
