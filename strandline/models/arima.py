@@ -15,6 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
+#: Steps that are taken at once when the gain stands still.
+BLOCK = 48
+
+
 class FitError(ValueError):
     """The model could not be fitted."""
 
@@ -68,7 +72,23 @@ def _filter(y: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarr
         # the gain stands still: one product a step
         closed, rest = t.copy(), np.empty((m, n - j))
         closed[:, :, 0] -= gain[:, :, 0]
-        for k in range(j, n):
+        k = j
+        if n - j > 4 * BLOCK:
+            # a block of steps at once: what the state at its start and each of its readings do to each of its forecasts
+            powers = [np.broadcast_to(np.eye(t.shape[1]), t.shape)]
+            for _ in range(BLOCK):
+                powers.append(closed @ powers[-1])
+            reach = np.stack([x[:, 0, :] for x in powers[:BLOCK]], axis=1)
+            carry = np.concatenate([x @ gain for x in reversed(powers[:BLOCK])], axis=2)
+            echo = np.concatenate([np.zeros((m, 1)), carry[:, 0, ::-1]], axis=1)
+            lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+            within = np.where(lag > 0, echo[:, np.maximum(lag, 0)], 0.0)
+            while k + BLOCK <= n:
+                part = y[:, k : k + BLOCK, None]
+                rest[:, k - j : k - j + BLOCK] = (reach @ a + within @ part)[:, :, 0]
+                a = powers[BLOCK] @ a + carry @ part
+                k += BLOCK
+        for k in range(k, n):
             rest[:, k - j] = a[:, 0, 0]
             a = closed @ a + gain * y[:, k, None, None]
         squares += ((y[:, j:] - rest) ** 2).sum(axis=1) / f

@@ -119,3 +119,13 @@ def test_network_refusals():
         net.predict(x)
     with pytest.raises(ValueError):
         TrainingConfig(epochs=0)
+
+
+def test_blocks_of_the_recursion_do_not_show(monkeypatch):
+    from strandline.models import arima
+
+    y, phi, theta = ar1(0.5, 500)[None].repeat(2, 0), np.array([[0.5, -0.2], [0.1, 0.3]]), np.array([[0.4], [-0.6]])
+    fast = arima._filter(y, phi, theta)
+    monkeypatch.setattr(arima, "BLOCK", 10_000)
+    for a, b in zip(fast, arima._filter(y, phi, theta), strict=True):
+        assert a == pytest.approx(b, rel=1e-10)
