@@ -204,3 +204,65 @@ def validate_shortlist(shortlist: DataFrame, size: int = 3) -> None:
 def validate_assignments(assignments: DataFrame) -> None:
     enforce(assignments, {"unknown_regime": F.col("regime").isin("low", "medium", "high"), "not_finite": is_finite("volatility")})
     enforce_unique(assignments, list(PREDICTION_KEYS))
+
+
+def parse_dates(frame: DataFrame, columns: Sequence[str] = ("date", "target_date"), *, validate: bool = False) -> DataFrame:
+    """Text or timestamp columns as dates; unreadable text becomes null, or an error with ``validate``."""
+    parsed = frame.withColumns({c: F.col(c).try_cast("date") for c in columns})
+    if validate:
+        enforce(parsed, {f"{c}_unreadable": F.col(c).isNotNull() for c in columns}, allow_empty=True)
+    return parsed
+
+
+def validate_schedule(predictions: DataFrame, expected: DataFrame, keys: Sequence[str] = PREDICTION_KEYS) -> None:
+    """Predictions are exactly the expected rows: no key missing, none too many, none twice."""
+    enforce_unique(predictions, list(keys))
+    if key_difference(predictions, expected, list(keys)).limit(1).count():
+        raise ValueError("predictions differ from the schedule")
+
+
+def validate_test_component(predictions: DataFrame, model: str, tickers: Sequence[str], span: tuple, *, every_ticker: bool = True) -> None:
+    """One model's test forecasts: exact columns, sound rows, known tickers, each from the first to the last test date."""
+    require_columns(predictions, PREDICTION_COLUMNS, exact=True)
+    validate_predictions(predictions, ("test",))
+    enforce(predictions, {"other_model": F.col("model") == model, "unknown_ticker": F.col("ticker").isin(*tickers)})
+    spans = predictions.groupBy("ticker").agg(F.min("target_date").alias("first"), F.max("target_date").alias("last"))
+    if spans.where((F.col("first") != F.lit(span[0])) | (F.col("last") != F.lit(span[1]))).limit(1).count():
+        raise ValueError("a ticker does not span the test dates")
+    if every_ticker and spans.count() != len(set(tickers)):
+        raise ValueError("a ticker is missing")
+
+
+def validate_grid_data(dataset: DataFrame, tickers: Sequence[str], splits: Sequence[str] = ("train", "validation")) -> DataFrame:
+    """The rows a grid is evaluated on; every ticker must have every split."""
+    rows = dataset.where(F.col("ticker").isin(*tickers) & F.col("split").isin(*splits))
+    if rows.select("ticker", "split").distinct().count() != len(set(tickers)) * len(set(splits)):
+        raise ValueError("a ticker lacks a split")
+    return rows
+
+
+def run_checks() -> dict[str, Column]:
+    """Checks of a run table: sound runs have figures and no error, others an error and no figures."""
+    ok, figures = F.col("status") == "ok", is_finite("mae_bps") & is_finite("rmse_bps")
+    return {
+        "unknown_status": F.col("status").isin("ok", "failed", "non_finite", "diverged"),
+        "sound_run_without_figures": ~ok | (figures & (F.col("mae_bps") >= 0) & (F.col("rmse_bps") >= 0) & (F.col("best_epoch") >= 1) & (F.col("parameter_count") >= 1) & F.col("error").isNull()),
+        "failed_run_without_error": ok | (F.col("error").isNotNull() & F.col("best_epoch").isNull()),
+    }
+
+
+def validate_runs(runs: DataFrame) -> None:
+    enforce(runs, run_checks())
+    enforce_unique(runs, ["ticker", "window", "units", "dropout", "seed"])
+
+
+def validate_seed_groups(predictions: DataFrame, tickers: Sequence[str], seeds: Sequence[int]) -> None:
+    """Every ticker has forecasts of exactly the given seeds, on the same observations."""
+    keys = list(PREDICTION_KEYS)
+    enforce_unique(predictions, [*keys, "seed"])
+    grouped = predictions.groupBy(*keys).agg(F.sort_array(F.collect_set("seed").cast("array<int>")).alias("seeds"), F.countDistinct("actual_return").alias("actuals"))
+    want = F.array(*map(F.lit, sorted(set(seeds))))
+    if grouped.where((F.col("seeds") != want) | (F.col("actuals") > 1)).limit(1).count():
+        raise ValueError("seeds are not aligned")
+    if {r[0] for r in predictions.select("ticker").distinct().collect()} != set(tickers):
+        raise ValueError("tickers differ from the protocol")

@@ -165,13 +165,13 @@ def grid_schedule(tickers: DataFrame, configs: Sequence[NetworkConfig], seeds: S
 
 
 def run_grid(
-    dataset: DataFrame, configs: Sequence[NetworkConfig], seeds: Sequence[int], *, training: TrainingConfig | None = None, done: DataFrame | None = None, evaluate: str = "validation"
+    dataset: DataFrame, configs: Sequence[NetworkConfig], seeds: Sequence[int], *, training: TrainingConfig | None = None, done: DataFrame | None = None, evaluate: str = "validation", strict: bool = False
 ) -> DataFrame:
     """Trains every scheduled run that ``done`` lacks; one row per run with its predictions.
 
     A run scales on the training split, finds its best epoch on the last fifth of
     it, refits on all of it and predicts ``evaluate``. Runs are tasks of their
-    own; a failed run is a row with its error.
+    own; a failed run is a row with its error, or ends the job with ``strict``.
     """
     training = training or TrainingConfig()
     runs = grid_schedule(dataset, configs, seeds)
@@ -209,10 +209,12 @@ def run_grid(
                 for r, v in zip([r for r, keep in zip(run["rows"], learn, strict=True) if not keep], predicted, strict=True)
             ]
             return (*key, "ok", best, config.parameters, float(np.abs(error).mean() * 1e4), float(np.sqrt((error**2).mean()) * 1e4), None, got)
-        except NonFiniteError as error:
-            return (*key, "non_finite", None, None, None, None, str(error), [])
         except ValueError as error:
-            return (*key, "failed", None, None, None, None, str(error), [])
+            if strict:
+                raise
+            if not isinstance(error, NonFiniteError):
+                return (*key, "failed", None, None, None, None, str(error), [])
+            return (*key, "non_finite", None, None, None, None, str(error), [])
 
     def run_all(batches):  # noqa: ANN001, ANN202
         for pdf in batches:

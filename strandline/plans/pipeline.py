@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.models.lstm import TrainingConfig
-from strandline.operators import forecast, inference, metrics, regimes, returns, selection
+from strandline.operators import contracts, forecast, inference, metrics, regimes, returns, selection
 from strandline.schema import DATASET_COLUMNS, NetworkConfig, Protocol
 from strandline.sources.checkpoint import CheckpointStore, content_digest, fingerprint
 
@@ -47,10 +47,12 @@ def run_final(
     every = ("train", "validation", "test")
     arima = store.run_named("arima", {t: (lambda t=t: forecast.walk_forward(own(dataset, t), forecast.arima_fitter(dict(orders)), "arima", splits=every, history_splits=every, warm_up=protocol.warm_up)) for t in protocol.tickers})
     residuals = returns.residual_chain(arima, dataset).drop("contiguous")
-    train = lambda data, config: forecast.run_predictions(forecast.run_grid(data, [config], list(seeds), training=training, evaluate="test"))
+    train = lambda data, config: forecast.run_predictions(forecast.run_grid(data, [config], list(seeds), training=training, evaluate="test", strict=True))
     lstm = store.run_named("lstm", {t: (lambda t=t: train(own(dataset, t), networks[t])) for t in protocol.tickers})
     second = store.run_named("residual", {t: (lambda t=t: train(own(residuals, t), residual_networks[t])) for t in protocol.tickers})
     arima_test = arima.where("split = 'test'")
+    for seeded in (lstm, second):
+        contracts.validate_seed_groups(seeded.where("split = 'test'"), protocol.tickers, seeds)
     joint = forecast.hybrid(arima_test, selection.ensemble(second, "residual_lstm"))
     keys = joint.select("date", "target_date", "ticker", "split")
     naive = forecast.predict_by_column(dataset, forecast.Naive(), ("test",))

@@ -227,6 +227,53 @@ def test_contract_refusals(spark):
     assert "target_return" not in contracts.model_input(data).columns
 
 
+def test_components_schedules_and_seeds(spark):
+    data = returns.model_dataset(panel(spark), SPLITS)
+    naive = forecast.predict_by_column(data, forecast.Naive(), ("test",))
+    span = (day(20), day(59))
+    contracts.validate_test_component(naive, "naive_zero", ["AAA", "BBB"], span)
+    contracts.validate_schedule(naive, data.where("split = 'test'"))
+    for args in ((naive.select(*reversed(naive.columns)), "naive_zero", ["AAA", "BBB"], span), (naive, "other", ["AAA", "BBB"], span), (naive, "naive_zero", ["AAA"], span), (naive, "naive_zero", ["AAA", "BBB", "CCC"], span), (naive.where(f"date > '{day(25)}'"), "naive_zero", ["AAA", "BBB"], span)):
+        with pytest.raises(ValueError):
+            contracts.validate_test_component(*args)
+    with pytest.raises(ValueError):
+        contracts.validate_schedule(naive.where(f"date <> '{day(30)}'"), data.where("split = 'test'"))
+    assert contracts.validate_grid_data(data, ["AAA"]).select("ticker").distinct().count() == 1
+    with pytest.raises(ValueError):
+        contracts.validate_grid_data(data, ["AAA", "CCC"])
+    seeded = naive.withColumn("seed", forecast.F.explode(forecast.F.array(forecast.F.lit(0), forecast.F.lit(1))))
+    contracts.validate_seed_groups(seeded, ["AAA", "BBB"], [0, 1])
+    for frame, tickers, seeds in ((seeded, ["AAA"], [0, 1]), (seeded, ["AAA", "BBB"], [0, 1, 2]), (seeded.where(f"seed = 0 or date <> '{day(30)}'"), ["AAA", "BBB"], [0, 1])):
+        with pytest.raises(ValueError):
+            contracts.validate_seed_groups(frame, tickers, seeds)
+
+
+def test_dates_and_runs(spark):
+    rows = [("2020-01-01", "2020-01-02 05:00:00"), ("soon", None)]
+    frame = spark.createDataFrame(rows, "date string, target_date string")
+    assert [tuple(r) for r in contracts.parse_dates(frame).collect()] == [(D, day(1)), (None, None)]
+    with pytest.raises(ValueError):
+        contracts.parse_dates(frame, validate=True)
+    ddl = "ticker string, window int, units int, dropout double, seed int, status string, best_epoch int, parameter_count int, mae_bps double, rmse_bps double, error string"
+    good = ("A", 5, 16, 0.0, 0, "ok", 3, 1169, 1.0, 2.0, None)
+    failed = ("A", 5, 16, 0.0, 1, "failed", None, None, None, None, "no data")
+    contracts.validate_runs(spark.createDataFrame([good, failed], ddl))
+    for bad in ([good, good], [(*good[:5], "fine", *good[6:])], [(*good[:8], float("nan"), *good[9:])], [(*failed[:10], None)]):
+        with pytest.raises(ValueError):
+            contracts.validate_runs(spark.createDataFrame(bad, ddl))
+
+
+def test_failed_runs_are_rows_or_errors(spark):
+    data = returns.model_dataset(panel(spark, 40, ("AAA",)), SPLITS)
+    lone = data.where("split = 'train'").limit(2)
+    out = forecast.run_grid(lone, [NetworkConfig(2, 2, 0.0)], [0]).collect()
+    assert [r.status for r in out] in ([], ["failed"])
+    with pytest.raises(Exception):
+        forecast.run_grid(data.withColumn("target_return", forecast.F.lit(float("nan"))), [NetworkConfig(2, 2, 0.0)], [0], strict=True).collect()
+    bad = forecast.run_grid(data.withColumn("target_return", forecast.F.lit(float("nan"))), [NetworkConfig(2, 2, 0.0)], [0]).first()
+    assert bad.status == "failed" and "finite" in bad.error and bad.mae_bps is None
+
+
 def test_price_contract(spark):
     good = (D, "A", 1.0, 2.0, 0.5, 1.5, 1.5, 10.0, 0.0, 0.0)
     ddl = "date date, ticker string, open double, high double, low double, close double, adj_close double, volume double, dividends double, stock_splits double"
