@@ -16,26 +16,37 @@ from strandline.session import table
 PROBABILITIES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
-def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of ``log_return`` per ticker: yearly sketches, combined.
-
-    A (ticker, date) counts once; delivered copies hold the same value, and
-    should they differ the largest counts.
-    """
-    scale = BucketScale()
-    once = (
+def _returns_once(spark: SparkSession, folder: str) -> DataFrame:
+    """A (ticker, date) once; delivered copies hold the same value, and should they differ the largest counts."""
+    return (
         table(spark, folder, "dataset")
         .select(clean_ticker("ticker").alias("ticker"), "date", F.when(~F.isnan("log_return"), F.col("log_return")).alias("log_return"))
         .where("ticker is not null and date is not null")
         .groupBy("ticker", "date")
         .agg(F.max("log_return").alias("log_return"))
-        .withColumn("year", F.year("date"))
     )
-    yearly = sketch(once, ["ticker", "year"], "log_return", scale)
-    found = read_percentiles(combine(yearly, ["ticker"]), ["ticker"], PROBABILITIES, scale)
+
+
+def _percentiles(sketches: DataFrame) -> DataFrame:
+    found = read_percentiles(sketches, ["ticker"], PROBABILITIES, BucketScale())
     return found.withColumns({c: F.round(c, 9) for c in found.columns if c[0] == "p"})
 
 
+def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of ``log_return`` per ticker."""
+    return _percentiles(sketch(_returns_once(spark, folder), ["ticker"], "log_return", BucketScale()))
+
+
+def p1_yearly_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """The form that is kept and combined: bucket counts per ticker and year."""
+    return sketch(_returns_once(spark, folder).withColumn("year", F.year("date")), ["ticker", "year"], "log_return", BucketScale())
+
+
+def p1_combined_years(spark: SparkSession, folder: str) -> DataFrame:
+    """The percentiles of ``p1_percentiles`` from the combined sketches of years."""
+    return _percentiles(combine(p1_yearly_sketches(spark, folder), ["ticker"]))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The five best runs of every sweep and ticker."""
     runs = (
@@ -80,7 +91,18 @@ def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
     return label_segments(table(spark, folder, "documents"))
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p5_found": p5_found, "p6_found": p6_found, "p7_shares": p7_shares, "p7_documents": p7_documents, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
+QUERIES = {
+    "p1_percentiles": p1_percentiles,
+    "p1_yearly_sketches": p1_yearly_sketches,
+    "p1_combined_years": p1_combined_years,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p7_shares": p7_shares,
+    "p7_documents": p7_documents,
+    "p8_found": p8_found,
+    "p8_documents": p8_documents,
+    "p8_segments": p8_segments,
+}
 
 _TICKER = "upper(trim(ticker, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
 
@@ -109,6 +131,16 @@ ranked AS (
 SELECT ticker, observations, {_P1_VALUES}, CAST({BucketScale().error!r} AS DOUBLE) AS relative_error FROM picked
 """
 
+_P1_YEARS = f"""
+WITH once AS (
+  SELECT {_TICKER} AS ticker, date, max(CASE WHEN NOT isnan(log_return) THEN log_return END) AS r
+  FROM dataset WHERE ticker IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2
+)
+SELECT ticker, CAST(year(date) AS INTEGER) AS year, CAST(CASE WHEN r = 0 THEN 0 WHEN isinf(r) THEN sign(r) * {2 * _HALF + 1}
+  ELSE sign(r) * (ceil(ln(CASE WHEN r = 0 OR isinf(r) THEN 1 ELSE abs(r) END) / {_STEP!r}) + {_HALF}) END AS INTEGER) AS bucket, count(*) AS rows
+FROM once WHERE r IS NOT NULL GROUP BY 1, 2, 3
+"""
+
 _P5 = f"""
 WITH runs AS (
   SELECT DISTINCT sweep_id, {_TICKER} AS ticker, run_id, mae_bps, rmse_bps FROM run_metrics
@@ -118,4 +150,4 @@ SELECT sweep_id, ticker, run_id FROM runs
 QUALIFY row_number() OVER (PARTITION BY sweep_id, ticker ORDER BY mae_bps, rmse_bps, run_id) <= 5
 """
 
-ORACLE = {"p1_percentiles": _P1, "p5_found": _P5}
+ORACLE = {"p1_percentiles": _P1, "p1_combined_years": _P1, "p1_yearly_sketches": _P1_YEARS, "p5_found": _P5}
