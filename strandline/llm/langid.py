@@ -260,12 +260,17 @@ def _padded(pieces: list[np.ndarray], fill: float = 0) -> np.ndarray:
     return out
 
 
-def posteriors(emission: np.ndarray, texts: list[np.ndarray], starts: list[np.ndarray], trans: np.ndarray, width: int = 128) -> list[np.ndarray]:
-    """Word posteriors of each text; texts of like length run side by side."""
+def posteriors(emission: np.ndarray, texts: list[np.ndarray], starts: list[np.ndarray], trans: np.ndarray, width: int = 128, most_words: int = 1 << 18) -> list[np.ndarray]:
+    """Word posteriors of each text; texts of like length run side by side, as many as fit ``most_words`` padded words."""
     out: list[np.ndarray] = [np.zeros((0, len(LANGUAGES)), np.float32)] * len(texts)
     order = [k for k in np.argsort([len(x) for x in texts], kind="stable").tolist() if len(texts[k])]
-    for first in range(0, len(order), width):
-        part = order[first : first + width]
+    first = 0
+    while first < len(order):
+        last = first + 1
+        while last < len(order) and last - first < width and (last - first + 1) * len(texts[order[last]]) <= most_words:
+            last += 1
+        part = order[first:last]
+        first = last
         length = np.array([len(texts[k]) for k in part])
         found, _, _ = forward_backward(emission[_padded([texts[k] for k in part])], _padded([starts[k] for k in part]), length, trans)
         for j, k in enumerate(part):

@@ -108,10 +108,11 @@ def spaced_seeds(words: np.ndarray) -> np.ndarray:
 
 
 def item_words(items: DataFrame, rule: LeakRule) -> DataFrame:
-    """(item_id, words, weights): hashed words of each item without its standing instruction.
+    """(item_id, words, weights): hashed words of each item without its standing instruction, long items in stretches.
 
     ``weights`` counts the blank-separated words that a bare word stands for:
-    itself and any bare punctuation after it.
+    itself and any bare punctuation after it. Stretches overlap as those of
+    documents do, so some stretch holds the shorter passage of every leak.
     """
     first = F.regexp_extract(F.btrim("text"), r"^[^.!?]*[.!?](?=\s)", 0)
     opened = items.where("text is not null").select("item_id", "text", first.alias("opening"))
@@ -123,13 +124,17 @@ def item_words(items: DataFrame, rule: LeakRule) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            words, weights = [], []
-            for text in batch.column(1).to_pylist():
+            ids, words, weights = [], [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 pieces = hashes.pieces(text)
                 real = np.flatnonzero(pieces)
-                words.append(pieces[real].view(np.int64))
-                weights.append(np.diff([*real, len(pieces)]).astype(np.int32) if len(real) else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int32()))], names=["item_id", "words", "weights"])
+                weight = np.diff([*real, len(pieces)]).astype(np.int32) if len(real) else np.zeros(0, np.int32)
+                for low in range(0, max(1, len(real) - rule.overlap), rule.stride):
+                    high = low + rule.stride + rule.overlap
+                    ids.append(item)
+                    words.append(pieces[real[low:high]].view(np.int64))
+                    weights.append(weight[low:high])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int32()))], names=["item_id", "words", "weights"])
 
     return cut.select(F.col("item_id").cast("bigint"), "text").mapInArrow(read, "item_id bigint, words array<bigint>, weights array<int>")
 

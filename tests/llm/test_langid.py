@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from strandline.llm.langid import LANGUAGES, LanguageSettings, document_languages, features, fit, forward_backward, label_code, label_findings, label_segments, one_script, untyped
+from strandline.llm.langid import LANGUAGES, LanguageSettings, document_languages, features, fit, forward_backward, label_code, label_findings, label_segments, one_script, posteriors, untyped
 
 PARTS = {
     "en": ("the price of the house|a new report from the office|our longest meeting of the year", "was higher than we had expected|did not change after all|will be read by everyone", "before the end of the week|because nobody had asked|although it was raining"),
@@ -93,6 +93,16 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(post[0], want) and np.isclose(pairs.sum(), 2) and np.isclose(norm, np.log(z / k))
 
 
+def test_padding_does_not_show():
+    rng = np.random.default_rng(3)
+    emission, trans = rng.normal(size=(50, len(LANGUAGES))).astype(np.float32), rng.normal(size=(2, len(LANGUAGES), len(LANGUAGES))).astype(np.float32)
+    texts = [rng.integers(0, 50, n) for n in (1, 0, 7, 300, 12, 2000)]
+    starts = [rng.random(len(t)) < 0.2 for t in texts]
+    whole, small = posteriors(emission, texts, starts, trans), posteriors(emission, texts, starts, trans, width=2, most_words=10)
+    for a, b, t in zip(whole, small, texts, strict=True):
+        assert len(a) == len(t) and np.allclose(a, b, atol=1e-4) and np.allclose(a.sum(axis=1), 1, atol=1e-3)
+
+
 def test_fit_separates_words():
     words = ["alpha", "beta", "gamma", "delta"]
     sequences = [(np.array([0, 1, 0]), np.array([0, 0, 0], bool), np.array([0, 0, 0])), (np.array([2, 3]), np.array([0, 0], bool), np.array([1, 1]))] * 5

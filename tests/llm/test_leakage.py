@@ -67,6 +67,15 @@ def test_leaks_of_constructed_cases(spark, case, bound):
     assert len(got) == len(want) and all(r.words >= 24 and r.edits * 12 <= r.words for r in got)
 
 
+@pytest.mark.parametrize("bound", [2_000_000, 10])
+def test_long_items_and_documents(spark, bound):
+    rng = np.random.default_rng(9)
+    item = passage(rng, 3000, "long")
+    docs = [(k, " ".join([*passage(rng, 300 * k, "n"), *item[a : a + 24], *passage(rng, 50, "m")])) for k, a in enumerate((0, 240, 300, 1270, 2976))]
+    got = find_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, " ".join(item)), (2, " ".join(passage(rng, 500, "z")))], ITEM), LeakRule(filter_bound=bound)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, 1) for k in range(5)}
+
+
 def test_leaks_of_nothing(spark):
     empty_docs, empty_items = spark.createDataFrame([], DOC), spark.createDataFrame([], ITEM)
     one = spark.createDataFrame([(1, "a b c")], DOC)
