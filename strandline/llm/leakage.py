@@ -45,6 +45,8 @@ from strandline.session import scratch_table
 #: Selected positions of each mask; the others are ignored.
 MASKS = ((0, 1, 2, 4, 5, 6, 7), (0, 1, 3, 4, 5, 6, 7))
 SPAN = 8
+#: Words that are seeded together.
+TOGETHER = 1 << 16
 _FACTORS = np.random.default_rng(8).integers(1, 1 << 62, (len(MASKS), SPAN), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 PAIR_SCHEMA = "doc_id bigint, item_id bigint, words int, edits int"
@@ -183,6 +185,36 @@ def looked_up(seeds: np.ndarray, bits: np.ndarray | None, rule: LeakRule) -> np.
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def seeded_texts(ids: list[int], texts: list[str], hashes: WordHashes, bits: np.ndarray | None, rule: LeakRule) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, words, seeds, hits) of each text with a hit; texts are seeded together, some ten thousand words at a time."""
+    part: list[tuple[int, np.ndarray]] = []
+    size = 0
+    for doc, text in zip(ids, texts, strict=True):
+        if text and doc is not None:
+            words = hashes(text)
+            if len(words) >= SPAN:
+                part.append((doc, words))
+                size += len(words)
+        if size >= TOGETHER:
+            yield from _seeded(part, bits, rule)
+            part, size = [], 0
+    yield from _seeded(part, bits, rule)
+
+
+def _seeded(part: list[tuple[int, np.ndarray]], bits: np.ndarray | None, rule: LeakRule) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    if not part:
+        return
+    seeds = spaced_seeds(np.concatenate([words for _, words in part]))
+    hit = looked_up(seeds, bits, rule)
+    first = 0
+    for doc, words in part:
+        # windows that reach into the next text are not looked at
+        last = first + len(words) - SPAN + 1
+        if hit[:, first:last].any():
+            yield doc, words, seeds[:, first:last], hit[:, first:last]
+        first += len(words)
+
+
 def document_stretches(documents: DataFrame, bits: np.ndarray | None, rule: LeakRule) -> DataFrame:
     """(doc_id, stretch, words, seeds) of the stretches of documents that hold a seed which may join."""
     table = documents.sparkSession.sparkContext.broadcast(bits)
@@ -191,11 +223,8 @@ def document_stretches(documents: DataFrame, bits: np.ndarray | None, rule: Leak
         hashes, known = WordHashes(), table.value
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text and doc is not None:
-                    words = hashes(text)
-                    seeds = spaced_seeds(words)
-                    rows += [(doc, k, part.view(np.int64), found.view(np.int64)) for k, part, found in stretches_of(words, seeds, looked_up(seeds, known, rule), rule)]
+            for doc, words, seeds, hit in seeded_texts(batch.column(0).to_pylist(), batch.column(1).to_pylist(), hashes, known, rule):
+                rows += [(doc, k, part.view(np.int64), found.view(np.int64)) for k, part, found in stretches_of(words, seeds, hit, rule)]
             longs = pa.list_(pa.int64())
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
@@ -299,21 +328,17 @@ def _leaks_by_table(documents: DataFrame, worded: DataFrame, seeds: DataFrame, b
         hashes, present = WordHashes(), np.zeros(len(vocabulary), bool)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text or doc is None:
-                    continue
-                words = hashes(text)
-                seeds = spaced_seeds(words)
-                for _, part, found in stretches_of(words, seeds, looked_up(seeds, known, rule), rule):
+            for doc, words, seeds, hit in seeded_texts(batch.column(0).to_pylist(), batch.column(1).to_pylist(), hashes, known, rule):
+                for _, part, found in stretches_of(words, seeds, hit, rule):
                     low, high = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
-                    hit = np.unique(np.concatenate([owners[a:b] for a, b in zip(low, high, strict=True)] or [owners[:0]]))
-                    if not len(hit):
+                    owned = np.unique(np.concatenate([owners[a:b] for a, b in zip(low, high, strict=True)] or [owners[:0]]))
+                    if not len(owned):
                         continue
                     part = part.view(np.int64)
                     at = np.minimum(np.searchsorted(vocabulary, part), len(vocabulary) - 1)
                     at = at[vocabulary[at] == part]
                     present[at] = True
-                    for item in hit.tolist():
+                    for item in owned.tolist():
                         rows += [(doc, item, part, own, weights) for own, weights, places, width in items[item] if most_present(present[places], width, rule)]
                     present[at] = False
             yield _aligned(rows, rule)
