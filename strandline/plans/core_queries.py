@@ -60,8 +60,8 @@ WITH daily AS (
 calendar AS (SELECT ticker, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM span),
 filled AS (SELECT c.ticker, c.date, d.r, CASE WHEN d.r IS NULL THEN coalesce(d.inf, 0) ELSE 0 END AS odd FROM calendar c LEFT JOIN daily d USING (ticker, date))
 SELECT ticker, date,
-  round(coalesce(sum(r) OVER w7, 0), 10) AS total_7d, round(sum(r) OVER w7, 10) / count(r) OVER w7 AS mean_7d, count(r) OVER w7 AS readings_7d, CAST(sum(odd) OVER w7 AS BIGINT) AS nonfinite_7d,
-  round(coalesce(sum(r) OVER w30, 0), 10) AS total_30d, round(sum(r) OVER w30, 10) / count(r) OVER w30 AS mean_30d, count(r) OVER w30 AS readings_30d, CAST(sum(odd) OVER w30 AS BIGINT) AS nonfinite_30d
+  round(coalesce(sum(r) OVER w7, 0), 10) + 0.0::DOUBLE AS total_7d, (round(sum(r) OVER w7, 10) + 0.0::DOUBLE) / count(r) OVER w7 AS mean_7d, count(r) OVER w7 AS readings_7d, CAST(sum(odd) OVER w7 AS BIGINT) AS nonfinite_7d,
+  round(coalesce(sum(r) OVER w30, 0), 10) + 0.0::DOUBLE AS total_30d, (round(sum(r) OVER w30, 10) + 0.0::DOUBLE) / count(r) OVER w30 AS mean_30d, count(r) OVER w30 AS readings_30d, CAST(sum(odd) OVER w30 AS BIGINT) AS nonfinite_30d
 FROM filled
 WINDOW w7 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
        w30 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)
