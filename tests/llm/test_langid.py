@@ -117,3 +117,26 @@ def test_labels_and_scripts(spark):
     rows = spark.createDataFrame([(a,) for a, _ in given], "l string").select(label_code("l").alias("c")).collect()
     assert [r.c for r in rows] == [b for _, b in given]
     assert one_script("еrror") == "error" and one_script("цeнa") == "цена" and one_script("plain") == "plain"
+
+
+def test_quasi_newton_finds_the_minimum():
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(12, 12))
+    a = a @ a.T + np.eye(12)
+    b = rng.normal(size=12)
+    from strandline.llm.langid import quasi_newton
+
+    got = quasi_newton(lambda x: (float(0.5 * x @ a @ x - b @ x), a @ x - b), np.zeros(12), 200)
+    assert np.allclose(got, np.linalg.solve(a, b), atol=1e-2)
+
+
+def test_wrong_labels_and_mixtures_are_left_out_of_the_second_fit(monkeypatch):
+    from strandline.llm import langid
+
+    rng, seen = np.random.default_rng(1), []
+    sample = [(text(rng, LANGUAGES[k % 7], n=4), LANGUAGES[k % 7]) for k in range(210)]
+    wrong = [(text(rng, "en", n=4), "de"), (text(rng, "ru", n=4), "uk"), (text(rng, "fr", "es"), "fr")] * 4
+    keep = langid._agrees
+    monkeypatch.setattr(langid, "_agrees", lambda *a: seen.append(keep(*a)) or seen[-1])
+    langid.train(sample + wrong, SETTINGS)
+    assert all(seen[:210]) and not any(seen[210:])
