@@ -165,24 +165,30 @@ def grid_schedule(tickers: DataFrame, configs: Sequence[NetworkConfig], seeds: S
 
 
 def run_grid(
-    dataset: DataFrame, configs: Sequence[NetworkConfig], seeds: Sequence[int], *, training: TrainingConfig | None = None, done: DataFrame | None = None, evaluate: str = "validation", strict: bool = False
+    dataset: DataFrame, configs: Sequence[NetworkConfig], seeds: Sequence[int], *, training: TrainingConfig | None = None, done: DataFrame | None = None, evaluate: str = "validation", strict: bool = False,
+    learn_splits: Sequence[str] = ("train",),
 ) -> DataFrame:
     """Trains every scheduled run that ``done`` lacks; one row per run with its predictions.
 
-    A run scales on the training split, finds its best epoch on the last fifth of
-    it, refits on all of it and predicts ``evaluate``. Runs are tasks of their
-    own; a failed run is a row with its error, or ends the job with ``strict``.
+    A run finds its best epoch on the last fifth of ``learn_splits``, refits on
+    all of them and predicts ``evaluate``. The first stage scales by the returns
+    up to its last inner training row, the second by those of all training rows.
+    Runs are tasks of their own; a failed run is a row with its error, or ends
+    the job with ``strict``.
     """
-    training = training or TrainingConfig()
+    if not learn_splits or evaluate in learn_splits:
+        raise ValueError("a grid learns from splits other than the evaluated one")
+    training, learn_splits = training or TrainingConfig(), tuple(learn_splits)
     runs = grid_schedule(dataset, configs, seeds)
     if done is not None:
         runs = runs.join(done.select("ticker", "window", "units", "dropout", "seed"), ["ticker", "window", "units", "dropout", "seed"], "left_anti")
     widest = max(c.window for c in configs)
-    rows = lag_sequences(dataset, widest, ["train", evaluate])
+    rows = lag_sequences(dataset, widest, [*learn_splits, evaluate])
     data = rows.groupBy("ticker").agg(
         F.sort_array(F.collect_list(F.struct("date", "target_date", "split", "features", "target_return"))).alias("rows")
     )
-    work = spread(runs.join(data, "ticker"), "ticker", "window", "units", "dropout", "seed")
+    past = dataset.where(F.col("split").isin(*learn_splits)).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", "log_return"))).alias("past"))
+    work = spread(runs.join(data, "ticker").join(past, "ticker"), "ticker", "window", "units", "dropout", "seed")
     one = "struct<date:date,target_date:date,ticker:string,split:string,model:string,actual_return:double,predicted_return:double>"
     schema = f"{RUN_DDL}, predictions array<{one}>"
     columns = [x.strip().split()[0] for x in RUN_DDL.split(",")] + ["predictions"]
@@ -193,15 +199,24 @@ def run_grid(
         try:
             features = np.array([list(r["features"])[-config.window :] for r in run["rows"]], float)
             target = np.array([r["target_return"] for r in run["rows"]], float)
-            learn = np.array([r["split"] == "train" for r in run["rows"]])
-            mean, scale = features[learn][:, -1].mean(), features[learn][:, -1].std() or 1.0
-            x, y = ((features - mean) / scale)[:, :, None], (target - mean) / scale
-            cut = int(learn.sum() * 0.8)
-            xs, ys = x[learn], y[learn]
+            learn = np.array([r["split"] in learn_splits for r in run["rows"]])
+            dates = [r["date"] for r, keep in zip(run["rows"], learn, strict=True) if keep]
+            cut = int(len(dates) * 0.8)
+            if not cut:
+                raise ValueError("too few training rows")
+
+            def scaling(cutoff) -> tuple[float, float]:  # noqa: ANN001
+                known = np.array([r["log_return"] for r in run["past"] if r["date"] <= cutoff], float)
+                return known.mean(), known.std() or 1.0
+
+            xs, ys = features[learn][:, :, None], target[learn]
             trainer = Trainer(config, training)
-            best = trainer.best_epoch(xs[:cut], ys[:cut], xs[cut:], ys[cut:], seed)
-            network = trainer.fit(xs, ys, best, seed)
-            predicted = network.predict(x[~learn]) * scale + mean
+            mean, scale = scaling(dates[cut - 1])
+            x, y = (xs - mean) / scale, (ys - mean) / scale
+            best = trainer.best_epoch(x[:cut], y[:cut], x[cut:], y[cut:], seed)
+            mean, scale = scaling(dates[-1])
+            network = trainer.fit((xs - mean) / scale, (ys - mean) / scale, best, seed)
+            predicted = network.predict((features[~learn][:, :, None] - mean) / scale) * scale + mean
             error = predicted - target[~learn]
             name = f"lstm_w{config.window}_u{config.units}_d{round(config.dropout * 100):02d}_seed_{seed:02d}"
             got = [

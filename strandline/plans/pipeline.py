@@ -37,8 +37,8 @@ def run_final(
 ) -> FinalReports:
     """ARIMA, network and residual-network forecasts of the test split, each a checkpointed unit per ticker.
 
-    A residual network learns from the chain of ARIMA errors from the first
-    eligible origin on. Finished units are verified and reused.
+    Networks learn from training and validation rows. A residual network learns
+    from the chain of ARIMA errors from the first eligible origin on. Finished units are verified and reused.
     """
     training = training or TrainingConfig()
     mark = fingerprint({"data": content_digest(dataset.select(*DATASET_COLUMNS)), "orders": dict(orders), "networks": repr(sorted(networks.items())), "residual": repr(sorted(residual_networks.items())), "seeds": seeds, "training": repr(training), "protocol": repr(protocol)})
@@ -47,7 +47,7 @@ def run_final(
     every = ("train", "validation", "test")
     arima = store.run_named("arima", {t: (lambda t=t: forecast.walk_forward(own(dataset, t), forecast.arima_fitter(dict(orders)), "arima", splits=every, history_splits=every, warm_up=protocol.warm_up)) for t in protocol.tickers})
     residuals = returns.residual_chain(arima, dataset).drop("contiguous")
-    train = lambda data, config: forecast.run_predictions(forecast.run_grid(data, [config], list(seeds), training=training, evaluate="test", strict=True))
+    train = lambda data, config: forecast.run_predictions(forecast.run_grid(data, [config], list(seeds), training=training, evaluate="test", strict=True, learn_splits=("train", "validation")))
     lstm = store.run_named("lstm", {t: (lambda t=t: train(own(dataset, t), networks[t])) for t in protocol.tickers})
     second = store.run_named("residual", {t: (lambda t=t: train(own(residuals, t), residual_networks[t])) for t in protocol.tickers})
     arima_test = arima.where("split = 'test'")
