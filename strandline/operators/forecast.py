@@ -15,7 +15,6 @@ from strandline.models.arima import FitError, fit_arima
 from strandline.models.lstm import NonFiniteError, Trainer, TrainingConfig
 from strandline.operators.contracts import enforce, key_difference, model_input, validate_alignment
 from strandline.operators.returns import by_date, eligible_origins
-from strandline.operators.sequences import lag_sequences
 from strandline.schema import PREDICTION_COLUMNS, PREDICTION_DDL, PREDICTION_KEYS, TOLERANCE_RESIDUAL, NetworkConfig
 from strandline.session import spread
 
@@ -173,8 +172,9 @@ def run_grid(
     A run finds its best epoch on the last fifth of ``learn_splits``, refits on
     all of them and predicts ``evaluate``. The first stage scales by the returns
     up to its last inner training row, the second by those of all training rows.
-    Runs are tasks of their own; a failed run is a row with its error, or ends
-    the job with ``strict``.
+    Each run builds its sequences with its own window from the ticker's returns.
+    Runs are tasks of their own; a failed run, or one whose ticker is too short,
+    is a row with its error, or ends the job with ``strict``.
     """
     if not learn_splits or evaluate in learn_splits:
         raise ValueError("a grid learns from splits other than the evaluated one")
@@ -182,13 +182,8 @@ def run_grid(
     runs = grid_schedule(dataset, configs, seeds)
     if done is not None:
         runs = runs.join(done.select("ticker", "window", "units", "dropout", "seed"), ["ticker", "window", "units", "dropout", "seed"], "left_anti")
-    widest = max(c.window for c in configs)
-    rows = lag_sequences(dataset, widest, [*learn_splits, evaluate])
-    data = rows.groupBy("ticker").agg(
-        F.sort_array(F.collect_list(F.struct("date", "target_date", "split", "features", "target_return"))).alias("rows")
-    )
-    past = dataset.where(F.col("split").isin(*learn_splits)).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", "log_return"))).alias("past"))
-    work = spread(runs.join(data, "ticker").join(past, "ticker"), "ticker", "window", "units", "dropout", "seed")
+    data = dataset.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", "target_date", "split", "log_return", "target_return"))).alias("rows"))
+    work = spread(runs.join(data, "ticker", "left"), "ticker", "window", "units", "dropout", "seed")
     one = "struct<date:date,target_date:date,ticker:string,split:string,model:string,actual_return:double,predicted_return:double>"
     schema = f"{RUN_DDL}, predictions array<{one}>"
     columns = [x.strip().split()[0] for x in RUN_DDL.split(",")] + ["predictions"]
@@ -197,16 +192,22 @@ def run_grid(
         config, seed = NetworkConfig(int(run["window"]), int(run["units"]), float(run["dropout"])), int(run["seed"])
         key = (run["ticker"], config.window, config.units, config.dropout, seed)
         try:
-            features = np.array([list(r["features"])[-config.window :] for r in run["rows"]], float)
-            target = np.array([r["target_return"] for r in run["rows"]], float)
-            learn = np.array([r["split"] in learn_splits for r in run["rows"]])
-            dates = [r["date"] for r, keep in zip(run["rows"], learn, strict=True) if keep]
+            every = run["rows"] if run["rows"] is not None else []
+            values = np.array([r["log_return"] for r in every], float)
+            missing = np.cumsum([0, *(r["log_return"] is None for r in every)])
+            wanted = (*learn_splits, evaluate)
+            ends = [k for k in range(config.window, len(every) + 1) if every[k - 1]["split"] in wanted and missing[k] == missing[k - config.window]]
+            rows = [every[k - 1] for k in ends]
+            learn = np.array([r["split"] in learn_splits for r in rows], bool)
+            dates = [r["date"] for r, keep in zip(rows, learn, strict=True) if keep]
             cut = int(len(dates) * 0.8)
-            if not cut:
-                raise ValueError("too few training rows")
+            if not cut or learn.all():
+                raise ValueError(f"too few rows of {'/'.join(learn_splits) if not cut else evaluate} with a full window")
+            features = np.array([values[k - config.window : k] for k in ends])
+            target = np.array([r["target_return"] for r in rows], float)
 
             def scaling(cutoff) -> tuple[float, float]:  # noqa: ANN001
-                known = np.array([r["log_return"] for r in run["past"] if r["date"] <= cutoff], float)
+                known = np.array([r["log_return"] for r in every if r["split"] in learn_splits and r["date"] <= cutoff and r["log_return"] is not None], float)
                 return known.mean(), known.std() or 1.0
 
             xs, ys = features[learn][:, :, None], target[learn]
@@ -221,7 +222,7 @@ def run_grid(
             name = f"lstm_w{config.window}_u{config.units}_d{round(config.dropout * 100):02d}_seed_{seed:02d}"
             got = [
                 {"date": r["date"], "target_date": r["target_date"], "ticker": run["ticker"], "split": r["split"], "model": name, "actual_return": r["target_return"], "predicted_return": float(v)}
-                for r, v in zip([r for r, keep in zip(run["rows"], learn, strict=True) if not keep], predicted, strict=True)
+                for r, v in zip([r for r, keep in zip(rows, learn, strict=True) if not keep], predicted, strict=True)
             ]
             return (*key, "ok", best, config.parameters, float(np.abs(error).mean() * 1e4), float(np.sqrt((error**2).mean()) * 1e4), None, got)
         except ValueError as error:

@@ -17,7 +17,7 @@ TRAINING = TrainingConfig(epochs=4, patience=2)
 
 def dataset(spark, lengths={"AAA": 130, "BBB": 130}, splits=SPLITS):  # noqa: B006
     rng = np.random.default_rng(3)
-    rows = [(day(k), t, float(p)) for t, n in lengths.items() for k, p in enumerate(100 * np.exp(np.cumsum(rng.normal(0, 0.02 + 0.0005 * np.arange(n)))), 130 - n)]
+    rows = [(day(k), t, float(p)) for t, n in lengths.items() for k, p in enumerate(100 * np.exp(np.cumsum(rng.normal(0, 0.02 + 0.0005 * np.arange(n)))))]
     return returns.model_dataset(spark.createDataFrame(rows, "date date, ticker string, adj_close double"), splits)
 
 
@@ -50,3 +50,18 @@ def test_networks_learn_from_all_training_splits(spark):
             assert {p.target_date: p.predicted_return for p in got[t].predictions} == pytest.approx(want, rel=1e-9)
     with pytest.raises(ValueError):
         forecast.run_grid(data, [config], [1], evaluate="test", learn_splits=("train", "test"))
+
+
+def test_runs_do_not_depend_on_the_other_windows(spark):
+    data = dataset(spark, {"AAA": 130, "SHORT": 69})
+    narrow, wide = NetworkConfig(2, 2, 0.0), NetworkConfig(45, 2, 0.0)
+    alone = {r.ticker: r for r in forecast.run_grid(data, [narrow], [0], training=TRAINING).collect()}
+    both = forecast.run_grid(data, [narrow, wide, NetworkConfig(90, 2, 0.0)], [0], training=TRAINING).collect()
+    assert sorted((r.ticker, r.window) for r in both) == [(t, w) for t in ("AAA", "SHORT") for w in (2, 45, 90)]
+    got = {(r.ticker, r.window): r for r in both}
+    for t in ("AAA", "SHORT"):
+        assert got[t, 2] == alone[t] and len(got[t, 2].predictions) == data.where(f"ticker = '{t}' and split = 'validation'").count()
+    assert got["AAA", 45].status == "ok" and got["SHORT", 90].status == "failed" and "full window" in got["SHORT", 90].error
+    assert (got["SHORT", 90].mae_bps, got["SHORT", 90].predictions) == (None, [])
+    resumed = forecast.run_grid(data, [narrow, wide], [0], training=TRAINING, done=forecast.run_grid(data, [wide], [0], training=TRAINING)).collect()
+    assert {r.ticker: r for r in resumed} == alone
