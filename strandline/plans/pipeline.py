@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import date
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.models.lstm import TrainingConfig
 from strandline.operators import contracts, forecast, inference, metrics, regimes, returns, selection
-from strandline.schema import DATASET_COLUMNS, NetworkConfig, Protocol
+from strandline.schema import DATASET_COLUMNS, MODEL_ORDER, PREDICTION_COLUMNS, NetworkConfig, Protocol, SplitConfig
 from strandline.sources.checkpoint import CheckpointStore, content_digest, fingerprint
 
 
@@ -24,6 +25,23 @@ class FinalReports:
     dm_results: DataFrame
 
 
+def _validate_source(dataset: DataFrame, protocol: Protocol) -> tuple[date, date]:
+    """Refuses a dataset that is not the protocol's; the first and last test target date.
+
+    The published boundaries are trading days and must both be met. Boundaries
+    of one's own may lie beyond the data; then the first and last test date of
+    the data are the span, and every ticker must have both.
+    """
+    first, last = dataset.where("split = 'test'").agg(F.min("target_date"), F.max("target_date")).first()
+    if first is None:
+        raise ValueError("no test rows")
+    config = protocol.splits
+    if config != SplitConfig():
+        config = replace(config, test=(first, last))
+    contracts.validate_final_dataset(dataset, config, protocol.tickers)
+    return config.test
+
+
 def run_final(
     spark: SparkSession,
     dataset: DataFrame,
@@ -38,26 +56,35 @@ def run_final(
     """ARIMA, network and residual-network forecasts of the test split, each a checkpointed unit per ticker.
 
     Networks learn from training and validation rows. A residual network learns
-    from the chain of ARIMA errors from the first eligible origin on. Finished units are verified and reused.
+    from the chain of ARIMA errors from the first eligible origin on. Each model
+    must forecast every test row of the dataset; a missing row, or a gap in the
+    chain, is an error. Finished units are verified and reused.
     """
     training = training or TrainingConfig()
     mark = fingerprint({"data": content_digest(dataset.select(*DATASET_COLUMNS)), "orders": dict(orders), "networks": repr(sorted(networks.items())), "residual": repr(sorted(residual_networks.items())), "seeds": seeds, "training": repr(training), "protocol": repr(protocol)})
+    span = _validate_source(dataset, protocol)
+    due = dataset.where("split = 'test'")
     store = CheckpointStore(spark, root, mark)
     own = lambda frame, t: frame.where(F.col("ticker") == t)
     every = ("train", "validation", "test")
     arima = store.run_named("arima", {t: (lambda t=t: forecast.walk_forward(own(dataset, t), forecast.arima_fitter(dict(orders)), "arima", splits=every, history_splits=every, warm_up=protocol.warm_up)) for t in protocol.tickers})
-    residuals = returns.residual_chain(arima, dataset).drop("contiguous")
+    contracts.validate_tail(arima, dataset)
+    chain = returns.residual_chain(arima, dataset)
+    contracts.enforce(chain, {"residual_chain_not_contiguous": F.col("contiguous")})
+    residuals = chain.drop("contiguous")
     train = lambda data, config: forecast.run_predictions(forecast.run_grid(data, [config], list(seeds), training=training, evaluate="test", strict=True, learn_splits=("train", "validation")))
     lstm = store.run_named("lstm", {t: (lambda t=t: train(own(dataset, t), networks[t])) for t in protocol.tickers})
     second = store.run_named("residual", {t: (lambda t=t: train(own(residuals, t), residual_networks[t])) for t in protocol.tickers})
     arima_test = arima.where("split = 'test'")
     for seeded in (lstm, second):
         contracts.validate_seed_groups(seeded.where("split = 'test'"), protocol.tickers, seeds)
-    joint = forecast.hybrid(arima_test, selection.ensemble(second, "residual_lstm"))
-    keys = joint.select("date", "target_date", "ticker", "split")
+    joint = forecast.hybrid(arima_test, selection.ensemble(second, "residual_lstm"), validate=True)
     naive = forecast.predict_by_column(dataset, forecast.Naive(), ("test",))
-    semi = lambda f: f.join(keys, ["date", "target_date", "ticker", "split"], "left_semi")
-    predictions = forecast.align([semi(naive), semi(arima_test), semi(selection.ensemble(lstm)), joint], validate=True)
+    components = [f.select(*PREDICTION_COLUMNS) for f in (naive, arima_test, selection.ensemble(lstm), joint)]
+    for component, name in zip(components, MODEL_ORDER, strict=True):
+        contracts.validate_test_component(component, name, protocol.tickers, span)
+        contracts.validate_schedule(component, due)
+    predictions = forecast.align(components, validate=True)
     return FinalReports(
         predictions,
         metrics.return_metrics(predictions),

@@ -7,7 +7,8 @@ import pytest
 
 from strandline.models.lstm import Trainer, TrainingConfig
 from strandline.operators import forecast, returns
-from strandline.schema import NetworkConfig, SplitConfig
+from strandline.plans.pipeline import run_final
+from strandline.schema import InferenceConfig, NetworkConfig, Protocol, SplitConfig
 
 D = date(2020, 1, 1)
 day = lambda k: D + timedelta(k)
@@ -65,3 +66,19 @@ def test_runs_do_not_depend_on_the_other_windows(spark):
     assert (got["SHORT", 90].mae_bps, got["SHORT", 90].predictions) == (None, [])
     resumed = forecast.run_grid(data, [narrow, wide], [0], training=TRAINING, done=forecast.run_grid(data, [wide], [0], training=TRAINING)).collect()
     assert {r.ticker: r for r in resumed} == alone
+
+
+def final(spark, data, root, splits):
+    tickers = ("AAA", "BBB")
+    protocol = Protocol(tickers, splits, InferenceConfig(lag=4, block=5, repetitions=50), warm_up=20, regime_window=5)
+    return run_final(spark, data, root, protocol, dict.fromkeys(tickers, (0, 0, 0)), dict.fromkeys(tickers, NetworkConfig(3, 2, 0.0)), dict.fromkeys(tickers, NetworkConfig(2, 2, 0.0)), (0, 1), TRAINING)
+
+
+def test_final_pipeline_refuses_lost_test_rows(spark, tmp_path):
+    data = dataset(spark)
+    gap, late = data.where(f"ticker <> 'BBB' or target_date <> '{day(100)}'"), data.where(f"ticker <> 'BBB' or split <> 'test' or target_date > '{day(92)}'")
+    for name, frame, why in (("gap", gap, "contiguous|tail"), ("late", late, "cover"), ("ticker", data.where("ticker = 'AAA'"), "tickers")):
+        with pytest.raises(ValueError, match=why):
+            final(spark, frame, tmp_path / name, SPLITS)
+    with pytest.raises(ValueError, match="split_not_as_bounded"):
+        final(spark, data, tmp_path / "published", SplitConfig())
