@@ -481,8 +481,8 @@ def bootstrap_estimates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def bootstrap_intervals(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentile intervals from 2,000 moving-block resamples."""
-    return inference.bootstrap_intervals(synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",)), InferenceConfig(repetitions=2000))
+    """Percentile intervals from the protocol's 10,000 moving-block resamples."""
+    return inference.bootstrap_intervals(synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",)), InferenceConfig())
 
 
 # ---- autocorrelation, stationarity ---------------------------------------------

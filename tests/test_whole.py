@@ -7,6 +7,7 @@ import pytest
 
 from strandline.models.lstm import Trainer, TrainingConfig
 from strandline.operators import forecast, returns
+from strandline.plans import catalog
 from strandline.plans.pipeline import run_final
 from strandline.schema import InferenceConfig, NetworkConfig, Protocol, SplitConfig
 
@@ -82,3 +83,8 @@ def test_final_pipeline_refuses_lost_test_rows(spark, tmp_path):
             final(spark, frame, tmp_path / name, SPLITS)
     with pytest.raises(ValueError, match="split_not_as_bounded"):
         final(spark, data, tmp_path / "published", SplitConfig())
+
+
+def test_bootstrap_takes_the_repetitions_of_the_protocol(spark, small_folder):
+    rows = catalog.QUERIES["bootstrap_intervals"](spark, small_folder).collect()
+    assert rows and {(r.repetitions, r.seed) for r in rows} == {(10_000, 42)}
