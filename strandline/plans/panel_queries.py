@@ -599,8 +599,8 @@ def arima_walk_forward_daily(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def arima_search(spark: SparkSession, folder: str) -> DataFrame:
-    """AIC and BIC of the orders up to (2, 0, 2) on the weekly training returns."""
-    return forecast.search_orders(dataset_of(spark, folder, "weekly"), 2, 2)
+    """AIC and BIC of all 36 orders up to (5, 0, 5) on every ticker's training returns of the market panel."""
+    return forecast.search_orders(dataset_of(spark, folder, "market"))
 
 
 @query(

@@ -8,6 +8,7 @@ import pytest
 from strandline.models.lstm import Trainer, TrainingConfig
 from strandline.operators import forecast, returns
 from strandline.plans import catalog
+from strandline.plans.panels import dataset_of
 from strandline.plans.pipeline import run_final
 from strandline.schema import InferenceConfig, NetworkConfig, Protocol, SplitConfig
 
@@ -88,3 +89,9 @@ def test_final_pipeline_refuses_lost_test_rows(spark, tmp_path):
 def test_bootstrap_takes_the_repetitions_of_the_protocol(spark, small_folder):
     rows = catalog.QUERIES["bootstrap_intervals"](spark, small_folder).collect()
     assert rows and {(r.repetitions, r.seed) for r in rows} == {(10_000, 42)}
+
+
+def test_order_search_tries_every_order_of_every_ticker(spark, small_folder):
+    rows = catalog.QUERIES["arima_search"](spark, small_folder).collect()
+    tickers = {r[0] for r in dataset_of(spark, small_folder, "market").where("split = 'train'").select("ticker").distinct().collect()}
+    assert sorted((r.ticker, r.p, r.d, r.q) for r in rows) == sorted((t, p, 0, q) for t in tickers for p in range(6) for q in range(6))
