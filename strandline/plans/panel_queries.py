@@ -17,7 +17,7 @@ from strandline.operators import autocorrelation, contracts, explore, forecast,
 from strandline.operators.snapshot_diff import delivery_order
 from strandline.operators.stationarity import stationarity_report as both_tests
 from strandline.plans.panels import MARKET, PANELS, TICKER, dataset_of, dataset_sql, panel, predictions_sql, synthetic_predictions
-from strandline.schema import COMPARISONS, DATASET_COLUMNS, InferenceConfig, NetworkConfig, network_grid
+from strandline.schema import COMPARISONS, DATASET_COLUMNS, InferenceConfig, network_grid
 from strandline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -584,10 +584,9 @@ def expanding_mean(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def arima_walk_forward(spark: SparkSession, folder: str) -> DataFrame:
-    """Refits of ARIMA(1, 0, 0) at every origin of the events panel."""
-    data = dataset_of(spark, folder, "events")
-    orders = {r[0]: (1, 0, 0) for r in data.select("ticker").distinct().collect()}  # a handful of event types
-    return forecast.walk_forward(data, forecast.arima_fitter(orders), "arima", warm_up=10)
+    """Refits of ARIMA(1, 0, 0) at every validation origin of the daily panel, after the protocol's warm-up."""
+    orders = {t: (1, 0, 0) for t in ("A", "N", "R")}
+    return forecast.walk_forward(dataset_of(spark, folder, "daily"), forecast.arima_fitter(orders), "arima", warm_up=_WARM_UP)
 
 
 @query()
@@ -750,7 +749,5 @@ def lstm_grid_schedule(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def lstm_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """A small grid trained on the events panel: one row per run."""
-    data = dataset_of(spark, folder, "events")
-    done = forecast.run_grid(data, [NetworkConfig(3, 4, 0.0), NetworkConfig(3, 4, 0.2)], [0, 1], training=TrainingConfig(epochs=10, patience=3))
-    return done.drop("predictions")
+    """The published grid, ten seeds and production training on the weekly panel: one row per run."""
+    return forecast.run_grid(dataset_of(spark, folder, "weekly"), network_grid(), list(range(10)), training=TrainingConfig()).drop("predictions")

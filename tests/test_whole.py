@@ -10,7 +10,7 @@ from strandline.operators import forecast, returns
 from strandline.plans import catalog
 from strandline.plans.panels import dataset_of
 from strandline.plans.pipeline import run_final
-from strandline.schema import InferenceConfig, NetworkConfig, Protocol, SplitConfig
+from strandline.schema import InferenceConfig, NetworkConfig, Protocol, SplitConfig, network_grid
 
 D = date(2020, 1, 1)
 day = lambda k: D + timedelta(k)
@@ -95,3 +95,13 @@ def test_order_search_tries_every_order_of_every_ticker(spark, small_folder):
     rows = catalog.QUERIES["arima_search"](spark, small_folder).collect()
     tickers = {r[0] for r in dataset_of(spark, small_folder, "market").where("split = 'train'").select("ticker").distinct().collect()}
     assert sorted((r.ticker, r.p, r.d, r.q) for r in rows) == sorted((t, p, 0, q) for t in tickers for p in range(6) for q in range(6))
+
+
+def test_registered_grid_and_walk_forward_are_the_published_ones(spark, small_folder, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(forecast, "run_grid", lambda data, configs, seeds, training=None: seen.update(grid=(configs, seeds, training)) or data.withColumn("predictions", forecast.F.lit(0)))
+    catalog.QUERIES["lstm_grid"](spark, small_folder)
+    assert seen["grid"] == (network_grid(), list(range(10)), TrainingConfig())
+    monkeypatch.setattr(forecast, "walk_forward", lambda data, fitter, name, warm_up: seen.update(warm_up=warm_up) or data)
+    catalog.QUERIES["arima_walk_forward"](spark, small_folder)
+    assert seen["warm_up"] == 252
