@@ -23,6 +23,9 @@ class FinalReports:
     price_metrics: DataFrame
     regime_metrics: DataFrame
     dm_results: DataFrame
+    bootstrap_intervals: DataFrame
+    seed_metrics: DataFrame
+    seed_spread: DataFrame
 
 
 def _validate_source(dataset: DataFrame, protocol: Protocol) -> tuple[date, date]:
@@ -85,10 +88,15 @@ def run_final(
         contracts.validate_test_component(component, name, protocol.tickers, span)
         contracts.validate_schedule(component, due)
     predictions = forecast.align(components, validate=True)
+    family = lambda f, name: f.select(*PREDICTION_COLUMNS, "seed").withColumn("family", F.lit(name))
+    by_seed = metrics.seed_metrics(family(lstm, "lstm").unionByName(family(forecast.hybrid(arima_test, second, validate=True), "arima_lstm")))
     return FinalReports(
         predictions,
         metrics.return_metrics(predictions),
         metrics.price_metrics(metrics.price_predictions(predictions, dataset), metrics.scaling_errors(dataset)),
         regimes.regime_metrics(predictions, regimes.assignments(dataset, protocol.regime_window)),
         inference.dm_results(predictions, protocol.inference),
+        inference.bootstrap_intervals(predictions, protocol.inference),
+        by_seed,
+        metrics.seed_spread(by_seed),
     )

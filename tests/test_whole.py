@@ -105,3 +105,15 @@ def test_registered_grid_and_walk_forward_are_the_published_ones(spark, small_fo
     monkeypatch.setattr(forecast, "walk_forward", lambda data, fitter, name, warm_up: seen.update(warm_up=warm_up) or data)
     catalog.QUERIES["arima_walk_forward"](spark, small_folder)
     assert seen["warm_up"] == 252
+
+
+def test_final_reports_have_intervals_and_seeds(spark, tmp_path):
+    data = dataset(spark)
+    reports = final(spark, data, tmp_path / "final", SPLITS)
+    intervals = reports.bootstrap_intervals.collect()
+    assert len(intervals) == 30 and {r.repetitions for r in intervals} == {50}
+    due = {r.ticker: r.n for r in data.where("split = 'test'").groupBy("ticker").agg(forecast.F.count("*").alias("n")).collect()}
+    seeds = {(r.family, r.ticker, r.seed): r for r in reports.seed_metrics.collect()}
+    assert set(seeds) == {(f, t, s) for f in ("lstm", "arima_lstm") for t in due for s in (0, 1)}
+    assert all(r.observations == due[t] and r.mae_bps > 0 for (_, t, _), r in seeds.items())
+    assert {(r.family, r.ticker): r.mean_mae_bps for r in reports.seed_spread.collect()} == pytest.approx({(f, t): (seeds[f, t, 0].mae_bps + seeds[f, t, 1].mae_bps) / 2 for f in ("lstm", "arima_lstm") for t in due})
