@@ -10,8 +10,8 @@ from strandline.llm.langid import document_languages, label_findings, label_segm
 from strandline.llm.leakage import find_leaks
 from strandline.llm.mixing import MixSettings, mix_documents, mix_report, token_table
 from strandline.llm.percentiles import BucketScale, combine, read_percentiles, sketch
-from strandline.llm.topn import top_n
-from strandline.session import table
+from strandline.llm.topn import cluster, prepared, skipping_report, top_n
+from strandline.session import scratch_table, table
 
 PROBABILITIES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -47,15 +47,28 @@ def p1_combined_years(spark: SparkSession, folder: str) -> DataFrame:
     return _percentiles(combine(p1_yearly_sketches(spark, folder), ["ticker"]))
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The five best runs of every sweep and ticker."""
-    runs = (
+_RUN_GROUPS, _RUN_TIES = ["sweep_id", "ticker"], ["rmse_bps", "run_id"]
+
+
+def _sound_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return (
         table(spark, folder, "run_metrics")
         .where((F.col("status") == "ok") & is_finite("mae_bps") & is_finite("rmse_bps"))
         .select("sweep_id", clean_ticker("ticker").alias("ticker"), "run_id", "mae_bps", "rmse_bps")
     )
-    best = top_n(runs, ["sweep_id", "ticker"], "mae_bps", ["rmse_bps", "run_id"], 5)
-    return best.select("sweep_id", "ticker", "run_id")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best runs of every sweep and ticker."""
+    return top_n(_sound_runs(spark, folder), _RUN_GROUPS, "mae_bps", _RUN_TIES, 5).select("sweep_id", "ticker", "run_id")
+
+
+def p5_skipping(spark: SparkSession, folder: str) -> DataFrame:
+    """Row groups and rows of the clustered runs, and how many of them the five best take."""
+    usable = prepared(_sound_runs(spark, folder), _RUN_GROUPS, "mae_bps", _RUN_TIES)
+    index = cluster(usable, _RUN_GROUPS, "mae_bps", _RUN_TIES, scratch_table(spark, "topn"))
+    report = skipping_report(index, usable.schema, _RUN_GROUPS, "mae_bps", 5)
+    return report.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("row_groups", "read", "rows", "rows_read")))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,6 +109,7 @@ QUERIES = {
     "p1_yearly_sketches": p1_yearly_sketches,
     "p1_combined_years": p1_combined_years,
     "p5_found": p5_found,
+    "p5_skipping": p5_skipping,
     "p6_found": p6_found,
     "p7_shares": p7_shares,
     "p7_documents": p7_documents,

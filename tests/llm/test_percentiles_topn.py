@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from strandline.llm.percentiles import BucketScale, column_of, combine, read_percentiles, sketch
-from strandline.llm.topn import cluster, row_group_statistics, surviving_row_groups, top_n
+from strandline.llm.topn import best_of_index, cluster, prepared, skipping_report, top_n
 
 PROBABILITIES = (0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0)
 INF, NAN = float("inf"), float("nan")
@@ -83,24 +84,47 @@ def brute(data, n):
     return {(g, i, k + 1) for g, items in groups.items() for k, (_, _, i) in enumerate(sorted(items)[:n])}
 
 
-@pytest.mark.parametrize(("n", "size"), [(1, 4096), (5, 4096), (5, 1 << 20), (50, 2048)])
-def test_top_n_equals_brute_force(spark, n, size):
+@pytest.mark.parametrize(("n", "head", "size"), [(1, 4, 64), (5, 16, 4096), (5, 3, 50), (50, 16, 200)])
+def test_top_n_equals_brute_force(spark, n, head, size):
     data = runs()
-    got = top_n(spark.createDataFrame(data, RUN), ["g1", "g2"], "score", ["tie", "id"], n, row_group_bytes=size).collect()
+    got = top_n(spark.createDataFrame(data, RUN), ["g1", "g2"], "score", ["tie", "id"], n, head=head, row_group_rows=size).collect()
     assert {((r.g1, r.g2), r.id, r["rank"]) for r in got} == brute(data, n)
     assert len(got) == len(brute(data, n))
 
 
-def test_row_groups_of_a_hot_group_are_skipped(spark, tmp_path):
-    data = [(1, "hot", k, float(k), 0.0) for k in range(60_000)] + [(2, "cold", k, float(k), 0.0) for k in range(10)]
-    frame = spark.createDataFrame(data, "g1 bigint, g2 string, id bigint, score double, tie double")
-    path = f"file://{tmp_path}/clustered"
-    cluster(frame, ["g1", "g2"], "score", ["tie", "id"], path, row_group_bytes=4096)
-    files = spark.read.parquet(path).inputFiles()
-    stats = row_group_statistics(spark.createDataFrame([(f,) for f in files], "path string"), ["g1", "g2"], "score")
-    every, alive = stats.count(), surviving_row_groups(stats, 5)
-    assert every > 20 and alive.count() <= 6
-    assert alive.agg({"best": "min"}).first()[0] == 0.0
+def clustered(spark, tmp_path, data, **layout):
+    frame = prepared(spark.createDataFrame(data, RUN), ["g1", "g2"], "score", ["tie", "id"])
+    return cluster(frame, ["g1", "g2"], "score", ["tie", "id"], f"file://{tmp_path}/clustered", **layout), frame.schema
+
+
+def test_row_groups_are_skipped_by_their_runs(spark, tmp_path):
+    hot = [(1, "hot", k, float(k), 0.0, "", "") for k in range(60_000)]
+    small = [(2 + g, "cold", 100_000 + 40 * g + k, 1000.0 * g + k, 0.0, "", "") for g in range(500) for k in range(40)]
+    index, schema = clustered(spark, tmp_path, hot + small, row_group_rows=500)
+    total = skipping_report(index, schema, ["g1", "g2"], "score", 5).agg({"row_groups": "sum", "read": "sum", "rows": "sum", "rows_read": "sum"}).first()
+    assert total["sum(rows)"] == 80_000 and total["sum(rows_read)"] <= 16 * 501 + 500 and total["sum(read)"] < 30 < total["sum(row_groups)"]
+    got = best_of_index(index, schema, ["g1", "g2"], "score", ["tie", "id"], 5).collect()
+    assert {((r.g1, r.g2), r.id, r["rank"]) for r in got} == brute(hot + small, 5)
+
+
+def test_a_file_without_statistics_is_read_whole(spark, tmp_path):
+    data = runs(500)
+    index, schema = clustered(spark, tmp_path, data, row_group_rows=64)
+    for k, row in enumerate(index.collect()):
+        path = row.path.removeprefix("file://")
+        stored = pq.ParquetFile(path).read()
+        pq.write_table(stored.replace_schema_metadata(None) if k % 2 else stored, path, row_group_size=63)
+    report = skipping_report(index, schema, ["g1", "g2"], "score", 3).collect()
+    assert report and all(r.read == r.row_groups for r in report)
+    got = best_of_index(index, schema, ["g1", "g2"], "score", ["tie", "id"], 3).collect()
+    assert {((r.g1, r.g2), r.id, r["rank"]) for r in got} == brute(data, 3)
+
+
+def test_more_than_a_head_and_all_ties(spark):
+    data = [(1, "t", k, 1.0, 0.0, "", "") for k in range(900)] + [(2, "u", k, float(k // 30), 0.0, "", "") for k in range(900)]
+    for n in (5, 20, 100):
+        got = top_n(spark.createDataFrame(data, RUN), ["g1", "g2"], "score", ["tie", "id"], n, head=8, row_group_rows=128).collect()
+        assert {((r.g1, r.g2), r.id, r["rank"]) for r in got} == brute(data, n)
 
 
 def test_top_n_of_nothing(spark):
