@@ -1,26 +1,39 @@
 """Implausible readings by state-space forecasting per source.
 
 Each source has a local-level model of the logarithm of its price: the level
-moves by the source's own daily standard deviation, a reading adds little
-noise. A Kalman filter forecasts each reading; an innovation above
-``threshold`` of those standard deviations is held back from the update. A
-held-back reading whose successors return to the old level (or where sound
-returns take it) within ``back_within`` rows is a spike, together with the rows
-before the return; one whose successors stay is a lasting move, and the filter
-restarts from it. Runs over which the innovations of the noise-free filter vanish are
-stuck readings. Returns are judged against the filtered level.
+moves by a variance ``q`` a row, a reading adds noise of variance ``r``. Both are
+estimated from the source's own innovations: those of the noise-free filter,
+``d``, have variance ``q + 2 r`` and covariance ``-r`` with the one before. A
+Kalman filter forecasts each reading; an innovation above ``threshold`` of its
+stationary standard deviations is flagged and its update withheld. Sound returns
+are known steps of the level. From a flagged reading two filters go on, one that
+withheld it and one that takes it and those after it. Where a reading within ``back_within`` rows has
+the smaller innovation under the first, the readings up to it are spikes;
+otherwise the level has moved for good and the second filter holds.
+
+A return is a reading of the level's step. One whose own innovation is above the
+threshold is wrong unless the filtered step is nearer to it than to none; one
+after a withheld price is wrong if its innovation is smaller under the step from
+that price than under the filtered step.
+
+Readings are stuck where innovation variance vanishes: the innovations of the
+noise-free filter, of prices or of returns, have a root mean square of at most
+``vanish`` standard deviations over ``stuck_rows - 1`` rows.
 
 The recursion is sequential per source, so a source is cut into segments of
 ``segment`` rows with rows of warm-up before and look-ahead after; row numbers
-come from per-block counts, never from one sort of a whole source. Segments are
-padded into matrices and filtered side by side, one vector step per row.
+come from per-block counts, never from one sort of a whole source. Daily rows by
+block are written to the shared folder once, and segments of arrays once.
+Segments are padded into matrices and filtered side by side, one vector step per
+row.
 
 Defined results
     Repeated (source, date) rows count once, with the largest values (null only
     if all are null). Rows without source or date are left out; a null or NaN
-    reading is no case and breaks a run of stuck readings. A source without two
-    sound returns has no spread: only impossible and stuck readings are found.
-    Empty tables give an empty result; further columns are ignored.
+    reading is no case and breaks a run of stuck readings; returns of zero are
+    not stuck. A source without two sound innovations has no variance: only
+    impossible and stuck (then: equal) readings are found. Empty tables give an
+    empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,17 +46,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import clean_ticker, finite_or_null
+from strandline.functions.scalars import clean_ticker
+from strandline.session import scratch_table
 
 CASE_SCHEMA = "ticker string, day int, impossible boolean, spike boolean, stuck boolean, innovation double"
+SEGMENT_SCHEMA = "ticker string, part int, first int, day array<int>, p array<double>, r array<double>"
+MOMENT_SCHEMA = "ticker string, kind string, size int, n double, s double, ss double, pairs double, product double"
 
 
 @dataclass(frozen=True)
 class SpikeRule:
     threshold: float = 10.0  #: standard deviations
     back_within: int = 3  #: rows within which a spike returns
-    stuck_rows: int = 5  #: equal consecutive rows that make a run
-    noise: float = 0.01  #: variance of a reading's noise against the level's daily variance
+    stuck_rows: int = 5  #: consecutive rows that make a run
+    vanish: float = 1e-5  #: standard deviations below which innovations have vanished
     segment: int = 512  #: rows of a segment
     warm_up: int = 64  #: rows before it
     block_days: int = 256  #: days of a block in which rows are numbered
@@ -53,49 +69,76 @@ class SpikeRule:
         return max(self.back_within, self.stuck_rows) + 1
 
 
-#: Natural logarithm of the width of the size classes that the spread is read from.
-CLASS = 0.02
+#: Natural logarithm of the width of the size classes by which innovations are summed.
+CLASS = 0.1
+
+
+def _logs(price: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(np.isfinite(price) & (price > 0), np.log(np.where(price > 0, price, 1.0)), np.nan)
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Innovations of the noise-free filter along axis 1; NaN where a reading or the one before is missing."""
+    out = np.full_like(values, np.nan)
+    out[:, 1:] = values[:, 1:] - values[:, :-1]
+    return out
+
+
+def _moments(price: np.ndarray, ret: np.ndarray, own: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, segment, class, sums) of the own innovations of segments: number, sum, squares, pairs and products of neighbours."""
+    for kind, x in (("price", _steps(_logs(price))), ("return", np.where(np.isfinite(ret), ret, np.nan))):
+        before = np.full_like(x, np.nan)
+        before[:, 1:] = x[:, :-1]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            size, largest = np.abs(x), np.maximum(np.abs(x), np.abs(before))
+            for value, sums in ((size, lambda at: (np.ones(len(at[0])), x[at], x[at] ** 2, None, None)), (largest, lambda at: (None, None, None, np.ones(len(at[0])), x[at] * before[at]))):
+                at = np.nonzero(own & (value > 0))
+                yield kind, at[0], np.floor(np.log(value[at]) / CLASS).astype(np.int64), np.array([np.zeros(len(at[0])) if v is None else v for v in sums(at)])
 
 
-def sound_spread(daily: DataFrame) -> DataFrame:
-    """Standard deviation of each source's sound returns.
+def source_variances(moments: DataFrame) -> DataFrame:
+    """(ticker, level, noise, spread): variances of level and noise and the standard deviation of returns.
 
-    Returns count as sound within ten robust deviations (median absolute return
-    / 0.6745) of zero, and in a second step within eight of the standard
-    deviations found so. Rows are first summed by source and size class, classes
-    2 % wide; the limits fall on class edges. A source has a few thousand
-    classes at most, whatever its rows.
+    Innovations count as sound within ten robust deviations (median size /
+    0.6745) of zero, and in a second step within eight of the standard
+    deviations found so. They are summed by source and size class, classes a
+    tenth wide; the limits fall on class edges. A source has some hundred
+    classes, whatever its rows.
     """
-    classes = (
-        daily.select("ticker", finite_or_null("log_return").alias("r"))
-        .where("r is not null and r <> 0")
-        .groupBy("ticker", F.floor(F.ln(F.abs("r")) / F.lit(CLASS)).cast("int").alias("size"))
-        .agg(F.count("*").cast("double").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss"))
-    )
-    whole = Window.partitionBy("ticker")
+    keys = ["ticker", "kind"]
+    classes = moments.groupBy(*keys, "size").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss", "pairs", "product")))
+    whole = Window.partitionBy(*keys)
     upto = whole.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     ranked = classes.withColumns({"reached": F.sum("n").over(upto), "all": F.sum("n").over(whole)})
     out = ranked.withColumn("limit", F.min(F.when(F.col("reached") * 2 >= F.col("all"), F.col("size"))).over(whole) + F.lit(np.log(10 / 0.6745) / CLASS))
     for factor in (8, None):
-        inside = F.col("size") <= F.col("limit")
-        n, s, ss = (F.sum(F.when(inside, F.col(c))).over(whole) for c in ("n", "s", "ss"))
-        out = out.withColumn("spread", F.when(n > 1, F.sqrt(F.greatest((ss - s * s / n) / (n - 1), F.lit(0.0)))))
+        n, s, ss, pairs, product = (F.sum(F.when(F.col("size") <= F.col("limit"), F.col(c))).over(whole) for c in ("n", "s", "ss", "pairs", "product"))
+        variance = F.when(n > 1, F.greatest((ss - s * s / n) / (n - 1), F.lit(0.0)))
+        out = out.withColumns({"variance": variance, "covariance": F.coalesce(product / F.nullif(pairs, F.lit(0.0)) - (s / n) * (s / n), F.lit(0.0))})
         if factor:
-            out = out.withColumn("limit", F.floor(F.ln(F.col("spread") * factor) / F.lit(CLASS)))
-    return out.groupBy("ticker").agg(F.max("spread").alias("spread"))
+            out = out.withColumn("limit", F.floor(F.ln(F.sqrt("variance") * factor) / F.lit(CLASS)))
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    found = out.groupBy("ticker").agg(of("price", "variance").alias("v"), of("price", "covariance").alias("c"), of("return", "variance").alias("spread2"))
+    v = F.coalesce(F.nullif("v", F.lit(0.0)), "spread2")
+    # a level keeps at least a tenth of the variance: noise alone would freeze it
+    noise = F.when(F.col("v") > 0, F.least(F.greatest(-F.col("c"), F.lit(0.0)), 0.45 * F.col("v"))).otherwise(0.0)
+    return found.select("ticker", (v - 2 * noise).alias("level"), noise.alias("noise"), F.sqrt(F.coalesce(F.nullif("spread2", F.lit(0.0)), v)).alias("spread"))
 
 
-def _runs(values: np.ndarray, usable: np.ndarray, least: int) -> np.ndarray:
-    """Marks all but the first row of each run of ``least`` or more equal usable values, along axis 1."""
-    n, t = values.shape
-    same = np.zeros((n, t), bool)
-    same[:, 1:] = usable[:, 1:] & usable[:, :-1] & (values[:, 1:] == values[:, :-1])
-    length = np.zeros((n, t), np.int32)
-    for j in range(1, t):
-        length[:, j] = np.where(same[:, j], length[:, j - 1] + 1, 0)
-    for j in range(t - 2, -1, -1):
-        length[:, j] = np.where(same[:, j] & same[:, j + 1], length[:, j + 1], length[:, j])
-    return same & (length >= least - 1)
+def _vanished(innovation: np.ndarray, scale: np.ndarray, least: int) -> np.ndarray:
+    """Rows of each stretch of ``least`` or more innovations whose mean square is at most ``scale`` squared."""
+    n, t = innovation.shape
+    out = np.zeros((n, t), bool)
+    if t < least:
+        return out
+    square = np.where(np.isnan(innovation), np.inf, innovation**2)
+    # windows by addition, so that one large innovation leaves no rounding in the next window
+    total = sum(square[:, k : t - least + 1 + k] for k in range(least))
+    small = total <= least * scale[:, None] ** 2
+    for k in range(least):
+        out[:, k : t - least + 1 + k] |= small
+    return out
 
 
 def _ahead(matrix: np.ndarray, k: int, fill: float | bool) -> np.ndarray:
@@ -104,157 +147,182 @@ def _ahead(matrix: np.ndarray, k: int, fill: float | bool) -> np.ndarray:
     return out
 
 
-def judge(price: np.ndarray, ret: np.ndarray, spread: np.ndarray, rule: SpikeRule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(impossible, spike, stuck, innovation) of padded matrices of series; NaN is no reading."""
+def judge(price: np.ndarray, ret: np.ndarray, level: np.ndarray, noise: np.ndarray, spread: np.ndarray, rule: SpikeRule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(impossible, spike, stuck, standardised innovation) of padded matrices of series; NaN is no reading."""
     n, t = price.shape
     impossible = np.isinf(price) | (price <= 0) | np.isinf(ret)
-    stuck = _runs(price, ~np.isnan(price), rule.stuck_rows) | _runs(ret, ~np.isnan(ret) & (ret != 0), rule.stuck_rows)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        y = np.where(np.isfinite(price) & (price > 0), np.log(np.where(price > 0, price, 1.0)), np.nan)
+    y = _logs(price)
     valid = ~np.isnan(y)
-    known = np.isfinite(spread) & (spread > 0)
-    q = np.where(known, spread, 1.0) ** 2
+    known = np.isfinite(level) & (level > 0) & np.isfinite(spread) & (spread > 0)
+    q, noise, spread = np.where(known, level, 1.0), np.where(known, noise, 0.0), np.where(known, spread, 1.0)
+    # variance of the filtered level and of innovations once the gain stands still
+    settled = (np.sqrt(q * q + 4 * q * noise) - q) / 2
+    scale = np.sqrt(settled + q + noise)
+    gone = rule.vanish * np.where(known, scale, 0.0), rule.vanish * np.where(known, spread, 0.0)
+    with np.errstate(invalid="ignore"):
+        moving = np.where(np.isfinite(ret) & (np.abs(ret) > gone[1][:, None]), ret, np.nan)
+    stuck = _vanished(_steps(y), gone[0], rule.stuck_rows - 1) | _vanished(_steps(moving), gone[1], rule.stuck_rows - 1)
     # the level starts at the median of the first readings, so that a wrong first reading is seen
     rank = np.cumsum(valid, axis=1)
     with np.errstate(all="ignore"):
-        head = np.where(valid & (rank <= 5), y, np.nan)
-        middle = np.nanmedian(np.where(rank[:, -1:] > 0, head, 0.0), axis=1)
+        start = np.where(valid & (rank <= 5), y, np.nan)
+        middle = np.nanmedian(np.where(rank[:, -1:] > 0, start, 0.0), axis=1)
     first = np.take_along_axis(y, np.argmax(valid, axis=1)[:, None], axis=1)[:, 0]
-    near = np.abs(first - middle) <= rule.threshold * np.sqrt(q)
-    x, p = np.where(near, first, middle), q * rule.noise
+    limit, far = rule.threshold * scale, rule.threshold * spread
+    x, p = np.where(np.abs(first - middle) <= limit, first, middle), settled.copy()
     spike = np.zeros((n, t), bool)
     held = np.zeros((n, t + rule.back_within), bool)  # rows of a spike that has not returned yet
-    level, innovation = np.full((n, t), np.nan), np.full((n, t), np.nan)
-    noise, limit = q * rule.noise, rule.threshold * np.sqrt(q)
-    # the level's own way while a spike lasts, from returns that are sound themselves
+    forecast, innovation = np.full((n, t), np.nan), np.full((n, t), np.nan)
+    # a sound return is a known step of the level, unless it starts from a withheld reading
     with np.errstate(invalid="ignore"):
-        way = np.where(np.isfinite(ret) & (np.abs(ret) <= limit[:, None]), ret, 0.0)
-    ahead = [(_ahead(y, k, np.nan), _ahead(valid, k, False), _ahead(way, k, 0.0)) for k in range(1, rule.back_within + 1)]
+        way = np.where(np.isfinite(ret) & (np.abs(ret) <= far[:, None]), ret, 0.0)
+    ahead = [(_ahead(y, k, np.nan), _ahead(valid, k, False)) for k in range(1, rule.back_within + 1)]
     for j in range(t):
         p = p + q
+        forecast[:, j] = x
+        x = x + np.where(spike[:, j - 1], 0.0, way[:, j]) if j else x
         v = y[:, j] - x
-        level[:, j], innovation[:, j] = x, v / np.sqrt(q)
+        innovation[:, j] = v / scale
         with np.errstate(invalid="ignore"):
-            big = valid[:, j] & (np.abs(v) > limit) & ~held[:, j]
-        moved = big
-        if big.any():
-            returns_at, any_ahead, drift = np.zeros(n, np.int64), np.zeros(n, bool), way[:, j].copy()
+            flagged = valid[:, j] & (np.abs(v) > limit) & ~held[:, j]
+        taken = flagged
+        if flagged.any():
+            returns_at, any_ahead, other = np.zeros(n, np.int64), np.zeros(n, bool), y[:, j]
             with np.errstate(invalid="ignore"):
-                for k, (later, there, step) in enumerate(ahead, 1):
-                    drift += step[:, j]
-                    off = np.minimum(np.abs(later[:, j] - x), np.abs(later[:, j] - x - drift))
-                    returns_at = np.where((returns_at == 0) & there[:, j] & (off <= 0.5 * np.abs(v)), k, returns_at)
+                for k, (later, there) in enumerate(ahead, 1):
+                    withheld, followed = np.abs(later[:, j] - x), np.abs(later[:, j] - other)
+                    other = np.where(there[:, j], later[:, j], other)
+                    returns_at = np.where((returns_at == 0) & there[:, j] & (withheld < followed), k, returns_at)
                     any_ahead |= there[:, j]
-                # nothing follows: a move its own return confirms is no spike
-                confirmed = np.abs(ret[:, j] - v) <= 0.5 * np.abs(v)
-            wrong = big & np.where(any_ahead, returns_at > 0, ~confirmed)
+                # nothing follows: the reading's own return decides between the two
+                backed = np.abs(ret[:, j] - v) < np.abs(ret[:, j])
+            wrong = flagged & np.where(any_ahead, returns_at > 0, ~backed)
             for k in range(1, rule.back_within):
                 held[:, j + k] |= wrong & (returns_at > k)
-            spike[:, j], moved = wrong, big & ~wrong
+            spike[:, j], taken = wrong, flagged & ~wrong
         spike[:, j] |= held[:, j] & valid[:, j]
         use = valid[:, j] & ~spike[:, j]
-        gain = np.where(moved, 1.0, p / (p + noise))
+        gain = np.where(taken, 1.0, p / (p + noise))
         x = np.where(use, x + gain * np.nan_to_num(v), x)
-        p = np.where(use, np.where(moved, noise, (1 - gain) * p), p)
-    # returns: large ones that the level does not follow, or that come from a wrong price
-    limit = limit[:, None]
-    follow, seen = np.where(valid & ~spike, y, np.nan), valid & ~spike
+        p = np.where(use, np.where(taken, noise, (1 - gain) * p), p)
+    # the level each return leads to: its own reading, or the next one that was not withheld
+    seen = valid & ~spike
+    reached = np.where(seen, y, np.nan)
     for k in range(1, rule.back_within + 1):
-        later = _ahead(np.where(spike, np.nan, y), k, np.nan)
-        follow = np.where(~seen & ~spike & np.isnan(follow), later, follow)
+        reached = np.where(~seen & ~spike & np.isnan(reached), _ahead(np.where(spike, np.nan, y), k, np.nan), reached)
     with np.errstate(invalid="ignore"):
-        large = np.isfinite(ret) & (np.abs(ret) > limit)
-        matched = np.abs((follow - level) - ret) <= 0.5 * np.abs(ret)
-        unfollowed = large & ~matched
+        step = reached - forecast
+        far_off = np.isfinite(ret) & (np.abs(ret) > far[:, None])
+        unfollowed = far_off & ~(np.abs(ret - step) < np.abs(step))
         before = np.full((n, t), np.nan)
         before[:, 1:] = np.where(spike[:, :-1], y[:, :-1], np.nan)
-        step = y - before
-        derived = np.isfinite(ret) & (np.abs(ret - step) <= 1e-4 * np.maximum(1.0, np.abs(step))) & (np.abs(ret) > 0.5 * limit)
-    spike = (spike | unfollowed | derived) & known[:, None]
-    return impossible, spike, stuck, innovation
+        derived = np.isfinite(ret) & (np.abs(ret - (y - before)) < np.abs(ret - step))
+    return impossible, (spike | unfollowed | derived) & known[:, None], stuck, innovation
 
 
-def find_cases(frame: DataFrame, rule: SpikeRule | None = None) -> DataFrame:
-    """(ticker, date, impossible, spike, stuck, innovation) of every row that is a case."""
-    rule = rule or SpikeRule()
-    daily = (
+def daily_blocks(frame: DataFrame, rule: SpikeRule) -> DataFrame:
+    """(ticker, block, day, p, r): each block's days in order as arrays, repeats counted once; one shuffle."""
+    nothing = F.lit(float("nan"))
+    return (
         frame.select(
             clean_ticker("ticker").alias("ticker"),
             F.datediff(F.col("date").cast("date"), F.lit("1970-01-01").cast("date")).alias("day"),
-            F.col("adj_close").cast("double").alias("adj_close"),
-            F.col("log_return").cast("double").alias("log_return"),
+            F.col("adj_close").cast("double").alias("p"),
+            F.col("log_return").cast("double").alias("r"),
         )
         .where("ticker is not null and day is not null")
         .withColumn("block", F.floor(F.col("day") / F.lit(float(rule.block_days))).cast("int"))
         .repartition("ticker", "block")
         .groupBy("ticker", "block", "day")
-        .agg(F.max("adj_close").alias("adj_close"), F.max("log_return").alias("log_return"))
-    )
-    blocks = (
-        daily.groupBy("ticker", "block")
-        .agg(F.count("*").alias("rows"))
-        .select(
-            "ticker", "block", F.coalesce(F.sum("rows").over(Window.partitionBy("ticker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset")
-        )
+        .agg(F.max("p").alias("p"), F.max("r").alias("r"))
+        .groupBy("ticker", "block")
+        .agg(F.sort_array(F.collect_list(F.struct("day", F.coalesce("p", nothing).alias("p"), F.coalesce("r", nothing).alias("r")))).alias("rows"))
+        .select("ticker", "block", *(F.col(f"rows.{x}").alias(x) for x in ("day", "p", "r")))
     )
-    # offset and spread reach the rows by block: no source meets itself in one task
-    blocks = blocks.join(sound_spread(daily), "ticker", "left")
-    numbered = daily.withColumn("n", F.row_number().over(Window.partitionBy("ticker", "block").orderBy("day"))).join(blocks, ["ticker", "block"])
-    n = (F.col("offset") + F.col("n") - 1).alias("n")
-    length = F.lit(float(rule.segment))
-    own = F.floor(F.col("n") / length).cast("int")
-    inside = F.col("n") - own * rule.segment
-    homes = F.array_compact(
-        F.array(
-            F.struct(own.alias("part"), F.lit(True).alias("own")),
-            F.when(inside >= rule.segment - rule.warm_up, F.struct((own + 1).alias("part"), F.lit(False).alias("own"))),
-            F.when((inside < rule.look_ahead) & (own > 0), F.struct((own - 1).alias("part"), F.lit(False).alias("own"))),
-        )
-    )
-    segments = (
-        numbered.select("ticker", n, "day", "adj_close", "log_return", "spread")
-        .select("ticker", "n", "day", "adj_close", "log_return", "spread", F.explode(homes).alias("home"))
-        .groupBy("ticker", "home.part")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("n", "day", F.coalesce("adj_close", F.lit(float("nan"))).alias("p"), F.coalesce("log_return", F.lit(float("nan"))).alias("r"), F.col("home.own").alias("own"))
-                )
-            ).alias("rows"),
-            F.max("home.own").alias("any_own"),
-            F.max("spread").alias("spread"),
-        )
-        .where("any_own")
-        .select("ticker", "spread", *(F.col(f"rows.{x}").alias(x) for x in ("day", "p", "r", "own")))
+
+
+def segments(blocks: DataFrame, rule: SpikeRule) -> DataFrame:
+    """(ticker, part, first, day, p, r): segments of rows by number, with warm-up and look-ahead; ``first`` numbers the first row."""
+    sized = blocks.withColumn("rows", F.size("day"))
+    earlier = Window.partitionBy("ticker").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # blocks of a source, not rows; they join by block, so no source meets itself in one task
+    offsets = sized.select("ticker", "block", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).cast("int").alias("offset"))
+    length, last = F.lit(float(rule.segment)), F.col("offset") + F.col("rows")
+    parts = F.sequence(F.greatest(F.floor((F.col("offset") - rule.look_ahead) / length), F.lit(0)).cast("int"), F.floor((last - 1 + rule.warm_up) / length).cast("int"))
+    cut = sized.join(offsets, ["ticker", "block"]).withColumn("part", F.explode(parts))
+    low, high = F.greatest(F.col("part") * rule.segment - rule.warm_up, F.col("offset")), F.least((F.col("part") + 1) * rule.segment + rule.look_ahead, last)
+    pieces = cut.withColumns({"low": low.cast("int"), "high": high.cast("int")}).where("low < high")
+    own = lambda c: F.slice(c, F.col("low") - F.col("offset") + 1, F.col("high") - F.col("low")).alias(c)
+    gathered = pieces.groupBy("ticker", "part").agg(
+        F.sort_array(F.collect_list(F.struct("low", own("day"), own("p"), own("r")))).alias("rows"), F.min("low").alias("first"), F.max("high").alias("high")
     )
+    holds = (F.col("high") > F.col("part") * rule.segment) & (F.col("first") < (F.col("part") + 1) * rule.segment)
+    return gathered.where(holds).select("ticker", "part", "first", *(F.flatten(f"rows.{x}").alias(x) for x in ("day", "p", "r")))
+
+
+def _padded(batch: pa.RecordBatch, rule: SpikeRule, together: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(part of the batch, price, return, day, own) as matrices of segments."""
+    for start in range(0, batch.num_rows, together):
+        part = batch.slice(start, together)
+        take = lambda x: part.column(part.schema.get_field_index(x))  # noqa: B023, E731
+        size = np.diff(take("day").offsets.to_numpy())
+        shape = (len(size), int(size.max()))
+        inside = np.arange(shape[1]) < size[:, None]
+        price, ret, day = np.full(shape, np.nan), np.full(shape, np.nan), np.zeros(shape, np.int32)
+        for matrix, name in ((price, "p"), (ret, "r"), (day, "day")):
+            matrix[inside] = take(name).flatten().to_numpy(zero_copy_only=False)
+        number = take("first").to_numpy()[:, None] + np.arange(shape[1]) - take("part").to_numpy()[:, None].astype(np.int64) * rule.segment
+        yield part, price, ret, day, inside & (number >= 0) & (number < rule.segment)
+
+
+def segment_moments(parts: DataFrame, rule: SpikeRule) -> DataFrame:
+    """Sums of the innovations of each segment by size class."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, price, ret, _, own in _padded(batch, rule):
+                # one number per source of the batch, so that its segments add up here
+                source = part.column(part.schema.get_field_index("ticker")).dictionary_encode()
+                codes = source.indices.to_numpy()
+                for kind, segment, size, sums in _moments(price, ret, own):
+                    if not len(size):
+                        continue
+                    low = int(size.min())
+                    keys, at = np.unique(codes[segment].astype(np.int64) * 100_000 + (size - low), return_inverse=True)
+                    total = [np.bincount(at, x, len(keys)) for x in sums]
+                    yield pa.RecordBatch.from_arrays(
+                        [source.dictionary.take(pa.array(keys // 100_000)), pa.array([kind] * len(keys)), pa.array((keys % 100_000 + low).astype(np.int32)), *map(pa.array, total)],
+                        names=[x.split()[0] for x in MOMENT_SCHEMA.split(", ")],
+                    )
+
+    return parts.mapInArrow(measure, MOMENT_SCHEMA)
+
+
+def find_cases(frame: DataFrame, rule: SpikeRule | None = None) -> DataFrame:
+    """(ticker, date, impossible, spike, stuck, innovation) of every row that is a case."""
+    rule, spark = rule or SpikeRule(), frame.sparkSession
+
+    def stored(rows: DataFrame, label: str) -> DataFrame:
+        path = scratch_table(spark, label)
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    parts = stored(segments(stored(daily_blocks(frame, rule), "blocks"), rule), "segments")
+    # variances are one row per source; sources join by segment
+    judged = parts.join(source_variances(segment_moments(parts, rule)), "ticker", "left")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                take = lambda x: batch.column(batch.schema.get_field_index(x))  # noqa: B023, E731
-                lists = take("day")
-                size = np.diff(lists.offsets.to_numpy())
-                shape = (len(size), int(size.max()) if len(size) else 0)
-                if not shape[1]:
-                    continue
-                inside = np.arange(shape[1]) < size[:, None]
-                price, ret, day, own = np.full(shape, np.nan), np.full(shape, np.nan), np.zeros(shape, np.int32), np.zeros(shape, bool)
-                for matrix, name in ((price, "p"), (ret, "r"), (day, "day"), (own, "own")):
-                    matrix[inside] = take(name).flatten().to_numpy(zero_copy_only=False)
-                spread = take("spread").to_numpy(zero_copy_only=False).astype(float)
-                impossible, spike, stuck, innovation = judge(price, ret, spread, rule)
+        for batch in batches:
+            for part, price, ret, day, own in _padded(batch, rule):
+                take = lambda x: part.column(part.schema.get_field_index(x))  # noqa: B023, E731
+                variances = (take(x).to_numpy(zero_copy_only=False).astype(float) for x in ("level", "noise", "spread"))
+                impossible, spike, stuck, innovation = judge(price, ret, *variances, rule)
                 row, at = np.nonzero((impossible | spike | stuck) & own)
                 got = innovation[row, at]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        take("ticker").take(pa.array(row)),
-                        pa.array(day[row, at]),
-                        *(pa.array(x[row, at]) for x in (impossible, spike, stuck)),
-                        pa.array(got, mask=np.isnan(got)),
-                    ],
-                    names=["ticker", "day", "impossible", "spike", "stuck", "innovation"],
+                    [take("ticker").take(pa.array(row)), pa.array(day[row, at]), *(pa.array(x[row, at]) for x in (impossible, spike, stuck)), pa.array(got, mask=np.isnan(got))],
+                    names=[x.split()[0] for x in CASE_SCHEMA.split(", ")],
                 )
 
-    found = segments.mapInArrow(scan, CASE_SCHEMA)
+    found = judged.mapInArrow(scan, CASE_SCHEMA)
     return found.select("ticker", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).alias("date"), "impossible", "spike", "stuck", "innovation")

@@ -8,7 +8,7 @@ import pytest
 
 from strandline.operators.rolling_tree import TreeLayout, build_trees, correct_trees, rolling_totals, trailing_totals
 from strandline.operators.snapshot_diff import read_instant, snapshot_changes
-from strandline.operators.spikes import SpikeRule, find_cases, judge
+from strandline.operators.spikes import SpikeRule, daily_blocks, find_cases, judge, segment_moments, segments, source_variances
 from strandline.functions.scalars import significant_code
 
 DAY = date(2020, 1, 1)
@@ -181,7 +181,47 @@ def test_spikes_defined_on_odd_tables(spark):
     assert [(r.ticker, r.impossible) for r in find_cases(spark.createDataFrame(rows, ddl)).collect()] == [("B", True)]
 
 
-def test_judge_without_spread_finds_no_spikes():
-    price = np.array([[1.0, 1.0, 1.0, 1.0, 1.0, 9.0]])
-    impossible, spike, stuck, _ = judge(price, np.zeros_like(price), np.array([np.nan]), SpikeRule())
+def test_judge_without_variance_finds_no_spikes():
+    price, none = np.array([[1.0, 1.0, 1.0, 1.0, 1.0, 9.0]]), np.array([np.nan])
+    impossible, spike, stuck, _ = judge(price, np.zeros_like(price), none, none, none, SpikeRule())
     assert not spike.any() and not impossible.any() and stuck.sum() == 4
+
+
+@pytest.mark.parametrize("jitter", [0.0, 1e-9])
+def test_vanishing_innovation_variance_is_stuck(spark, jitter):
+    p, r = market()
+    p[200:220] = p[200] * (1 + jitter * np.random.default_rng(1).standard_normal(20))
+    r[300:310] = 0.02 + jitter * np.random.default_rng(2).standard_normal(10)
+    got = run(spark, p, r)
+    assert {k for k, x in got.items() if x.stuck} == {*range(201, 220), *range(301, 310)}
+
+
+def test_variances_of_level_and_noise_are_estimated(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for name, level, noise in (("CALM", 0.01, 0.0), ("NOISY", 0.01, 0.02)):
+        x = np.cumsum(rng.normal(0, level, 4000))
+        p = np.exp(x + rng.normal(0, noise, 4000))
+        p[777] *= 30
+        rows += [(name, DAY + timedelta(k), float(v), float(rng.normal(0, 0.01))) for k, v in enumerate(p)]
+    rule = SpikeRule()
+    parts = segments(daily_blocks(spark.createDataFrame(rows, "ticker string, date date, adj_close double, log_return double"), rule), rule)
+    found = {r.ticker: r for r in source_variances(segment_moments(parts, rule)).collect()}
+    assert found["CALM"].level == pytest.approx(1e-4, rel=0.15) and found["CALM"].noise < 1e-5
+    assert found["NOISY"].noise == pytest.approx(4e-4, rel=0.15) and found["NOISY"].level == pytest.approx(1e-4, rel=0.5)
+    assert found["NOISY"].spread == pytest.approx(0.01, rel=0.05)
+
+
+def test_doubtful_moves(spark):
+    p, r = market()
+    steps = np.diff(np.log(p), prepend=np.log(p[0]))
+    p[50] *= math.exp(0.12)  # true return, and a step of the level against it
+    p[100:] *= math.exp(0.14)  # lasting, halfway back later by ordinary steps
+    r[100] = steps[100] + 0.14
+    p[150:152] *= math.exp(-0.15)  # two rows with the returns computed from them
+    for k in (150, 152):
+        r[k] = math.log(p[k] / p[k - 1])
+    p[200] *= math.exp(0.2)  # the last reading before a stretch without any
+    p[201:205] = NAN
+    got = run(spark, p, r)
+    assert set(got) == {50, 150, 151, 152, 200}
