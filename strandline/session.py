@@ -43,8 +43,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, one machine) a temporary folder is
-    chosen once per session and set as the checkpoint folder.
+    Where the setting is absent a session on one machine (master ``local``)
+    chooses a temporary folder once and sets it as the checkpoint folder; on a
+    cluster, where executors would each see their own, it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -52,14 +53,30 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return context._jsc.sc().getCheckpointDir().get()
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="strandline-")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_table(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder for a table written on the way."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder for a table written on the way; ``release`` removes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the application's scratch tables, once the frames that read them are done with; the number removed."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
 
 
 def spread(frame: DataFrame, *keys: str) -> DataFrame:

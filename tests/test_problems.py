@@ -225,3 +225,19 @@ def test_doubtful_moves(spark):
     p[201:205] = NAN
     got = run(spark, p, r)
     assert set(got) == {50, 150, 151, 152, 200}
+
+
+def test_scratch_tables_need_a_shared_folder_and_are_released(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from strandline import session
+
+    path = session.scratch_table(spark, "test")
+    spark.range(3).write.parquet(path)
+    assert session.release(spark) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+    undefined = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: undefined)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(cluster)
