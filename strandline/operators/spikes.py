@@ -46,6 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.joins import join_counted
 from strandline.functions.scalars import clean_ticker
 from strandline.session import scratch_table
 
@@ -308,8 +309,8 @@ def find_cases(frame: DataFrame, rule: SpikeRule | None = None) -> DataFrame:
         return spark.read.schema(rows.schema).parquet(path)
 
     parts = stored(segments(stored(daily_blocks(frame, rule), "blocks"), rule), "segments")
-    # variances are one row per source; sources join by segment
-    judged = parts.join(source_variances(segment_moments(parts, rule)), "ticker", "left")
+    # one narrow row per source, sent along where counted few: segments of a hot source stay apart
+    judged = join_counted(parts, stored(source_variances(segment_moments(parts, rule)), "variances"), ["ticker"], "left")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
