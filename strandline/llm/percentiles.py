@@ -41,8 +41,8 @@ class BucketScale:
 
     @property
     def step(self) -> float:
-        """Natural logarithm of gamma; a hair narrower than the error allows, for rounding at bucket edges."""
-        inner = self.error * (1 - 1e-9)
+        """Natural logarithm of gamma; a millionth narrower than the error allows, for rounding at bucket edges and of published digits."""
+        inner = self.error * (1 - 1e-6)
         return math.log((1 + inner) / (1 - inner))
 
     @property

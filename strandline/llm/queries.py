@@ -16,20 +16,36 @@ from strandline.session import scratch_table, table
 PROBABILITIES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
+#: Days of a time shard in which repeated deliveries are removed and values counted.
+_SHARD_DAYS = 2048
+
+
 def _returns_once(spark: SparkSession, folder: str) -> DataFrame:
-    """A (ticker, date) once; delivered copies hold the same value, and should they differ the largest counts."""
+    """A (ticker, date) once; delivered copies hold the same value, and should they differ the largest counts.
+
+    Rows are shuffled once, by ticker and time shard; a ticker's values meet
+    there, so that counts by bucket shrink before they are shuffled.
+    """
+    shard = F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / F.lit(float(_SHARD_DAYS)))
     return (
         table(spark, folder, "dataset")
         .select(clean_ticker("ticker").alias("ticker"), "date", F.when(~F.isnan("log_return"), F.col("log_return")).alias("log_return"))
         .where("ticker is not null and date is not null")
-        .groupBy("ticker", "date")
+        .withColumn("shard", shard.cast("int"))
+        .repartition("ticker", "shard")
+        .groupBy("ticker", "shard", "date")
         .agg(F.max("log_return").alias("log_return"))
     )
 
 
+#: Digits to which percentiles are published; their error, 5e-10 of the value, is within the reserve of ``BucketScale``.
+_DIGITS = 9
+
+
 def _percentiles(sketches: DataFrame) -> DataFrame:
     found = read_percentiles(sketches, ["ticker"], PROBABILITIES, BucketScale())
-    return found.withColumns({c: F.round(c, 9) for c in found.columns if c[0] == "p"})
+    shown = lambda c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{_DIGITS - 1}e", F.col(c)).cast("double"))
+    return found.withColumns({c: shown(c) for c in found.columns if c[0] == "p"})
 
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,8 +142,8 @@ _P1_COLUMNS = ", ".join(
     f"round(min(CASE WHEN reached > floor({p!r} * (n - 1)) THEN bucket END), 0) AS b{int(p * 100):02d}" for p in PROBABILITIES
 )
 _P1_VALUES = ", ".join(
-    f"round(CASE WHEN b{int(p * 100):02d} = 0 THEN 0 WHEN abs(b{int(p * 100):02d}) > {2 * _HALF} THEN sign(b{int(p * 100):02d}) * CAST('inf' AS DOUBLE)"
-    f" ELSE sign(b{int(p * 100):02d}) * exp((abs(b{int(p * 100):02d}) - {_HALF}) * {_STEP!r}) * (2 / (exp({_STEP!r}) + 1)) END, 9) AS p{int(p * 100):02d}"
+    f"CAST(printf('%.{_DIGITS - 1}e', CASE WHEN b{int(p * 100):02d} = 0 THEN 0 WHEN abs(b{int(p * 100):02d}) > {2 * _HALF} THEN sign(b{int(p * 100):02d}) * CAST('inf' AS DOUBLE)"
+    f" ELSE sign(b{int(p * 100):02d}) * exp((abs(b{int(p * 100):02d}) - {_HALF}) * {_STEP!r}) * (2 / (exp({_STEP!r}) + 1)) END) AS DOUBLE) AS p{int(p * 100):02d}"
     for p in PROBABILITIES
 )
 _P1 = f"""

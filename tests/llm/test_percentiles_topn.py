@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from strandline.llm import queries
 from strandline.llm.percentiles import BucketScale, column_of, combine, read_percentiles, sketch
 from strandline.llm.topn import best_of_index, cluster, prepared, skipping_report, top_n
 
@@ -53,6 +54,16 @@ def test_sketches_of_parts_combine_to_the_whole(spark):
     assert as_set(combine(union, ["g"])) == as_set(sketch(frame, ["g"], "v", scale)) == as_set(combine(sketch(frame, ["g", "part"], "v", scale), ["g"]))
 
 
+def test_published_percentiles_keep_the_stated_error(spark):
+    values = {"TINY": 3.4e-9, "LEAST": 7.7e-300, "MINUS": -2.9e-7, "LARGE": 1.234e200}
+    frame = spark.createDataFrame([(t, v * (1 + k / 50)) for t, v in values.items() for k in range(11)], "ticker string, v double")
+    for r in queries._percentiles(sketch(frame, ["ticker"], "v", BucketScale())).collect():
+        own = sorted(values[r.ticker] * (1 + k / 50) for k in range(11))
+        for p in queries.PROBABILITIES:
+            exact = own[math.floor(p * 10)]
+            assert abs(r[column_of(p)] - exact) <= r.relative_error * abs(exact), (r.ticker, p)
+
+
 def test_percentiles_of_nothing(spark):
     scale = BucketScale()
     assert read_percentiles(sketch(spark.createDataFrame([], DDL), ["g"], "v", scale), ["g"], (0.5,), scale).count() == 0
