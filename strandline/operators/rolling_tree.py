@@ -25,9 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.joins import join_counted
+from strandline.session import stored
+
+#: Shards with corrections that may be sent along: some 40 MB with all their days.
+MOST_SHARDS = 10_000
 TREE_SCHEMA = "entity string, shard int, first_day int, last_day int, sums array<double>, counts array<int>, nonfinite array<int>"
 
 
@@ -181,10 +186,18 @@ def correct_trees(trees: DataFrame, corrections: DataFrame, layout: TreeLayout,
     """Trees after late rows: each row sets its day's reading (null removes it).
 
     Only the leaf of the day and its ancestors are recomputed, in the one or
-    two trees that hold the day. Corrections move neither first nor last day;
-    a day outside its entity's trees is ignored. Of several corrections of one
-    day the largest value holds.
+    two trees that hold the day. Other trees pass by untouched: where the shards
+    with corrections are counted few they are sent along and no tree is
+    shuffled. Corrections move neither first nor last day; a day outside its
+    entity's trees is ignored. Of several corrections of one day the largest
+    value holds.
     """
+    touched, others = _touched(trees, corrections, layout, entity=entity, date=date, value=value)
+    return touched.unionByName(others)
+
+
+def _touched(trees: DataFrame, corrections: DataFrame, layout: TreeLayout, *, entity: str = "ticker", date: str = "date", value: str = "log_return") -> tuple[DataFrame, DataFrame]:
+    """The corrected trees and those without corrections."""
     rows = _daily(corrections, entity, date, value)
     late = (
         _leaf_rows(rows, layout)
@@ -194,10 +207,10 @@ def correct_trees(trees: DataFrame, corrections: DataFrame, layout: TreeLayout,
         .agg(F.collect_list(F.struct("place", F.coalesce("value", F.lit(float("nan"))).alias("value"))).alias("late"))
         .select("entity", "shard", F.col("late.place").alias("place"), F.col("late.value").alias("late"))
     )
-    joined = trees.join(late, ["entity", "shard"], "left").withColumns(
-        {"place": F.coalesce("place", F.array().cast("array<int>")), "late": F.coalesce("late", F.array().cast("array<double>"))}
-    )
     leaves_n = layout.leaves
+    late = stored(late, "corrections")
+    touched = join_counted(trees, late, ["entity", "shard"], most_rows=MOST_SHARDS)
+    others = join_counted(trees, late.select("entity", "shard"), ["entity", "shard"], "left_anti", most_rows=MOST_SHARDS)
 
     def correct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +229,31 @@ def correct_trees(trees: DataFrame, corrections: DataFrame, layout: TreeLayout,
                 names=["entity", "shard", "first_day", "last_day", "sums", "counts", "nonfinite"],
             )
 
-    return joined.mapInArrow(correct, TREE_SCHEMA)
+    return touched.mapInArrow(correct, TREE_SCHEMA), others
+
+
+def store_trees(trees: DataFrame, path: str) -> None:
+    """Writes trees as edition 0 of a table over which corrections are laid."""
+    trees.write.parquet(f"{path}/edition=0")
+
+
+def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    """Every tree of a stored table in its last edition; only trees of later editions are compared."""
+    every = spark.read.schema(f"{TREE_SCHEMA}, edition int").option("basePath", path).parquet(f"{path}/edition=*")
+    newest = Window.partitionBy("entity", "shard").orderBy(F.desc("edition"))  # one row per edition
+    later = every.where("edition > 0").withColumn("place", F.row_number().over(newest)).where("place = 1").drop("place")
+    base = join_counted(every.where("edition = 0"), later.select("entity", "shard"), ["entity", "shard"], "left_anti", most_rows=MOST_SHARDS)
+    return base.unionByName(later).drop("edition")
+
+
+def correct_stored(spark: SparkSession, path: str, corrections: DataFrame, layout: TreeLayout, **names: str) -> int:
+    """Lays corrections over a stored table: writes the touched trees alone, as the next edition; its number."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    edition = 1 + max(int(f.getPath().getName().partition("=")[2]) for f in listed if f.getPath().getName().startswith("edition="))
+    touched, _ = _touched(read_trees(spark, path), corrections, layout, **names)
+    touched.write.parquet(f"{path}/edition={edition}")
+    return edition
 
 
 def trailing_totals(trees: DataFrame, layout: TreeLayout) -> DataFrame:

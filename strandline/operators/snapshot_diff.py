@@ -4,8 +4,10 @@ Every snapshot of a source gets its index in the source's order of delivery.
 One window per (source, key), ordered by that index, sees the snapshots that
 hold the key: a missing predecessor index is an addition, a missing successor
 index a removal, and a lagged content code that differs a change. The content
-code is an exact 64-bit code of the compared value, so equal codes mean equal
-values. One shuffle on (source, key) carries everything; a group is one key of
+code is the compared value rounded to ``digits`` = 10 significant digits, in 64
+bits: a tolerance of half a unit of the tenth digit, for prices that carry binary
+noise. Values on two sides of a rounding edge differ, however close; prices of
+fewer digits do not come near one. One shuffle on (source, key) carries everything; a group is one key of
 one source, at most as long as the source has snapshots.
 
 Defined results

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.joins import join_counted
 from strandline.functions.scalars import clean_ticker
-from strandline.session import scratch_table
+from strandline.session import stored
 
 CASE_SCHEMA = "ticker string, day int, impossible boolean, spike boolean, stuck boolean, innovation double"
 SEGMENT_SCHEMA = "ticker string, part int, first int, day array<int>, p array<double>, r array<double>"
@@ -301,13 +301,7 @@ def segment_moments(parts: DataFrame, rule: SpikeRule) -> DataFrame:
 
 def find_cases(frame: DataFrame, rule: SpikeRule | None = None) -> DataFrame:
     """(ticker, date, impossible, spike, stuck, innovation) of every row that is a case."""
-    rule, spark = rule or SpikeRule(), frame.sparkSession
-
-    def stored(rows: DataFrame, label: str) -> DataFrame:
-        path = scratch_table(spark, label)
-        rows.write.parquet(path)
-        return spark.read.schema(rows.schema).parquet(path)
-
+    rule = rule or SpikeRule()
     parts = stored(segments(stored(daily_blocks(frame, rule), "blocks"), rule), "segments")
     # one narrow row per source, sent along where counted few: segments of a hot source stay apart
     judged = join_counted(parts, stored(source_variances(segment_moments(parts, rule)), "variances"), ["ticker"], "left")

@@ -70,6 +70,13 @@ def scratch_table(spark: SparkSession, label: str) -> str:
     return path
 
 
+def stored(frame: DataFrame, label: str) -> DataFrame:
+    """The frame, written to a scratch table once and read from there."""
+    path = scratch_table(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> int:
     """Removes the application's scratch tables, once the frames that read them are done with; the number removed."""
     paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])

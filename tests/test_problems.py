@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import numpy as np
 import pytest
 
-from strandline.operators.rolling_tree import TreeLayout, build_trees, correct_trees, rolling_totals, trailing_totals
+from strandline.operators.rolling_tree import TreeLayout, build_trees, correct_stored, correct_trees, read_trees, rolling_totals, store_trees, trailing_totals
 from strandline.operators.snapshot_diff import read_instant, snapshot_changes
 from strandline.operators.spikes import SpikeRule, daily_blocks, find_cases, judge, segment_moments, segments, source_variances
 from strandline.functions.scalars import significant_code
@@ -78,6 +78,18 @@ def test_corrections_update_only_ancestors_and_equal_a_rebuild(spark):
         assert len(changed) <= 7  # a leaf and log2(64) ancestors
 
 
+def test_stored_trees_are_corrected_in_editions_of_touched_trees(spark, tmp_path):
+    layout, path = TreeLayout(leaves=64), f"file://{tmp_path}/trees"
+    rows = [(t, DAY + timedelta(k), 1.0, None) for t in ("a", "b") for k in range(300)]
+    store_trees(build_trees(spark.createDataFrame(rows, DDL), layout), path)
+    assert correct_stored(spark, path, spark.createDataFrame([("a", DAY + timedelta(100), 5.0, None), ("gone", DAY, 1.0, None)], DDL), layout) == 1
+    assert correct_stored(spark, path, spark.createDataFrame([("a", DAY + timedelta(100), 7.0, None), ("b", DAY + timedelta(9), None, None)], DDL), layout) == 2
+    assert 1 <= spark.read.parquet(f"{path}/edition=1").count() <= 2
+    got = {(r.entity, r.date): r.total_7d for r in trailing_totals(read_trees(spark, path), layout).collect()}
+    fixed = [r for r in rows if r[:2] not in (("a", DAY + timedelta(100)), ("b", DAY + timedelta(9)))] + [("a", DAY + timedelta(100), 7.0, None)]
+    assert got == pytest.approx({(r.ticker, r.date): r.total_7d for r in rolling_totals(spark.createDataFrame(fixed, DDL), layout).collect()})
+
+
 def test_tree_layout_rejects_nonsense():
     for bad in ({"leaves": 100}, {"windows": ()}, {"windows": (7, 7)}, {"leaves": 16}, {"leaves": 32}):
         with pytest.raises(ValueError):
