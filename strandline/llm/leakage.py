@@ -2,21 +2,26 @@
 
 1. Texts become words without case, accents, punctuation, markup and encoding
    tricks. Every window of ``SPAN`` words gives one hash per mask, over the
-   words the mask selects; ignored positions may differ.
-2. Hashes of test and training words join: by shuffle in general, beside each
-   document where the test set has at most ``filter_bound`` hashes, counted
-   first, and so may be sent along. Both give the same pairs.
+   words the mask selects; the ignored positions may differ.
+2. Hashes of test and training words join. Training hashes first pass a bit
+   table of the test hashes, whose size is fixed; it is put together by tasks.
+   The join is done beside each document where pairs of hash and item and words
+   of items, both counted first, are within ``most_pairs`` and ``most_words``;
+   else by shuffles, in which the documents of a frequent hash are salted. Both
+   give the same pairs.
 3. Around the hits the words themselves are aligned: a document leaks an item
    if ``least`` running words of the item occur with at most one in
-   ``one_edit_in`` replaced, dropped or added.
+   ``one_edit_in`` replaced, dropped or added. Both figures are the task's.
 
 Completeness. A passage of ``least`` = 24 words or more with at most one edit
 in 12 words contains one of fewer than 48 words with the same property (of two
 halves of 24 or more, one keeps the rate), hence with at most 3 edits; of 24 to
 35 words and 2 edits, or 36 to 47 and 3, some run of 8 words is untouched. Each
 mask spans 8 words, so each has a hit, and a stretch of ``stride`` words with
-``overlap`` more holds the whole shorter passage. Nothing is capped: every seed
-of every word is looked up. Bare punctuation between blanks is a word of a
+``overlap`` more holds the whole shorter passage. The ignored positions add
+what the rule does not ask for: with 5 of 24 words replaced at random 0.995 of
+passages have a hit, with whole runs of 8 words 0.59. Nothing is capped: every
+seed of every word is looked up. Bare punctuation between blanks is a word of a
 passage's length but of no seed.
 
 Defined results
@@ -24,13 +29,14 @@ Defined results
     items and documents each give their rows; a pair comes once. The first
     sentence of an item is a standing instruction, and no part of the passage,
     if ``standing`` or more items begin with it. Items shorter than ``least``
-    words never leak. Texts of any length are read whole. Empty tables give an
-    empty result; further columns are ignored.
+    words cannot leak by the rule; ``unsearched_items`` lists them. Texts of any
+    length are read whole. Empty tables give an empty result; further columns
+    are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,11 +45,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.joins import join_counted
 from strandline.llm.text import bare_word, readable
-from strandline.session import scratch_table
+from strandline.session import stored
 
 #: Selected positions of each mask; the others are ignored.
-MASKS = ((0, 1, 2, 4, 5, 6, 7), (0, 1, 3, 4, 5, 6, 7))
+MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 4, 5, 7))
 SPAN = 8
 #: Words that are seeded together.
 TOGETHER = 1 << 16
@@ -59,8 +66,10 @@ class LeakRule:
     standing: int = 3  #: items that share a first sentence make it an instruction
     stride: int = 256  #: words of a stretch of a document
     overlap: int = 64  #: words that a stretch shares with the next
-    filter_bound: int = 2_000_000  #: test hashes up to which the bit table is sent along
-    filter_bits: int = 24
+    most_pairs: int = 1_000_000  #: pairs of test hash and item up to which they are sent along, 16 MB
+    most_words: int = 1_000_000  #: words of items up to which they are sent along, some 20 MB
+    filter_bits: int = 24  #: of the bit table of test hashes, 2 MB
+    hot: int = 10_000  #: stretches that one hash may bring to one task
 
     @property
     def most_edits(self) -> int:
@@ -154,15 +163,37 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return items.select("item_id", "words").mapInArrow(read, "seed bigint, item_id bigint")
 
 
-def seed_filter(seeds: DataFrame, rule: LeakRule) -> np.ndarray | None:
-    """A bit table of the test hashes, or None where they are more than the bound."""
-    known = seeds.select("seed").distinct().limit(rule.filter_bound + 1).toArrow().column(0).to_numpy()
-    if len(known) > rule.filter_bound:
-        return None
-    bits = np.zeros(1 << (rule.filter_bits - 3), np.uint8)
-    at = known.view(np.uint64) >> np.uint64(64 - rule.filter_bits)
-    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
-    return bits
+def unsearched_items(items: DataFrame, rule: LeakRule | None = None) -> DataFrame:
+    """(item_id, words): items whose words, without a standing instruction, are too few for any leak by the rule."""
+    rule = rule or LeakRule()
+    words = item_words(items.where("item_id is not null"), rule).groupBy("item_id").agg(F.max(F.aggregate("weights", F.lit(0), lambda a, x: a + x)).alias("words"))
+    every = items.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id")).distinct()
+    return every.join(words, "item_id", "left").fillna(0, ["words"]).where(F.col("words") < rule.least)
+
+
+def seed_filter(seeds: DataFrame, rule: LeakRule) -> np.ndarray:
+    """A bit table of the test hashes, combined by tasks; what comes to the driver is at most the table."""
+    at = seeds.select(F.shiftrightunsigned("seed", 64 - rule.filter_bits).alias("at"))
+    # 64 bits a row: at most 2 ** (filter_bits - 6) rows, whatever the test set
+    rows = at.groupBy(F.shiftright("at", 6).alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(max(1, 1 << (rule.filter_bits - 6)), np.int64)
+    table[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return table.view(np.uint8)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: Sequence[str], most: int) -> DataFrame:
+    """Inner join on ``key`` in which keys with over ``most`` rows on the left are cut by a hash of ``spread_by``.
+
+    Rows are counted by key before the shuffle; the right side's rows of such a
+    key are repeated once per cut.
+    """
+    hot = left.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key, F.ceil(F.col("n") / F.lit(float(most))).cast("int").alias("cuts"))
+    hot = stored(hot, "hot")
+    cut = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("cuts")), F.lit(0)).cast("int")
+    salted = join_counted(left, hot, [key], "left").withColumn("salt", cut).drop("cuts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1))
+    repeated = join_counted(right, hot, [key], "left").withColumn("salt", copies).drop("cuts")
+    return salted.join(repeated.hint("merge"), [key, "salt"]).drop("salt")
 
 
 def stretches_of(words: np.ndarray, seeds: np.ndarray, hit: np.ndarray, rule: LeakRule) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -177,15 +208,13 @@ def stretches_of(words: np.ndarray, seeds: np.ndarray, hit: np.ndarray, rule: Le
             yield int(k), words[low:high], found
 
 
-def looked_up(seeds: np.ndarray, bits: np.ndarray | None, rule: LeakRule) -> np.ndarray:
-    """Which seeds the bit table lets through; all without one."""
-    if bits is None:
-        return np.ones(seeds.shape, bool)
+def looked_up(seeds: np.ndarray, bits: np.ndarray, rule: LeakRule) -> np.ndarray:
+    """Which seeds the bit table lets through."""
     at = seeds >> np.uint64(64 - rule.filter_bits)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def seeded_texts(ids: list[int], texts: list[str], hashes: WordHashes, bits: np.ndarray | None, rule: LeakRule) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def seeded_texts(ids: list[int], texts: list[str], hashes: WordHashes, bits: np.ndarray, rule: LeakRule) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(id, words, seeds, hits) of each text with a hit; texts are seeded together, some ten thousand words at a time."""
     part: list[tuple[int, np.ndarray]] = []
     size = 0
@@ -201,7 +230,7 @@ def seeded_texts(ids: list[int], texts: list[str], hashes: WordHashes, bits: np.
     yield from _seeded(part, bits, rule)
 
 
-def _seeded(part: list[tuple[int, np.ndarray]], bits: np.ndarray | None, rule: LeakRule) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _seeded(part: list[tuple[int, np.ndarray]], bits: np.ndarray, rule: LeakRule) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     if not part:
         return
     seeds = spaced_seeds(np.concatenate([words for _, words in part]))
@@ -215,7 +244,7 @@ def _seeded(part: list[tuple[int, np.ndarray]], bits: np.ndarray | None, rule: L
         first += len(words)
 
 
-def document_stretches(documents: DataFrame, bits: np.ndarray | None, rule: LeakRule) -> DataFrame:
+def document_stretches(documents: DataFrame, bits: np.ndarray, rule: LeakRule) -> DataFrame:
     """(doc_id, stretch, words, seeds) of the stretches of documents that hold a seed which may join."""
     table = documents.sparkSession.sparkContext.broadcast(bits)
 
@@ -346,13 +375,11 @@ def _leaks_by_table(documents: DataFrame, worded: DataFrame, seeds: DataFrame, b
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(read, PAIR_SCHEMA)
 
 
-def _leaks_by_join(documents: DataFrame, worded: DataFrame, seeds: DataFrame, rule: LeakRule) -> DataFrame:
+def _leaks_by_join(documents: DataFrame, worded: DataFrame, seeds: DataFrame, bits: np.ndarray, rule: LeakRule) -> DataFrame:
     """The same by shuffles on seed, stretch and item, for test sets of any size."""
-    spark = documents.sparkSession
-    path = scratch_table(spark, "leakage")
-    document_stretches(documents, None, rule).write.parquet(path)
-    stretches = spark.read.parquet(path)
-    pairs = stretches.select("doc_id", "stretch", F.explode("seeds").alias("seed")).join(seeds, "seed").select("doc_id", "stretch", "item_id").distinct()
+    stretches = stored(document_stretches(documents, bits, rule), "stretches")
+    exploded = stretches.select("doc_id", "stretch", F.explode("seeds").alias("seed"))
+    pairs = salted_join(exploded, seeds, "seed", ("doc_id", "stretch"), rule.hot).select("doc_id", "stretch", "item_id").distinct()
     joined = (
         pairs.join(stretches.select("doc_id", "stretch", F.col("words").alias("text")).distinct(), ["doc_id", "stretch"])
         .join(worded.select("item_id", "words", "weights").distinct(), "item_id")
@@ -371,9 +398,11 @@ def _leaks_by_join(documents: DataFrame, worded: DataFrame, seeds: DataFrame, ru
 def find_leaks(documents: DataFrame, items: DataFrame, rule: LeakRule | None = None) -> DataFrame:
     """(doc_id, item_id, words, edits): each document with each item it leaks, with the longest aligned passage."""
     rule = rule or LeakRule()
-    worded = item_words(items.where("item_id is not null"), rule)
-    seeds = _item_seeds(worded)
+    worded = stored(item_words(items.where("item_id is not null"), rule), "items")
+    seeds = stored(_item_seeds(worded), "seeds")
     bits = seed_filter(seeds, rule)
-    found = _leaks_by_join(documents, worded, seeds, rule) if bits is None else _leaks_by_table(documents, worded, seeds, bits, rule)
+    pairs, words = seeds.count(), worded.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    few = pairs <= rule.most_pairs and words <= rule.most_words
+    found = (_leaks_by_table if few else _leaks_by_join)(documents, worded, seeds, bits, rule)
     best = F.max(F.struct("words", (-F.col("edits")).alias("saved"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.words", (-F.col("best.saved")).alias("edits"))

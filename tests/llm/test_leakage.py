@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from strandline.llm.leakage import LeakRule, align, find_leaks, fewest_words, spaced_seeds
+from strandline.llm.leakage import LeakRule, align, fewest_words, find_leaks, looked_up, salted_join, seed_filter, spaced_seeds, unsearched_items
 from strandline.llm.text import bare_words, readable
 
 WORDS = [f"{a}{b}{c}" for a in ("mor", "tel", "ban", "kur") for b in ("i", "e", "o") for c in ("ska", "lin", "dor", "mat", "pes")]
@@ -58,11 +58,11 @@ def case():
 DOC, ITEM = "doc_id bigint, text string", "item_id bigint, text string"
 
 
-@pytest.mark.parametrize("bound", [2_000_000, 10])
-def test_leaks_of_constructed_cases(spark, case, bound):
+@pytest.mark.parametrize("bounds", [{}, {"most_pairs": 10}, {"most_words": 10, "hot": 2}])
+def test_leaks_of_constructed_cases(spark, case, bounds):
     docs, items, want = case
     more = spark.createDataFrame([(*d, "w", 1) for d in docs], DOC + ", words string, seed int")
-    got = find_leaks(more, spark.createDataFrame(items, ITEM), LeakRule(filter_bound=bound)).collect()
+    got = find_leaks(more, spark.createDataFrame(items, ITEM), LeakRule(**bounds)).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want
     assert len(got) == len(want) and all(r.words >= 24 and r.edits * 12 <= r.words for r in got)
 
@@ -72,7 +72,7 @@ def test_long_items_and_documents(spark, bound):
     rng = np.random.default_rng(9)
     item = passage(rng, 3000, "long")
     docs = [(k, " ".join([*passage(rng, 300 * k, "n"), *item[a : a + 24], *passage(rng, 50, "m")])) for k, a in enumerate((0, 240, 300, 1270, 2976))]
-    got = find_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, " ".join(item)), (2, " ".join(passage(rng, 500, "z")))], ITEM), LeakRule(filter_bound=bound)).collect()
+    got = find_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, " ".join(item)), (2, " ".join(passage(rng, 500, "z")))], ITEM), LeakRule(most_pairs=bound)).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(k, 1) for k in range(5)}
 
 
@@ -82,7 +82,7 @@ def test_leaks_of_nothing(spark):
     assert find_leaks(empty_docs, empty_items).count() == 0
     assert find_leaks(one, empty_items).count() == 0
     assert find_leaks(empty_docs, spark.createDataFrame([(1, " ".join(map(str, range(40))))], ITEM)).count() == 0
-    assert find_leaks(one, spark.createDataFrame([(1, None)], ITEM), LeakRule(filter_bound=0)).count() == 0
+    assert find_leaks(one, spark.createDataFrame([(1, None)], ITEM), LeakRule(most_pairs=0)).count() == 0
 
 
 def brute_align(text, item, weight, rule):
@@ -137,10 +137,46 @@ def test_seeds_ignore_the_masked_word_only():
         changed[k][k] += np.uint64(1000)
     base = spaced_seeds(words)[:, 0]
     same = [(spaced_seeds(x)[:, 0] == base).tolist() for x in changed]
-    assert same[3][0] and same[2][1] and sum(map(sum, same)) == 2
+    assert [[k for k in range(8) if same[k][m]] for m in range(2)] == [[2, 5], [1, 6]]
     assert spaced_seeds(words[:7]).shape == (2, 0)
 
 
+def test_every_passage_within_the_rule_has_a_seed():
+    rng = np.random.default_rng(1)
+    for n, edits in ((24, 2), (35, 2), (36, 3), (47, 3)):
+        words = np.arange(1, n + 1, dtype=np.uint64)
+        known = set(spaced_seeds(words).ravel().tolist())
+        for _ in range(200):
+            text = words.copy()
+            for _ in range(edits):
+                k = rng.integers(len(text))
+                text = [np.delete(text, k), np.insert(text, k, 900), np.where(np.arange(len(text)) == k, np.uint64(901), text)][rng.integers(3)]
+            assert known & set(spaced_seeds(text.astype(np.uint64)).ravel().tolist())
+
+
+def test_filter_of_any_test_set_has_its_size(spark):
+    rule = LeakRule(filter_bits=10)
+    seeds = np.random.default_rng(2).integers(-(1 << 63), (1 << 63) - 1, 3000)
+    frame = spark.createDataFrame([(int(s), 1) for s in seeds[:40]], "seed bigint, item_id bigint")
+    bits = seed_filter(frame, rule)
+    assert bits.nbytes == 128 and looked_up(seeds[:40].view(np.uint64), bits, rule).all()
+    assert looked_up(seeds[40:].view(np.uint64), bits, rule).mean() < 0.1
+
+
+def test_salted_join_is_the_join(spark):
+    left = spark.createDataFrame([(k % 3 if k % 2 else 7, k, "x") for k in range(300)], "key bigint, doc bigint, cuts string").drop("cuts")
+    right = spark.createDataFrame([(k % 8, k) for k in range(40)], "key bigint, item bigint")
+    plain, cut = left.join(right, "key"), salted_join(left, right, "key", ("doc",), 10)
+    assert sorted(map(tuple, cut.select("key", "doc", "item").collect())) == sorted(map(tuple, plain.select("key", "doc", "item").collect()))
+
+
+def test_short_items_are_reported(spark):
+    say = "Read this and answer."
+    items = [(k, f"{say} " + " ".join(f"w{k}x{j}" for j in range(n))) for k, n in enumerate((40, 24, 23, 3))] + [(8, None), (9, "")]
+    got = {r.item_id: r.words for r in unsearched_items(spark.createDataFrame(items, ITEM)).collect()}
+    assert got == {2: 23, 3: 3, 8: 0, 9: 0}
+
+
 def test_fewest_words():
     rule = LeakRule()
     assert fewest_words(np.ones(30, np.int32), rule) == 24
