@@ -112,16 +112,16 @@ def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Languages of the documents whose label is missing or wrong or which mix languages."""
     documents = table(spark, folder, "documents")
-    return label_findings(documents, document_languages(label_segments(documents)))
+    return label_findings(documents, document_languages(documents))
 
 
 def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The language or languages of every document with running text, with a confidence."""
-    return document_languages(label_segments(table(spark, folder, "documents")))
+    """The language or languages of every document with letters, with a confidence."""
+    return document_languages(table(spark, folder, "documents"))
 
 
 def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Every stretch of sentences in one language, with a confidence."""
+    """Every stretch of words in one language, with a confidence."""
     return label_segments(table(spark, folder, "documents"))
 
 

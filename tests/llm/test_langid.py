@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from strandline.llm.langid import LANGUAGES, LanguageSettings, document_languages, features, fit, forward_backward, label_code, label_findings, label_segments, one_script, posteriors, untyped
+from strandline.llm.langid import LANGUAGES, LanguageSettings, document_languages, features, fit, forward_backward, label_code, label_findings, label_segments, languages_of, one_script, posteriors, segments_of, untyped
 
 PARTS = {
     "en": ("the price of the house|a new report from the office|our longest meeting of the year", "was higher than we had expected|did not change after all|will be read by everyone", "before the end of the week|because nobody had asked|although it was raining"),
@@ -54,7 +54,7 @@ def labelled(spark):
 
 def test_findings_of_known_cases(labelled):
     documents, truth = labelled
-    languages = document_languages(label_segments(documents, SETTINGS))
+    languages = document_languages(documents, SETTINGS)
     got = {}
     for r in label_findings(documents, languages).where("doc_id >= 1000").collect():
         got.setdefault(r.doc_id, set()).add(r.lang)
@@ -64,16 +64,45 @@ def test_findings_of_known_cases(labelled):
 def test_held_out_accuracy_and_segments(labelled):
     documents, _ = labelled
     segments = label_segments(documents, SETTINGS)
-    rows = document_languages(segments).where("doc_id < 420 and main").collect()
+    rows = document_languages(documents, SETTINGS).where("doc_id < 420 and main").collect()
     right = sum(r.lang == LANGUAGES[r.doc_id % 7] for r in rows)
     assert len(rows) == 420 and right >= 415 and all(0.5 < r.confidence <= 1 for r in rows)
     mixed = [(r.segment, r.lang) for r in segments.where("doc_id = 1000").orderBy("segment").collect()]
     assert mixed == [(0, "en"), (1, "de")]
+    quoted = segments.where("doc_id = 1010").orderBy("segment").collect()
+    assert [r.lang for r in quoted] == ["ru", "en", "ru"] and quoted[1].first_sentence == quoted[1].last_sentence and quoted[1].words == 5
+
+
+def test_every_document_with_letters_has_a_language(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, text(rng, LANGUAGES[k % 7], n=4), LANGUAGES[k % 7]) for k in range(280)]
+    odd = {500: "Kurz.", 501: "AAPL 3.5 MSFT", 502: "Nessuno aveva chiesto perché quella riunione fosse stata rinviata. Gli uffici restavano chiusi.", 503: text(rng, "ru").upper(), 504: "2012-01-01 3.5 %", 505: "Prices rose. " * 3, 506: text(rng, "de", n=1) + " The price of the house."}
+    frame = spark.createDataFrame([*rows, *((k, t, None) for k, t in odd.items())], "doc_id bigint, text string, lang string")
+    found = {}
+    for r in document_languages(frame, SETTINGS).where("doc_id >= 500").collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert set(found) == set(odd) - {504}
+    assert [r.lang for r in found[503]] == ["ru"] and [r.lang for r in found[502]] == ["other"]
+    assert not found[501][0].running and not found[500][0].running
+    # one whole sentence of a second language makes no mix
+    assert len(found[506]) == 1
+    assert {r.doc_id for r in label_findings(frame, document_languages(frame, SETTINGS)).where("doc_id in (500, 501, 502, 504)").collect()} == set()
+
+
+def test_whole_sentences_are_counted():
+    posterior = np.zeros((11, len(LANGUAGES)))
+    posterior[:5, 0] = posterior[5:, 3] = 1.0
+    sentence = np.array([0] * 5 + [1] * 4 + [2] * 2)
+    got = languages_of(sentence, np.arange(11), posterior, np.ones(11, bool), LanguageSettings())
+    assert [r[:2] for r in got] == [("fr", 1)]
+    segments = segments_of(sentence, np.arange(11), posterior, np.ones(11, bool), LanguageSettings())
+    assert [(r[1], r[2], r[5], r[6]) for r in segments] == [(0, 0, 5, "en"), (1, 2, 6, "fr")]
 
 
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, lang string")
-    assert label_findings(empty, document_languages(label_segments(empty))).count() == 0
+    assert label_findings(empty, document_languages(empty)).count() == 0
+    assert label_segments(empty).count() == 0
 
 
 def test_forward_backward_equals_enumeration():
