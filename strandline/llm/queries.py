@@ -103,6 +103,12 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(tokens, table(spark, folder, "mix_targets"))
 
 
+def p7_multinomial_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where output shards draw their source counts independently: shares to a sampling error."""
+    settings = MixSettings(draw="multinomial")
+    return mix_report(token_table(table(spark, folder, "documents"), settings), table(spark, folder, "mix_targets"), settings)
+
+
 def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The documents each plan draws, with tokens and repeats."""
     tokens = token_table(table(spark, folder, "documents"), MixSettings())
@@ -134,6 +140,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_unsearched": p6_unsearched,
     "p7_shares": p7_shares,
+    "p7_multinomial_shares": p7_multinomial_shares,
     "p7_documents": p7_documents,
     "p8_found": p8_found,
     "p8_documents": p8_documents,

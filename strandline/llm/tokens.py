@@ -21,14 +21,18 @@ STRETCH = 1 << 16
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):  # noqa: ANN201
+def encoder_of(vocabulary: bytes):  # noqa: ANN201
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in vocabulary.splitlines() if line.strip())}
     return tiktoken.Encoding("public", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoder(path: str):  # noqa: ANN201
+    with open(path, "rb") as file:
+        return encoder_of(file.read())
+
+
 def _stretches(text: str) -> Iterator[str]:
     """Cuts before a blank that follows a non-blank, where the pattern cuts as well: counts stay those of the whole."""
     start = 0
@@ -42,12 +46,18 @@ def _stretches(text: str) -> Iterator[str]:
 
 
 def count_tokens(frame: DataFrame, text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """The frame without ``text`` and with ``tokens``: 0 for null and empty texts."""
+    """The frame without ``text`` and with ``tokens``: 0 for null and empty texts.
+
+    The vocabulary file is read on the driver and sent to the tasks: some
+    megabytes, and workers need no file of their own.
+    """
+    with open(vocabulary, "rb") as file:
+        ranks = frame.sparkSession.sparkContext.broadcast(file.read())
     kept = [c for c in frame.columns if c != text]
     schema = frame.select(*kept, F.lit(0).cast("bigint").alias("tokens")).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder_of(ranks.value).encode_ordinary
         for batch in batches:
             counts = [sum(len(encode(part)) for part in _stretches(x)) if x else 0 for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64())], names=[*kept, "tokens"])

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from strandline.llm.mixing import MixSettings, draw_slots, mix_documents, mix_report, pack_blocks, permute, token_table, wanted
+from strandline.llm.mixing import MixSettings, draw_slots, mix_documents, mix_report, pack_blocks, packing, permute, shard_counts, token_table, wanted
 from strandline.llm.tokens import count_tokens, encoder, DEFAULT_VOCABULARY
 
 TOKENS = "doc_id bigint, source string, tokens bigint"
@@ -69,6 +69,34 @@ def test_slots_are_unique_and_shards_mixed(spark):
     assert len({r.shard for r in slots if r.source == "hot"}) > 0.8 * len({r.shard for r in slots})
 
 
+def test_multinomial_shards(spark):
+    frame, settings = tokens(spark, n=4000), MixSettings(block=16, shard=64, bucket=4096, draw="multinomial")
+    plans = [("p", "hot", 0.5, 2, 1.0), ("p", "a", 0.3, 3, 1.0), ("p", "gone", 0.2, 4, 1.0), ("q", "b", 0.9, 1, 3.0), ("q", "a", 0.1, 9, 3.0)]
+    targets = spark.createDataFrame(plans, TARGETS)
+    wants = wanted(targets, frame, settings)
+    counts = shard_counts(wants, settings).collect()
+    slots = {p: sum(r.wanted_slots for r in wants.collect() if r.plan == p) for p in ("p", "q")}
+    assert {p: sum(r.size for r in counts if r.plan == p) for p in slots} == slots and all(sum(r.counts) == r.size for r in counts)
+    ten = [r.counts for r in counts if r.plan == "p" and r.size == 64]
+    assert 0.3 < np.std([c[2] for c in ten]) / np.sqrt(64 * 0.5 * 0.5) < 1.7  # sources in order of name: a, gone, hot
+    drawn = draw_slots(wants, settings).collect()
+    assert len({(r.plan, r.slot) for r in drawn}) == len(drawn) == len({(r.plan, r.source, r.round, r.block) for r in drawn})
+    assert {r.source for r in drawn} == {"hot", "a", "b"}
+    report = {(r.plan, r.source): r for r in mix_report(frame, targets, settings).collect()}
+    for source, share in (("hot", 0.5), ("a", 0.3)):
+        r = report["p", source]
+        assert abs(r.share_of_wanted - share) < 0.03 and r.most_repeats <= r.max_repeats
+    assert report["q", "b"].drawn_tokens == report["q", "b"].available_tokens and not report["q", "b"].met
+    with pytest.raises(ValueError):
+        MixSettings(draw="some")
+
+
+def test_documents_with_one_id_are_spread_by_content(spark):
+    frame = spark.createDataFrame([(1, "a", k, 100) for k in range(200)] + [(None, "a", k, 100) for k in range(200)], "doc_id bigint, source string, content bigint, tokens bigint")
+    sizes = packing(frame, MixSettings(block=16, bucket=4000)).collect()
+    assert len(sizes) == 10 and max(r.tokens for r in sizes) < 8000 and sum(r.tokens for r in sizes) == 40_000
+
+
 def test_odd_tables(spark):
     none, some = spark.createDataFrame([], TOKENS), spark.createDataFrame([("p", "a", 1.0, 1, 1.0)], TARGETS)
     r = mix_report(none, some, SMALL).first()
