@@ -5,7 +5,8 @@ The ARMA part of the (differenced) series is a state of length
 concentrated out. Coefficients are searched through partial autocorrelations,
 so that every point tried is stationary and invertible. The optimiser is BFGS
 with gradients by differences; all perturbed points run side by side through
-one Kalman recursion.
+one Kalman recursion. Where it does not converge a simplex search goes on from
+the best point, and BFGS from there.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def _filter(y: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarr
             a = closed @ a + gain * y[:, k, None, None]
         squares += ((y[:, j:] - rest) ** 2).sum(axis=1) / f
         logs += (n - j) * np.log(f)
-    return squares, logs, a[:, 0, 0], p[:, 0, 0]
+    return squares, logs, a, p[:, 0, 0]
 
 
 @dataclass(frozen=True)
@@ -120,16 +121,50 @@ class ArimaFit:
     def bic(self) -> float:
         return -2 * self.loglik + np.log(self.observations) * self.parameters
 
+    def forecast_path(self, values: np.ndarray, steps: int) -> np.ndarray:
+        """The ``steps`` values after ``values``, all from the same origin."""
+        if type(steps) is not int or steps < 1:
+            raise ValueError("steps must be a positive integer")
+        d = self.order[1]
+        out = np.full(steps, self.constant)
+        if len(self.phi) or len(self.theta):
+            y = np.diff(values, n=d) if d else np.asarray(values, float)
+            _, _, state, _ = _filter((y - self.constant)[None], self.phi[None], self.theta[None])
+            move, state = _system(self.phi[None], self.theta[None])[0][0], state[0]
+            for k in range(steps):
+                out[k] += float(state[0, 0])
+                state = move @ state
+        for k in range(d - 1, -1, -1):
+            out = np.diff(values, n=k)[-1] + np.cumsum(out)
+        return out
+
     def forecast(self, values: np.ndarray) -> float:
         """One step beyond ``values``."""
-        y = np.diff(values, n=self.order[1]) if self.order[1] else np.asarray(values, float)
-        if not len(self.phi) and not len(self.theta):
-            return self.constant + sum(float(np.diff(values, n=k)[-1]) for k in range(self.order[1]))
-        _, _, ahead, _ = _filter((y - self.constant)[None], self.phi[None], self.theta[None])
-        out = self.constant + float(ahead[0])
-        for k in range(self.order[1] - 1, -1, -1):
-            out += float(np.diff(values, n=k)[-1])
-        return out
+        return float(self.forecast_path(values, 1)[0])
+
+
+def _simplex(loss, start: np.ndarray, value: float, evaluations: int, size: float = 0.25, tolerance: float = 1e-9) -> tuple[np.ndarray, float]:  # noqa: ANN001
+    """Least point of a downhill simplex search; needs values only."""
+    k = len(start)
+    points = np.vstack([start, start + size * np.eye(k)])
+    values = np.concatenate([[value], loss(points[1:])])
+    while evaluations > 0 and values.max() - values.min() > tolerance:
+        order = np.argsort(values, kind="stable")
+        points, values = points[order], values[order]
+        centre, worst = points[:-1].mean(axis=0), points[-1]
+        # reflection, expansion and both contractions side by side
+        tried = centre + np.array([1.0, 2.0, 0.5, -0.5])[:, None] * (centre - worst)
+        got = loss(tried)
+        evaluations -= len(tried)
+        pick = int(np.argmin(got))
+        if got[pick] < values[-1]:
+            points[-1], values[-1] = tried[pick], got[pick]
+        else:
+            points[1:] = points[0] + 0.5 * (points[1:] - points[0])
+            values[1:] = loss(points[1:])
+            evaluations -= k
+    at = int(np.argmin(values))
+    return points[at], float(values[at])
 
 
 def fit_arima(values: np.ndarray, order: tuple[int, int, int], *, start: np.ndarray | None = None, iterations: int = 60, tolerance: float = 1e-5) -> ArimaFit:
@@ -178,38 +213,54 @@ def fit_arima(values: np.ndarray, order: tuple[int, int, int], *, start: np.ndar
         f = loss(around)
         return float(f[0]), (f[1 : k + 1] - f[k + 1 :]) / (2 * h)
 
-    value, grad = slope(x)
-    if not np.isfinite(value):
-        x = np.zeros(k)
+    def descend(x: np.ndarray) -> tuple[np.ndarray, float, bool]:
+        """BFGS from ``x``: point, value and whether it converged."""
         value, grad = slope(x)
+        if not np.isfinite(value):
+            return x, value, False
+        inverse = np.eye(k)
+        for _ in range(iterations):
+            if np.abs(grad).max() < tolerance:
+                return x, value, True
+            step = -inverse @ grad
+            if step @ grad >= 0:
+                inverse, step = np.eye(k), -grad
+            tried = np.array([1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3])
+            got = loss(x + tried[:, None] * step)
+            better = np.flatnonzero(got < value - 1e-4 * tried * abs(step @ grad))
+            if not len(better):
+                return x, value, bool(np.abs(grad).max() < 50 * tolerance)
+            move = tried[better[0]] * step
+            after, new = slope(x + move)
+            change = new - grad
+            curve = move @ change
+            if curve > 1e-12:
+                rho, one = 1 / curve, np.eye(k)
+                inverse = (one - rho * np.outer(move, change)) @ inverse @ (one - rho * np.outer(change, move)) + rho * np.outer(move, move)
+            small = abs(value - after) < 1e-10
+            x, value, grad = x + move, after, new
+            if small:
+                return x, value, True
+        return x, value, False
+
+    x, value, converged = descend(x)
+    if not np.isfinite(value):
+        x, value, converged = descend(np.zeros(k))
     if not np.isfinite(value):
         raise FitError("likelihood is not finite")
-    inverse, converged = np.eye(k), False
-    for _ in range(iterations):
-        if np.abs(grad).max() < tolerance:
-            converged = True
-            break
-        step = -inverse @ grad
-        if step @ grad >= 0:
-            inverse, step = np.eye(k), -grad
-        tried = np.array([1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3])
-        got = loss(x + tried[:, None] * step)
-        better = np.flatnonzero(got < value - 1e-4 * tried * abs(step @ grad))
-        if not len(better):
-            converged = np.abs(grad).max() < 50 * tolerance
-            break
-        move = tried[better[0]] * step
-        after, new = slope(x + move)
-        change = new - grad
-        curve = move @ change
-        if curve > 1e-12:
-            rho, one = 1 / curve, np.eye(k)
-            inverse = (one - rho * np.outer(move, change)) @ inverse @ (one - rho * np.outer(change, move)) + rho * np.outer(move, move)
-        small = abs(value - after) < 1e-10
-        x, value, grad = x + move, after, new
-        if small:
-            converged = True
-            break
+    if not converged:
+        # the second optimiser, from the best point of the first and from none
+        starts = [(x, value), (np.zeros(k), float(loss(np.zeros((1, k)))[0]))]
+        for start_point, start_value in starts:
+            if not np.isfinite(start_value):
+                continue
+            found = descend(_simplex(loss, start_point, start_value, 200 * k)[0])
+            # at the edge of what is invertible slopes say little: two searches that end in one value have found it
+            converged = found[1] <= value + 1e-7 and (found[2] or found[1] >= value - 1e-7)
+            if found[1] < value:
+                x, value = found[:2]
+            if converged:
+                break
     mean, phi, theta = parts(x[None])
     squares, logs, _, _ = _filter(scaled[None] - mean[:, None], phi, theta)
     variance = float(squares[0] / n)

@@ -180,29 +180,64 @@ def key_difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     return a.join(b, list(keys), "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, list(keys), "left_anti").withColumn("side", F.lit("right")))
 
 
+def keyed_violations(frame: DataFrame, keys: Sequence[str], checks: Checks) -> DataFrame:
+    """One row: violations of each check and rows beyond the first of a key, from one shuffle of pre-aggregated keys."""
+    by_key = frame.groupBy(*keys).agg(F.count("*").alias("_rows"), *(violated(ok).alias(name) for name, ok in checks.items()))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias
+    return by_key.agg(*(total(name)(name) for name in checks), total(F.col("_rows") - 1)("repeated_rows"))
+
+
+def schedule_violations(predictions: DataFrame, expected: DataFrame, keys: Sequence[str] = PREDICTION_KEYS, tolerance: float = 1e-12) -> DataFrame:
+    """One row: keys of the schedule that are missing, unexpected or repeated, and actuals off the schedule's ``target_return``."""
+    keys = list(keys)
+    actual = [c for c in ("actual_return",) if c in predictions.columns and "target_return" in expected.columns]
+    there = predictions.groupBy(*keys).agg(F.count("*").alias("_rows"), *(f(c).alias(n) for c in actual for f, n in ((F.min, "_low"), (F.max, "_high"))))
+    due = expected.select(*keys, *[F.col("target_return").alias("_due") for _ in actual], F.lit(1).alias("_expected"))
+    joined = there.join(due, keys, "full")
+    both = F.col("_rows").isNotNull() & F.col("_expected").isNotNull()
+    off = both & ~F.coalesce((F.abs(F.col("_low") - F.col("_due")) <= tolerance) & (F.abs(F.col("_high") - F.col("_due")) <= tolerance), F.lit(False)) if actual else F.lit(False)
+    return joined.agg(
+        F.count_if(F.col("_rows").isNull()).alias("missing"), F.count_if(F.col("_expected").isNull()).alias("unexpected"), F.count_if(F.col("_rows") > 1).alias("repeated"), F.count_if(off).alias("different")
+    )
+
+
+def _refuse(violations: DataFrame, message: str) -> None:
+    row = violations.first().asDict()
+    found = {k: v for k, v in row.items() if v}
+    if found:
+        raise ValueError(f"{message}: {found}")
+
+
+def tail_of(predictions: DataFrame, source: DataFrame) -> DataFrame:
+    """Each ticker's source rows from its first forecast on."""
+    first = predictions.groupBy("ticker").agg(F.min("target_date").alias("first_target"))
+    return source.join(first, "ticker").where(F.col("target_date") >= F.col("first_target")).drop("first_target")
+
+
 def validate_tail(predictions: DataFrame, source: DataFrame, tolerance: float = 1e-12) -> None:
     """Predictions are the complete tail of each ticker's source from its first forecast, with the source's targets."""
-    first = predictions.groupBy("ticker").agg(F.min("target_date").alias("first_target"))
-    tail = source.join(first, "ticker").where(F.col("target_date") >= F.col("first_target"))
-    keys = list(PREDICTION_KEYS)
-    if key_difference(predictions, tail, keys).limit(1).count():
-        raise ValueError("predictions are not a complete tail of the source")
-    wrong = predictions.join(tail.select(*keys, "target_return"), keys).where(~(F.abs(F.col("actual_return") - F.col("target_return")) <= tolerance))
-    if wrong.limit(1).count():
-        raise ValueError("actual returns differ from the source")
+    _refuse(schedule_violations(predictions, tail_of(predictions, source), tolerance=tolerance), "predictions are not a complete tail of the source")
+
+
+def shortlist_violations(shortlist: DataFrame, size: int = 3) -> DataFrame:
+    """Per ticker: whether its ranks are not 1 to ``size`` and how many rows are not named by their rank."""
+    ranks = F.sort_array(F.collect_list("bic_rank")).cast("array<int>")
+    named = F.col("model") == F.concat(F.lit("arima_bic_"), F.col("bic_rank").cast("string"))
+    return shortlist.groupBy("ticker").agg((ranks != F.array(*map(F.lit, range(1, size + 1)))).alias("ranks_not_consecutive"), violated(named).alias("name_not_of_rank"))
 
 
 def validate_shortlist(shortlist: DataFrame, size: int = 3) -> None:
     require_columns(shortlist, ("ticker", "p", "d", "q", "bic", "bic_rank", "model"))
-    named = {"name_not_of_rank": F.col("model") == F.concat(F.lit("arima_bic_"), F.col("bic_rank").cast("string"))}
-    enforce(shortlist, named)
-    ranks = shortlist.groupBy("ticker").agg(F.sort_array(F.collect_list("bic_rank")).cast("array<int>").alias("ranks"))
-    if ranks.where(F.col("ranks") != F.array(*map(F.lit, range(1, size + 1)))).limit(1).count():
-        raise ValueError("ranks of a shortlist must be consecutive")
+    rows = shortlist_violations(shortlist, size)
+    enforce(rows, {"name_not_of_rank": F.col("name_not_of_rank") == 0, "ranks_not_consecutive": ~F.col("ranks_not_consecutive")})
+
+
+def assignment_checks() -> dict[str, Column]:
+    return {"unknown_regime": F.col("regime").isin("low", "medium", "high"), "not_finite": is_finite("volatility")}
 
 
 def validate_assignments(assignments: DataFrame) -> None:
-    enforce(assignments, {"unknown_regime": F.col("regime").isin("low", "medium", "high"), "not_finite": is_finite("volatility")})
+    enforce(assignments, assignment_checks())
     enforce_unique(assignments, list(PREDICTION_KEYS))
 
 
@@ -214,25 +249,39 @@ def parse_dates(frame: DataFrame, columns: Sequence[str] = ("date", "target_date
     return parsed
 
 
-def validate_schedule(predictions: DataFrame, expected: DataFrame, keys: Sequence[str] = PREDICTION_KEYS) -> None:
-    """Predictions are exactly the expected rows: no key missing, none too many, none twice."""
-    enforce_unique(predictions, list(keys))
-    if key_difference(predictions, expected, list(keys)).limit(1).count():
-        raise ValueError("predictions differ from the schedule")
+def validate_schedule(predictions: DataFrame, expected: DataFrame, keys: Sequence[str] = PREDICTION_KEYS, tolerance: float = 1e-12) -> None:
+    """Predictions are exactly the expected rows: no key missing, none too many, none twice, actuals as the schedule's targets."""
+    _refuse(schedule_violations(predictions, expected, keys, tolerance), "predictions differ from the schedule")
+
+
+def component_checks(model: str, tickers: Sequence[str]) -> dict[str, Column]:
+    return {**prediction_checks(("test",)), "other_model": F.col("model") == model, "unknown_ticker": F.col("ticker").isin(*tickers)}
+
+
+def spans_off(predictions: DataFrame, span: tuple) -> DataFrame:
+    """Tickers whose forecasts do not reach from the first to the last test date."""
+    spans = predictions.groupBy("ticker").agg(F.min("target_date").alias("first"), F.max("target_date").alias("last"))
+    return spans.where(~F.coalesce((F.col("first") == F.lit(span[0])) & (F.col("last") == F.lit(span[1])), F.lit(False)))
 
 
 def validate_test_component(predictions: DataFrame, model: str, tickers: Sequence[str], span: tuple, *, every_ticker: bool = True) -> None:
     """One model's test forecasts: exact columns, sound rows, known tickers, each from the first to the last test date."""
     require_columns(predictions, PREDICTION_COLUMNS, exact=True)
     validate_predictions(predictions, ("test",))
-    enforce(predictions, {"other_model": F.col("model") == model, "unknown_ticker": F.col("ticker").isin(*tickers)})
-    spans = predictions.groupBy("ticker").agg(F.min("target_date").alias("first"), F.max("target_date").alias("last"))
-    if spans.where((F.col("first") != F.lit(span[0])) | (F.col("last") != F.lit(span[1]))).limit(1).count():
+    enforce(predictions, component_checks(model, tickers))
+    if spans_off(predictions, span).limit(1).count():
         raise ValueError("a ticker does not span the test dates")
-    if every_ticker and spans.count() != len(set(tickers)):
+    if every_ticker and predictions.select("ticker").distinct().count() != len(set(tickers)):
         raise ValueError("a ticker is missing")
 
 
+def missing_splits(dataset: DataFrame, splits: Sequence[str] = ("train", "validation")) -> DataFrame:
+    """Tickers without rows of some split, with the splits they lack."""
+    there = dataset.groupBy("ticker").agg(F.collect_set("split").alias("there"))
+    lacking = F.array_except(F.array(*map(F.lit, splits)), "there")
+    return there.select("ticker", F.explode(lacking).alias("split"))
+
+
 def validate_grid_data(dataset: DataFrame, tickers: Sequence[str], splits: Sequence[str] = ("train", "validation")) -> DataFrame:
     """The rows a grid is evaluated on; every ticker must have every split."""
     rows = dataset.where(F.col("ticker").isin(*tickers) & F.col("split").isin(*splits))
@@ -256,13 +305,20 @@ def validate_runs(runs: DataFrame) -> None:
     enforce_unique(runs, ["ticker", "window", "units", "dropout", "seed"])
 
 
+def seed_violations(predictions: DataFrame, seeds: Sequence[int]) -> DataFrame:
+    """Per ticker: observations without exactly the seeds, with a seed twice, and with more than one actual."""
+    grouped = predictions.groupBy(*PREDICTION_KEYS).agg(
+        F.sort_array(F.collect_set("seed").cast("array<int>")).alias("seeds"), F.count("*").alias("rows"), F.countDistinct("actual_return").alias("actuals")
+    )
+    want = F.array(*map(F.lit, sorted(set(seeds))))
+    return grouped.groupBy("ticker").agg(
+        violated(F.col("seeds") == want).alias("other_seeds"), F.count_if(F.col("rows") > F.size("seeds")).alias("repeated_seeds"), F.count_if(F.col("actuals") > 1).alias("different_actuals")
+    )
+
+
 def validate_seed_groups(predictions: DataFrame, tickers: Sequence[str], seeds: Sequence[int]) -> None:
     """Every ticker has forecasts of exactly the given seeds, on the same observations."""
-    keys = list(PREDICTION_KEYS)
-    enforce_unique(predictions, [*keys, "seed"])
-    grouped = predictions.groupBy(*keys).agg(F.sort_array(F.collect_set("seed").cast("array<int>")).alias("seeds"), F.countDistinct("actual_return").alias("actuals"))
-    want = F.array(*map(F.lit, sorted(set(seeds))))
-    if grouped.where((F.col("seeds") != want) | (F.col("actuals") > 1)).limit(1).count():
+    if seed_violations(predictions, seeds).where("other_seeds + repeated_seeds + different_actuals > 0").limit(1).count():
         raise ValueError("seeds are not aligned")
     if {r[0] for r in predictions.select("ticker").distinct().collect()} != set(tickers):
         raise ValueError("tickers differ from the protocol")

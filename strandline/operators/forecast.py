@@ -8,12 +8,14 @@ from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.scalars import is_finite
 from strandline.models.arima import FitError, fit_arima
-from strandline.models.lstm import NonFiniteError, Trainer, TrainingConfig
-from strandline.operators.contracts import enforce, key_difference, model_input, validate_alignment
+from strandline.models.lstm import Network, NetworkBuilder, NonFiniteError, Trainer, TrainingConfig
+from strandline.operators.contracts import enforce, key_difference, model_input, schedule_violations, validate_alignment, validate_dataset
 from strandline.operators.returns import by_date, eligible_origins
 from strandline.schema import PREDICTION_COLUMNS, PREDICTION_DDL, PREDICTION_KEYS, TOLERANCE_RESIDUAL, NetworkConfig
 from strandline.session import spread
@@ -59,12 +61,20 @@ def model_name(name: str) -> str:
     return name
 
 
-def predict(dataset: DataFrame, model: ColumnModel, splits: Sequence[str] = ("train", "validation")) -> DataFrame:
-    """Predictions of ``splits``. The model sees no target; its windows see all rows, so the filter comes after."""
+def predict(dataset: DataFrame, model: ColumnModel, splits: Sequence[str] = ("train", "validation"), *, validate: bool = True) -> DataFrame:
+    """Predictions of ``splits``. The model sees no target; its windows see all rows, so the filter comes after.
+
+    Unless ``validate`` is off the dataset must be sound and every forecast finite.
+    """
+    if validate:
+        validate_dataset(dataset)
     keys = list(PREDICTION_KEYS)
     forecast = model_input(dataset).withColumn("predicted_return", model.expression()).select(*keys, "predicted_return")
     actual = dataset.where(F.col("split").isin(*splits)).select(*keys, F.col("target_return").alias("actual_return"))
-    return actual.join(forecast, keys).withColumn("model", F.lit(model_name(model.name))).select(*PREDICTION_COLUMNS)
+    out = actual.join(forecast, keys).withColumn("model", F.lit(model_name(model.name))).select(*PREDICTION_COLUMNS)
+    if validate:
+        enforce(out, {"forecast_not_finite": is_finite("predicted_return")}, allow_empty=True)
+    return out
 
 
 def predict_by_column(dataset: DataFrame, model: ColumnModel, splits: Sequence[str] = ("train", "validation")) -> DataFrame:
@@ -74,13 +84,14 @@ def predict_by_column(dataset: DataFrame, model: ColumnModel, splits: Sequence[s
 
 
 def walk_forward(
-    dataset: DataFrame, fitter: Fitter, name: str, *, splits: Sequence[str] = ("validation",), history_splits: Sequence[str] = ("train", "validation"), warm_up: int = 252, chunk: int = 64
+    dataset: DataFrame, fitter: Fitter, name: str, *, splits: Sequence[str] = ("validation",), history_splits: Sequence[str] = ("train", "validation"), warm_up: int = 252, chunk: int = 64, progress: Accumulator | None = None,
 ) -> DataFrame:
     """Refits at every origin on the history up to it and forecasts one step.
 
     Tasks are (ticker, chunk of origins): each gets the ticker's history up to
     its last origin as an array, sliced per origin, so a ticker's refits spread
-    over many tasks. The array is at most one calendar long.
+    over many tasks. The array is at most one calendar long. ``progress`` counts
+    forecasts.
     """
     model_name(name)
     history = dataset.where(F.col("split").isin(*history_splits))
@@ -97,6 +108,8 @@ def walk_forward(
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
             rows = []
+            if progress is not None:
+                progress.add(sum(map(len, pdf["origins"])))
             for ticker, origins, returns in zip(pdf["ticker"], pdf["origins"], pdf["returns"], strict=True):
                 values = np.asarray(returns, float)
                 for o in origins:
@@ -104,6 +117,8 @@ def walk_forward(
                         forecast = float(fitter(ticker, values[: int(o["history"])]))
                     except FitError as error:
                         raise FitError(f"{ticker} at {o['date']}: {error}") from error
+                    if not np.isfinite(forecast):
+                        raise FitError(f"{ticker} at {o['date']}: forecast is not finite")
                     rows.append((o["date"], o["target_date"], ticker, o["split"], name, o["target_return"], forecast))
             yield pd.DataFrame(rows, columns=list(PREDICTION_COLUMNS))
 
@@ -118,12 +133,40 @@ def arima_fitter(orders: dict[str, tuple[int, int, int]]) -> Fitter:
         if ticker not in orders:
             raise FitError("no order for the ticker")
         got = fit_arima(history, orders[ticker], start=last.get(ticker))
+        if not got.converged:
+            raise FitError(f"order {orders[ticker]} did not converge")
         last[ticker] = got.start
         return got.forecast(history)
 
     return fit
 
 
+def forecast_paths(dataset: DataFrame, orders: dict[str, tuple[int, int, int]], name: str, *, splits: Sequence[str] = ("validation",), history_splits: Sequence[str] = ("train",)) -> DataFrame:
+    """One fit per ticker on ``history_splits``, and as many steps ahead as ``splits`` has rows, by target date."""
+    model_name(name)
+    rows = dataset.where(F.col("split").isin(*history_splits, *splits))
+    row = F.struct("date", "target_date", "split", "log_return", "target_return")
+    work = rows.groupBy("ticker").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            out = []
+            for ticker, every in zip(pdf["ticker"], pdf["rows"], strict=True):
+                history = np.array([r["log_return"] for r in every if r["split"] in history_splits], float)
+                due = [r for r in every if r["split"] in splits]
+                if ticker not in orders or not len(history):
+                    raise FitError(f"{ticker} has no order or no history")
+                if due:
+                    fit = fit_arima(history, orders[ticker])
+                    if not fit.converged:
+                        raise FitError(f"{ticker}: order {orders[ticker]} did not converge")
+                    path = fit.forecast_path(history, len(due))
+                    out += [(r["date"], r["target_date"], ticker, r["split"], name, r["target_return"], float(v)) for r, v in zip(due, path, strict=True)]
+            yield pd.DataFrame(out, columns=list(PREDICTION_COLUMNS))
+
+    return spread(work, "ticker").mapInPandas(run, PREDICTION_DDL)
+
+
 def fitters_of(shortlist: DataFrame) -> dict[str, Fitter]:
     """One fitter per shortlisted rank; a shortlist has a few rows per ticker of the protocol."""
     by_model: dict[str, dict[str, tuple[int, int, int]]] = {}
@@ -165,7 +208,7 @@ def grid_schedule(tickers: DataFrame, configs: Sequence[NetworkConfig], seeds: S
 
 def run_grid(
     dataset: DataFrame, configs: Sequence[NetworkConfig], seeds: Sequence[int], *, training: TrainingConfig | None = None, done: DataFrame | None = None, evaluate: str = "validation", strict: bool = False,
-    learn_splits: Sequence[str] = ("train",),
+    learn_splits: Sequence[str] = ("train",), build: NetworkBuilder = Network, progress: Accumulator | None = None,
 ) -> DataFrame:
     """Trains every scheduled run that ``done`` lacks; one row per run with its predictions.
 
@@ -174,7 +217,8 @@ def run_grid(
     up to its last inner training row, the second by those of all training rows.
     Each run builds its sequences with its own window from the ticker's returns.
     Runs are tasks of their own; a failed run, or one whose ticker is too short,
-    is a row with its error, or ends the job with ``strict``.
+    is a row with its error, or ends the job with ``strict``. ``build`` makes the
+    network of a configuration and seed; ``progress`` counts finished runs.
     """
     if not learn_splits or evaluate in learn_splits:
         raise ValueError("a grid learns from splits other than the evaluated one")
@@ -211,7 +255,7 @@ def run_grid(
                 return known.mean(), known.std() or 1.0
 
             xs, ys = features[learn][:, :, None], target[learn]
-            trainer = Trainer(config, training)
+            trainer = Trainer(config, training, build)
             mean, scale = scaling(dates[cut - 1])
             x, y = (xs - mean) / scale, (ys - mean) / scale
             best = trainer.best_epoch(x[:cut], y[:cut], x[cut:], y[cut:], seed)
@@ -225,16 +269,20 @@ def run_grid(
                 for r, v in zip([r for r, keep in zip(rows, learn, strict=True) if not keep], predicted, strict=True)
             ]
             return (*key, "ok", best, config.parameters, float(np.abs(error).mean() * 1e4), float(np.sqrt((error**2).mean()) * 1e4), None, got)
-        except ValueError as error:
+        except Exception as error:  # whatever ends one run must not end the grid
             if strict:
                 raise
-            if not isinstance(error, NonFiniteError):
-                return (*key, "failed", None, None, None, None, str(error), [])
-            return (*key, "non_finite", None, None, None, None, str(error), [])
+            status = "non_finite" if isinstance(error, (NonFiniteError, FloatingPointError)) else "failed"
+            return (*key, status, None, None, None, None, str(error) or type(error).__name__, [])
 
     def run_all(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
-            yield pd.DataFrame([train(r) for r in pdf.to_dict("records")], columns=columns)
+            rows = []
+            for r in pdf.to_dict("records"):
+                rows.append(train(r))
+                if progress is not None:
+                    progress.add(1)
+            yield pd.DataFrame(rows, columns=columns)
 
     return work.mapInPandas(run_all, schema)
 
@@ -244,11 +292,11 @@ def run_predictions(runs: DataFrame) -> DataFrame:
     return runs.where("status = 'ok'").select("seed", F.explode("predictions").alias("p")).select("p.*", "seed")
 
 
-def hybrid(component: DataFrame, residuals: DataFrame, name: str = "arima_lstm", keys: Sequence[str] = PREDICTION_KEYS, *, validate: bool = False) -> DataFrame:
+def hybrid(component: DataFrame, residuals: DataFrame, name: str = "arima_lstm", keys: Sequence[str] = PREDICTION_KEYS, *, validate: bool = True) -> DataFrame:
     """Sum of a component's forecast and the forecast of its residual, on equal keys.
 
-    ``residuals`` predicts ``actual - component``; with ``validate`` the realised
-    residual must be that to 1e-12 and both sides must have the same keys.
+    ``residuals`` predicts ``actual - component``; unless ``validate`` is off the
+    realised residual must be that to 1e-12 and both sides must have the same keys.
     """
     a = component.select(*keys, "actual_return", F.col("predicted_return").alias("first"))
     b = residuals.select(*PREDICTION_KEYS, *[c for c in ("seed",) if c in residuals.columns], F.col("actual_return").alias("realised"), F.col("predicted_return").alias("second"))
@@ -261,6 +309,12 @@ def hybrid(component: DataFrame, residuals: DataFrame, name: str = "arima_lstm",
     return out.select(*PREDICTION_COLUMNS, *[c for c in ("seed",) if c in b.columns])
 
 
+def hybrid_violations(component: DataFrame, residuals: DataFrame) -> DataFrame:
+    """One row: keys of one side only, repeated residuals and realised residuals that are not ``actual - component`` to 1e-12."""
+    due = component.select(*PREDICTION_KEYS, (F.col("actual_return") - F.col("predicted_return")).alias("target_return"))
+    return schedule_violations(residuals, due, tolerance=TOLERANCE_RESIDUAL)
+
+
 def residual_predictions(component: DataFrame, forecast: Column, name: str = "residual_lstm") -> DataFrame:
     """A prediction table of a component's residuals, forecast by a column expression."""
     return component.withColumns({"second": forecast}).select(
@@ -268,8 +322,8 @@ def residual_predictions(component: DataFrame, forecast: Column, name: str = "re
     )
 
 
-def align(tables: Sequence[DataFrame], baseline: str = "naive_zero", *, validate: bool = False) -> DataFrame:
-    """Union of prediction tables; with ``validate`` all have the baseline's keys and actuals."""
+def align(tables: Sequence[DataFrame], baseline: str = "naive_zero", *, validate: bool = True) -> DataFrame:
+    """Union of prediction tables; unless ``validate`` is off all must have the baseline's keys and actuals."""
     out = functools.reduce(DataFrame.unionByName, [t.select(*PREDICTION_COLUMNS) for t in tables])
     if validate:
         validate_alignment(out, baseline)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -33,6 +34,28 @@ def shared_test_calendar(errors: DataFrame) -> DataFrame:
     return per_date.agg(F.coalesce(F.min("n") == F.max("n"), F.lit(True)).alias("shared"))
 
 
+def on_shared_calendar(predictions: DataFrame, split: str = "test") -> DataFrame:
+    """The split's rows on target dates that every ticker has: what paired tests and block resampling need."""
+    rows = predictions.where(F.col("split") == split)
+    dates = rows.groupBy("target_date").agg(F.countDistinct("ticker").alias("n"))
+    every = rows.agg(F.countDistinct("ticker").alias("all"))
+    shared = dates.join(F.broadcast(every), F.col("n") == F.col("all")).select("target_date")  # one row
+    return rows.join(shared, "target_date", "left_semi").select(*predictions.columns)
+
+
+def unshared_dates(predictions: DataFrame, split: str = "test") -> DataFrame:
+    """Target dates of the split that some tickers lack, with the number of tickers that have them."""
+    rows = predictions.where(F.col("split") == split)
+    dates = rows.groupBy("target_date").agg(F.countDistinct("ticker").alias("tickers"))
+    every = rows.agg(F.countDistinct("ticker").alias("all"))
+    return dates.join(F.broadcast(every), F.col("tickers") < F.col("all")).select("target_date", "tickers")  # one row
+
+
+def require_shared_calendar(errors: DataFrame) -> None:
+    if not shared_test_calendar(errors).first()["shared"]:
+        raise ValueError("tickers have different test dates")
+
+
 def loss_differences(errors: DataFrame, comparisons: Sequence[tuple[str, str]] = COMPARISONS) -> DataFrame:
     """(ticker, loss, candidate, comparator, target_date, d) per ticker and, as mean over tickers by date, pooled."""
     pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("candidate"), F.lit(b).alias("comparator")) for a, b in comparisons)))
@@ -86,9 +109,12 @@ def holm(tests: DataFrame, family: Sequence[str], p: str = "raw_p_value", ties:
     return scaled.withColumn("holm_p_value", stepped).withColumn("reject_null", F.col("holm_p_value") <= alpha).drop("rank", "m")
 
 
-def dm_results(predictions: DataFrame, config: InferenceConfig | None = None, comparisons: Sequence[tuple[str, str]] = COMPARISONS) -> DataFrame:
-    config = config or InferenceConfig()
-    tests = dm_statistics(loss_differences(error_table(predictions), comparisons), config.lag)
+def dm_results(predictions: DataFrame, config: InferenceConfig | None = None, comparisons: Sequence[tuple[str, str]] = COMPARISONS, *, validate: bool = True) -> DataFrame:
+    """Tests of all comparisons; unless ``validate`` is off all tickers must have one test calendar."""
+    config, errors = config or InferenceConfig(), error_table(predictions)
+    if validate:
+        require_shared_calendar(errors)
+    tests = dm_statistics(loss_differences(errors, comparisons), config.lag)
     with_p = tests.withColumn("raw_p_value", normal_two_sided_p("dm_statistic")).drop("variance")
     return holm(with_p, ("ticker", "loss"), alpha=config.alpha)
 
@@ -127,48 +153,70 @@ def resampled_differences(cells: np.ndarray, per_date: int, starts: np.ndarray,
     return np.column_stack([mean[:, 0] - mean[:, 2], np.sqrt(mean[:, 1]) - np.sqrt(mean[:, 3])]) * BPS
 
 
+def stream_states(scopes: DataFrame, dates: int, config: InferenceConfig, count: int) -> DataFrame:
+    """(ticker, pair_no, state): the random stream's state before each scope and comparison.
+
+    One stream runs through tickers in order and the pooled scope last. One task
+    draws it through once and notes where each scope starts; it holds names and
+    states only.
+    """
+    block = min(config.block, dates)
+
+    def walk(batches):  # noqa: ANN001, ANN202
+        generator = np.random.default_rng(config.seed)
+        for pdf in batches:
+            for names in pdf["names"]:
+                rows = []
+                for name in [*names, POOLED]:
+                    for pair in range(count):
+                        rows.append((name, pair, json.dumps(generator.bit_generator.state)))
+                        block_starts(dates, block, config.repetitions, generator)
+                yield pd.DataFrame(rows, columns=["ticker", "pair_no", "state"])
+
+    names = scopes.agg(F.sort_array(F.collect_set("ticker")).alias("names"))
+    return names.mapInPandas(walk, "ticker string, pair_no int, state string")
+
+
 def bootstrap_intervals(predictions: DataFrame, config: InferenceConfig | None = None, comparisons: Sequence[tuple[str, str]] = COMPARISONS) -> DataFrame:
     """Percentile intervals of metric differences by moving blocks of dates.
 
     One random stream runs through all scopes and comparisons in order (tickers
-    sorted, pooled last). Scopes share one calendar, so each task finds its
-    place in the stream by drawing what comes before it; tasks are one scope and
-    comparison each, and hold sums per date only.
+    sorted, pooled last). All tickers must have one test calendar. Tasks are one
+    scope and comparison each, start at their state of the stream, and hold sums
+    per date only.
     """
     config = config or InferenceConfig()
     errors = error_table(predictions)
+    require_shared_calendar(errors)
+    dates = errors.agg(F.countDistinct("target_date")).first()[0]
     pairs = F.posexplode(F.array(*(F.struct(F.lit(a).alias("candidate"), F.lit(b).alias("comparator")) for a, b in comparisons)))
     cells = errors.select("ticker", "target_date", "errors", pairs.alias("pair_no", "pair")).select(
         "ticker", "target_date", "pair_no", "pair.*", F.col("errors")[F.col("pair.candidate")].alias("a"), F.col("errors")[F.col("pair.comparator")].alias("b")
     )
     sums = [F.count("*").alias("cells"), *(F.sum(x).alias(n) for n, x in (("s0", F.abs("a")), ("s1", F.col("a") * F.col("a")), ("s2", F.abs("b")), ("s3", F.col("b") * F.col("b"))))]
     keys = ["pair_no", "candidate", "comparator", "target_date"]
-    single = cells.groupBy("ticker", *keys).agg(*sums).withColumn("pooled", F.lit(0))
-    pooled = cells.groupBy(*keys).agg(*sums).withColumns({"pooled": F.lit(1), "ticker": F.lit(POOLED)})
-    scopes = errors.select("ticker").distinct().withColumn("scope", F.row_number().over(Window.orderBy("ticker")) - 1)
-    ranked = single.join(scopes, "ticker").unionByName(pooled.withColumn("scope", F.lit(-1)), allowMissingColumns=True)
-    count = len(comparisons)
-
-    def interval(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        scope, pair_no, scope_count = (int(x) for x in key)
-        pdf = pdf.sort_values("target_date")
-        n, per_date = len(pdf), int(pdf["cells"].iloc[0])
-        block = min(config.block, n)
-        generator = np.random.default_rng(config.seed)
-        place = (scope if scope >= 0 else scope_count) * count + pair_no
-        for _ in range(place):
-            block_starts(n, block, config.repetitions, generator)
-        table = pdf[["s0", "s1", "s2", "s3"]].to_numpy()
-        drawn = resampled_differences(table, per_date, block_starts(n, block, config.repetitions, generator), block)
-        mean = table.sum(axis=0) / (n * per_date)
-        estimate = np.array([mean[0] - mean[2], np.sqrt(mean[1]) - np.sqrt(mean[3])]) * BPS
-        tail = (1 - config.confidence) / 2
-        low, high = np.quantile(drawn, [tail, 1 - tail], axis=0)
-        first = pdf.iloc[0]
-        return pd.DataFrame(
-            [(first.ticker, m, first.candidate, first.comparator, n * per_date, estimate[k], low[k], high[k], config.repetitions, block, config.seed) for k, m in enumerate(("mae", "rmse"))],
-            columns=[x.strip().split()[0] for x in INTERVAL_DDL.split(",")],
-        )
-
-    total = scopes.agg(F.count("*").alias("scope_count"))
-    return spread(ranked.join(F.broadcast(total)), "scope", "pair_no", "scope_count").groupBy("scope", "pair_no", "scope_count").applyInPandas(interval, INTERVAL_DDL)  # one row
+    single = cells.groupBy("ticker", *keys).agg(*sums)
+    pooled = cells.groupBy(*keys).agg(*sums).withColumn("ticker", F.lit(POOLED))
+    row = F.struct("target_date", "cells", "s0", "s1", "s2", "s3")
+    by_scope = single.unionByName(pooled).groupBy("ticker", "pair_no", "candidate", "comparator").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    work = by_scope.join(stream_states(errors, max(dates, 1), config, len(comparisons)), ["ticker", "pair_no"])
+    columns = [x.strip().split()[0] for x in INTERVAL_DDL.split(",")]
+
+    def intervals(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                n, per_date = len(r["rows"]), int(r["rows"][0]["cells"])
+                block = min(config.block, n)
+                generator = np.random.default_rng()
+                generator.bit_generator.state = json.loads(r["state"])
+                table = np.array([[x["s0"], x["s1"], x["s2"], x["s3"]] for x in r["rows"]], float)
+                drawn = resampled_differences(table, per_date, block_starts(n, block, config.repetitions, generator), block)
+                mean = table.sum(axis=0) / (n * per_date)
+                estimate = np.array([mean[0] - mean[2], np.sqrt(mean[1]) - np.sqrt(mean[3])]) * BPS
+                tail = (1 - config.confidence) / 2
+                low, high = np.quantile(drawn, [tail, 1 - tail], axis=0)
+                out += [(r["ticker"], m, r["candidate"], r["comparator"], n * per_date, estimate[k], low[k], high[k], config.repetitions, block, config.seed) for k, m in enumerate(("mae", "rmse"))]
+            yield pd.DataFrame(out, columns=columns)
+
+    return spread(work, "ticker", "pair_no").mapInPandas(intervals, INTERVAL_DDL)

@@ -101,19 +101,24 @@ def inner_split(frame: DataFrame, fraction: float = 0.8) -> DataFrame:
     return frame.withColumn("inner", F.when(row <= F.floor(rows * F.lit(float(fraction))), "inner_train").otherwise("inner_validation"))
 
 
-def residual_chain(predictions: DataFrame, source: DataFrame) -> DataFrame:
+def residual_chain(predictions: DataFrame, source: DataFrame, *, validate: bool = True) -> DataFrame:
     """Pairs of consecutive forecast errors in the shape of a model dataset.
 
     Row t takes forecast t's error as return and forecast t+1's as target, with
     split and price of t+1; the last forecast has no pair. The chain must not
-    skip a row: the target date of t is the date of t+1.
+    skip a row: the target date of t is the date of t+1. Unless ``validate`` is
+    off a gap, or a forecast without source row, is an error; with it off
+    ``contiguous`` tells.
     """
+    keys = ["date", "target_date", "ticker", "split"]
+    if validate and predictions.join(source, keys, "left_anti").limit(1).count():
+        raise ValueError("predictions without a source row")
     keyed = predictions.join(source.select("date", "target_date", "ticker", "split", "adj_close"), ["date", "target_date", "ticker", "split"])
     error = keyed.withColumn("residual", F.col("actual_return") - F.col("predicted_return"))
     order = Window.partitionBy("ticker").orderBy("target_date")
     following = {x: F.lead(x).over(order) for x in ("date", "target_date", "residual", "split", "adj_close")}
     chained = error.withColumns({f"next_{k}": v for k, v in following.items()}).where(F.col("next_date").isNotNull())
-    return chained.select(
+    out = chained.select(
         F.col("next_date").alias("date"),
         F.col("next_target_date").alias("target_date"),
         "ticker",
@@ -123,3 +128,6 @@ def residual_chain(predictions: DataFrame, source: DataFrame) -> DataFrame:
         F.col("next_split").alias("split"),
         (F.col("target_date") == F.col("next_date")).alias("contiguous"),
     )
+    if validate:
+        enforce(out, {"residual_chain_not_contiguous": F.col("contiguous")}, allow_empty=True)
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalars import is_finite
+from strandline.operators.contracts import enforce
 from strandline.schema import PREDICTION_KEYS
 
 
@@ -67,12 +68,23 @@ def eligible_configurations(runs: DataFrame, seeds: Sequence[int]) -> DataFrame:
 
 
 def select_networks(metrics: DataFrame, eligible: DataFrame | None = None) -> DataFrame:
-    """Winning configuration per ticker: mean MAE, mean RMSE, spread, parameters, window, units, dropout."""
+    """Winning configuration per ticker: mean MAE, mean RMSE, spread, parameters, window, units, dropout.
+
+    A configuration whose sound runs disagree on the number of parameters is an error.
+    """
+    if "one_parameter_count" in metrics.columns:
+        enforce(metrics, {"more_than_one_parameter_count": F.coalesce("one_parameter_count", F.lit(True))}, allow_empty=True)
     usable = metrics if eligible is None else metrics.join(eligible, ["ticker", "window", "units", "dropout"], "left_semi")
     order = ["mean_mae_bps", "mean_rmse_bps", "std_mae_bps", "parameter_count", "window", "units", "dropout"]
     return best_of(usable.where(F.col("mean_mae_bps").isNotNull()), ["ticker"], order).withColumn("model", F.lit("lstm"))
 
 
+def runs_of_selected(runs: DataFrame, winners: DataFrame) -> DataFrame:
+    """Every run of each ticker's winning configuration, with the configuration's mean."""
+    keys = ["ticker", "window", "units", "dropout"]
+    return runs.join(winners.select(*keys, "mean_mae_bps"), keys)
+
+
 def ensemble(seed_predictions: DataFrame, model: str = "lstm") -> DataFrame:
     """Mean over seeds per observation, with the number of seeds."""
     keys = list(PREDICTION_KEYS)
@@ -83,3 +95,8 @@ def ensemble(seed_predictions: DataFrame, model: str = "lstm") -> DataFrame:
 
 def status_counts(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.groupBy(*keys, "status").agg(F.count("*").alias("rows"))
+
+
+def status_table(frame: DataFrame, statuses: Sequence[str], *keys: str) -> DataFrame:
+    """The same with a column per status, 0 where there is none."""
+    return frame.groupBy(*keys).agg(*(F.count_if(F.col("status") == s).alias(s) for s in statuses))

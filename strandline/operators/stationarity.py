@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandline.session import spread
 
@@ -104,12 +105,15 @@ def kpss(values: np.ndarray, regression: str = "c") -> tuple[float, float, int,
     return statistic, float(np.interp(statistic, row, KPSS_LEVELS)), lags, n, (row[3], row[1], row[0])
 
 
-def stationarity_report(series: DataFrame) -> DataFrame:
+def stationarity_report(series: DataFrame, *, strict: bool = True) -> DataFrame:
     """Both tests of each (ticker, series) of ``value`` by ``date``; ``log_price`` with a trend, others without.
 
-    Series that are too short, constant or not finite give no rows. A task holds
-    one series, at most one calendar long.
+    A series that is too short, constant or not finite is an error that names
+    it; without ``strict`` it gives a row per test with nulls. Text is read as
+    numbers; what cannot be read counts as missing. A task holds one series, at
+    most one calendar long.
     """
+    series = series.withColumn("value", F.col("value").try_cast("double"))
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
@@ -119,7 +123,10 @@ def stationarity_report(series: DataFrame) -> DataFrame:
         for label, run in (("ADF", adf), ("KPSS", kpss)):
             try:
                 statistic, p, lags, n, critical = run(pdf["value"].to_numpy(float), regression)
-            except ValueError:
+            except ValueError as error:
+                if strict:
+                    raise ValueError(f"{pdf['ticker'].iloc[0]} {name}: {error}") from error
+                rows.append((pdf["ticker"].iloc[0], name, regression, label, *[None] * 8))
                 continue
             rows.append((pdf["ticker"].iloc[0], name, regression, label, statistic, p, lags, n, *critical, bool(p < 0.05 if label == "ADF" else p >= 0.05)))
         return pd.DataFrame(rows, columns=[x.strip().split()[0] for x in REPORT_DDL.split(",")])

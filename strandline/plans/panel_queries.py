@@ -16,8 +16,8 @@ from strandline.models.lstm import TrainingConfig
 from strandline.operators import autocorrelation, contracts, explore, forecast, inference, metrics, regimes, returns, selection, sequences
 from strandline.operators.snapshot_diff import delivery_order
 from strandline.operators.stationarity import stationarity_report as both_tests
-from strandline.plans.panels import MARKET, PANELS, TICKER, dataset_of, dataset_sql, panel, predictions_sql, synthetic_predictions
-from strandline.schema import COMPARISONS, DATASET_COLUMNS, InferenceConfig, network_grid
+from strandline.plans.panels import MARKET, PANELS, STAND_INS, TICKER, dataset_of, dataset_sql, panel, predictions_sql, synthetic_predictions
+from strandline.schema import DATASET_COLUMNS, InferenceConfig, network_grid
 from strandline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -253,12 +253,15 @@ def corr_spearman(spark: SparkSession, folder: str) -> DataFrame:
     return explore.return_correlation(returns.log_returns(panel(spark, folder, "weekly")), "spearman")
 
 
-@query(f"{dataset_sql('weekly')} SELECT date, " + ", ".join(f"round(max(CASE WHEN ticker = '{t}' THEN log_return END), 9) AS \"{t}\"" for t in ("1-URGENT", "2-HIGH", "3-MEDIUM")) + " FROM returns GROUP BY 1")
+#: The tickers of the weekly panel, as its table's contract has them.
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query(f"{dataset_sql('weekly')} SELECT date, " + ", ".join(f"round(max(CASE WHEN ticker = '{t}' THEN log_return END), 9) AS \"{t}\"" for t in _PRIORITIES) + " FROM returns GROUP BY 1")
 def returns_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    """Three tickers' returns side by side."""
-    names = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
+    """All tickers' returns side by side."""
     rows = returns.log_returns(panel(spark, folder, "weekly")).withColumn("log_return", F.round("log_return", 9))
-    return rows.groupBy("date").pivot("ticker", names).agg(F.max("log_return"))
+    return rows.groupBy("date").pivot("ticker", list(_PRIORITIES)).agg(F.max("log_return"))
 
 
 @query(f"{dataset_sql('weekly')} SELECT ticker, date, count(*) OVER (PARTITION BY ticker ORDER BY date RANGE UNBOUNDED PRECEDING) AS history FROM ds")
@@ -364,19 +367,19 @@ def price_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""{predictions_sql('daily', ('test',))}, e AS (SELECT ticker, target_date, max(CASE WHEN model = 'arima' THEN abs(predicted_return - actual_return) END) AS a, max(CASE WHEN model = 'naive_zero' THEN abs(predicted_return - actual_return) END) AS b FROM pred GROUP BY 1, 2)
+    f"""{predictions_sql('daily', ('test',))}, e AS (SELECT ticker, target_date, max(CASE WHEN model = 'momentum' THEN abs(predicted_return - actual_return) END) AS a, max(CASE WHEN model = 'naive_zero' THEN abs(predicted_return - actual_return) END) AS b FROM pred GROUP BY 1, 2)
 SELECT ticker, target_date, sum((a - b) * 10000) OVER (PARTITION BY ticker ORDER BY target_date ROWS UNBOUNDED PRECEDING) AS cumulative_bps FROM e""",
     cumulative_bps=3,
 )
 def loss_diff_cumsum(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.cumulative_loss_difference(synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",)), "arima", "naive_zero")
+    return metrics.cumulative_loss_difference(synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",)), "momentum", "naive_zero")
 
 
-_SEEDED = """seeded AS (SELECT pred.* REPLACE (predicted_return * (1 + s.seed * 0.1::DOUBLE) AS predicted_return), CAST(s.seed AS INTEGER) AS seed, model AS family FROM pred, (VALUES (0), (1), (2)) s(seed) WHERE model IN ('lstm', 'arima_lstm'))"""
+_SEEDED = """seeded AS (SELECT pred.* REPLACE (predicted_return * (1 + s.seed * 0.1::DOUBLE) AS predicted_return), CAST(s.seed AS INTEGER) AS seed, model AS family FROM pred, (VALUES (0), (1), (2)) s(seed) WHERE model IN ('reversal', 'blend'))"""
 
 
 def _seeded(spark: SparkSession, folder: str) -> DataFrame:
-    rows = synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",)).where(F.col("model").isin("lstm", "arima_lstm"))
+    rows = synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",)).where(F.col("model").isin("reversal", "blend"))
     seeds = rows.withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     return seeds.withColumns({"predicted_return": F.col("predicted_return") * (1 + F.col("seed") * F.lit(0.1)), "family": F.col("model")})
 
@@ -398,10 +401,10 @@ def seed_spread(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.seed_spread(metrics.seed_metrics(_seeded(spark, folder)))
 
 
-@query(f"{predictions_sql('daily', ('test',))}, {_SEEDED} SELECT date, target_date, ticker, split, max(actual_return) AS actual_return, avg(predicted_return) AS predicted_return, count(DISTINCT seed) AS seeds, 'lstm' AS model FROM seeded WHERE family = 'lstm' GROUP BY 1, 2, 3, 4", actual_return=9, predicted_return=9)
+@query(f"{predictions_sql('daily', ('test',))}, {_SEEDED} SELECT date, target_date, ticker, split, max(actual_return) AS actual_return, avg(predicted_return) AS predicted_return, count(DISTINCT seed) AS seeds, 'reversal' AS model FROM seeded WHERE family = 'reversal' GROUP BY 1, 2, 3, 4", actual_return=9, predicted_return=9)
 def seed_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     """Mean forecast of all seeds per observation."""
-    return selection.ensemble(_seeded(spark, folder).where("family = 'lstm'"))
+    return selection.ensemble(_seeded(spark, folder).where("family = 'reversal'"), "reversal")
 
 
 # ---- regimes -------------------------------------------------------------------
@@ -429,8 +432,8 @@ def regime_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- inference -----------------------------------------------------------------
 
-_PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in COMPARISONS)
-_LOSSES = f"""{predictions_sql('daily', ('test',))}, e AS (SELECT ticker, target_date, model, predicted_return - actual_return AS e FROM pred),
+_PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in STAND_INS)
+_LOSSES = f"""{predictions_sql('daily', ('test',), shared=True)}, e AS (SELECT ticker, target_date, model, predicted_return - actual_return AS e FROM pred),
 single AS (SELECT a.ticker, l.loss, c.candidate, c.comparator, a.target_date, CASE WHEN l.loss = 'absolute' THEN abs(a.e) - abs(b.e) ELSE a.e * a.e - b.e * b.e END AS d
   FROM (VALUES {_PAIRS}) c(candidate, comparator), (VALUES ('absolute'), ('squared')) l(loss), e a, e b WHERE a.model = c.candidate AND b.model = c.comparator AND a.ticker = b.ticker AND a.target_date = b.target_date),
 diffs AS (SELECT * FROM single UNION ALL SELECT 'ALL' AS ticker, loss, candidate, comparator, target_date, avg(d) AS d FROM single GROUP BY loss, candidate, comparator, target_date),
@@ -440,17 +443,20 @@ s AS (SELECT ticker, loss, candidate, comparator, count(*) AS observations, avg(
 dm AS (SELECT ticker, loss, candidate, comparator, observations, mean_loss_difference, CASE WHEN variance > 0 THEN mean_loss_difference / sqrt(variance / observations) WHEN mean_loss_difference = 0 THEN 0 ELSE sign(mean_loss_difference) * CAST('inf' AS DOUBLE) END AS dm_statistic FROM s)"""
 
 
+def _shared(spark: SparkSession, folder: str) -> DataFrame:
+    return inference.on_shared_calendar(synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",)))
+
+
 @query(f"{_LOSSES} SELECT * FROM dm", mean_loss_difference=10, dm_statistic=5)
 def dm_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Diebold-Mariano statistics of five comparisons, two losses, every ticker and pooled."""
-    predicted = synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",))
-    return inference.dm_statistics(inference.loss_differences(inference.error_table(predicted))).drop("variance")
+    return inference.dm_statistics(inference.loss_differences(inference.error_table(_shared(spark, folder)), STAND_INS)).drop("variance")
 
 
 @query()
 def dm_results(spark: SparkSession, folder: str) -> DataFrame:
     """The same with p-values and Holm adjustment."""
-    return inference.dm_results(synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",)))
+    return inference.dm_results(_shared(spark, folder), comparisons=STAND_INS)
 
 
 @query(
@@ -461,28 +467,26 @@ SELECT ticker, loss, candidate, comparator, raw_p_value, max(least(raw_p_value *
 )
 def holm_adjusted(spark: SparkSession, folder: str) -> DataFrame:
     """Holm steps over stand-in p-values that SQL can compute."""
-    predicted = synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",))
-    tests = inference.dm_statistics(inference.loss_differences(inference.error_table(predicted)))
+    tests = inference.dm_statistics(inference.loss_differences(inference.error_table(_shared(spark, folder)), STAND_INS))
     with_p = tests.select("ticker", "loss", "candidate", "comparator", (1 / (1 + F.abs(F.round("dm_statistic", 5)))).alias("raw_p_value"))
     return inference.holm(with_p, ["ticker", "loss"]).drop("reject_null")
 
 
 @query(
-    f"""{predictions_sql('daily', ('test',))}, e AS (SELECT ticker, target_date, model, predicted_return - actual_return AS e FROM pred), x AS (SELECT a.ticker, c.candidate, c.comparator, a.e AS a, b.e AS b FROM (VALUES {_PAIRS}) c(candidate, comparator), e a, e b
+    f"""{predictions_sql('daily', ('test',), shared=True)}, e AS (SELECT ticker, target_date, model, predicted_return - actual_return AS e FROM pred), x AS (SELECT a.ticker, c.candidate, c.comparator, a.e AS a, b.e AS b FROM (VALUES {_PAIRS}) c(candidate, comparator), e a, e b
   WHERE a.model = c.candidate AND b.model = c.comparator AND a.ticker = b.ticker AND a.target_date = b.target_date),
 g AS (SELECT CASE WHEN grouping(ticker) = 1 THEN 'ALL' ELSE ticker END AS ticker, candidate, comparator, count(*) AS observations, (avg(abs(a)) - avg(abs(b))) * 10000 AS mae, (sqrt(avg(a * a)) - sqrt(avg(b * b))) * 10000 AS rmse FROM x GROUP BY GROUPING SETS ((candidate, comparator, ticker), (candidate, comparator)))
 SELECT ticker, candidate, comparator, observations, metric, estimate FROM g UNPIVOT (estimate FOR metric IN (mae, rmse))""",
     estimate=5,
 )
 def bootstrap_estimates(spark: SparkSession, folder: str) -> DataFrame:
-    predicted = synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",))
-    return inference.metric_differences(inference.error_table(predicted))
+    return inference.metric_differences(inference.error_table(_shared(spark, folder)), STAND_INS)
 
 
 @query()
 def bootstrap_intervals(spark: SparkSession, folder: str) -> DataFrame:
     """Percentile intervals from the protocol's 10,000 moving-block resamples."""
-    return inference.bootstrap_intervals(synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",)), InferenceConfig())
+    return inference.bootstrap_intervals(_shared(spark, folder), InferenceConfig(), STAND_INS)
 
 
 # ---- autocorrelation, stationarity ---------------------------------------------
@@ -529,10 +533,12 @@ def ljung_box(spark: SparkSession, folder: str) -> DataFrame:
     return autocorrelation.ljung_box(autocorrelation.autocorrelations(_series(spark, folder), _LAGS), (5, 10, 20))
 
 
-@query(f"{_ACF} SELECT ticker, series, max(CASE WHEN lag = 1 THEN acf END) AS lag1, max(CASE WHEN lag > 0 THEN abs(acf) END) AS largest FROM acf GROUP BY 1, 2", lag1=8, largest=8)
+@query(f"{_ACF} SELECT ticker, series, max(CASE WHEN lag = 1 THEN acf END) AS lag1, max(CASE WHEN lag > 0 THEN abs(acf) END) AS largest, max(CASE WHEN lag = 1 THEN acf END) AS pacf1 FROM acf GROUP BY 1, 2", lag1=8, largest=8, pacf1=8)
 def acf_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = autocorrelation.autocorrelations(_series(spark, folder), _LAGS)
-    return rows.groupBy("ticker", "series").agg(F.max(F.when(F.col("lag") == 1, F.col("acf"))).alias("lag1"), F.max(F.when(F.col("lag") > 0, F.abs("acf"))).alias("largest"))
+    """Lag-1 autocorrelation and partial autocorrelation (equal at lag 1, by another way) and the largest of all lags."""
+    rows = autocorrelation.correlogram(autocorrelation.autocorrelations(_series(spark, folder), _LAGS))
+    first = lambda c: F.max(F.when(F.col("lag") == 1, F.col(c)))
+    return rows.groupBy("ticker", "series").agg(first("acf").alias("lag1"), F.max(F.when(F.col("lag") > 0, F.abs("acf"))).alias("largest"), first("pacf").alias("pacf1"))
 
 
 @query()
@@ -603,7 +609,7 @@ def arima_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""{predictions_sql('daily')}, r AS (SELECT ticker, date, target_date, split, adj_close, actual_return - predicted_return AS res FROM pred JOIN ds USING (date, target_date, ticker, split) WHERE model = 'arima'),
+    f"""{predictions_sql('daily')}, r AS (SELECT ticker, date, target_date, split, adj_close, actual_return - predicted_return AS res FROM pred JOIN ds USING (date, target_date, ticker, split) WHERE model = 'momentum'),
 n AS (SELECT ticker, lead(date) OVER w AS date, lead(target_date) OVER w AS target_date, lead(adj_close) OVER w AS adj_close, res AS log_return, lead(res) OVER w AS target_return, lead(split) OVER w AS split, target_date = lead(date) OVER w AS contiguous FROM r WINDOW w AS (PARTITION BY ticker ORDER BY target_date))
 SELECT * FROM n WHERE date IS NOT NULL""",
     adj_close=8,
@@ -613,31 +619,25 @@ SELECT * FROM n WHERE date IS NOT NULL""",
 def residual_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """Consecutive forecast errors as a dataset of their own."""
     data = dataset_of(spark, folder, "daily")
-    return returns.residual_chain(synthetic_predictions(data).where("model = 'arima'"), data)
+    return returns.residual_chain(synthetic_predictions(data).where("model = 'momentum'"), data)
 
 
 @query(
-    f"""{predictions_sql('daily', ('test',))} SELECT date, target_date, ticker, split, 'arima_lstm' AS model, actual_return, predicted_return + predicted_return * 0.1::DOUBLE AS predicted_return FROM pred WHERE model = 'arima'""",
+    f"""{predictions_sql('daily', ('test',))} SELECT date, target_date, ticker, split, 'blend' AS model, actual_return, predicted_return + predicted_return * 0.1::DOUBLE AS predicted_return FROM pred WHERE model = 'momentum'""",
     actual_return=9,
     predicted_return=9,
 )
 def hybrid_sum(spark: SparkSession, folder: str) -> DataFrame:
     """A component plus the forecast of its residual, joined on all keys."""
-    component = synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",)).where("model = 'arima'")
-    return forecast.hybrid(component, forecast.residual_predictions(component, F.col("predicted_return") * F.lit(0.1)))
+    component = synthetic_predictions(dataset_of(spark, folder, "daily"), ("test",)).where("model = 'momentum'")
+    return forecast.hybrid(component, forecast.residual_predictions(component, F.col("predicted_return") * F.lit(0.1)), "blend")
 
 
 @query(f"{predictions_sql('weekly')} SELECT * FROM pred", actual_return=9, predicted_return=9)
 def aligned_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Tables of four models in one."""
     every = synthetic_predictions(dataset_of(spark, folder, "weekly"))
-    return forecast.align([every.where(F.col("model") == m) for m in ("naive_zero", "arima", "lstm", "arima_lstm")])
-
-
-@query(f"{predictions_sql('weekly')} SELECT DISTINCT model, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unexpected, CAST(0 AS BIGINT) AS different FROM pred")
-def misaligned_models(spark: SparkSession, folder: str) -> DataFrame:
-    """Per model: missing and unexpected keys and different actuals; zeros where aligned."""
-    return contracts.misaligned(synthetic_predictions(dataset_of(spark, folder, "weekly")), "naive_zero")
+    return forecast.align([every.where(F.col("model") == m) for m in ("naive_zero", "momentum", "reversal", "blend")])
 
 
 @query(f"{predictions_sql('weekly')} SELECT model, ticker, count(*) AS rows, min(target_date) AS first_target, max(target_date) AS last_target FROM pred GROUP BY 1, 2")
@@ -646,13 +646,6 @@ def schedule_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("model", "ticker").agg(F.count("*").alias("rows"), F.min("target_date").alias("first_target"), F.max("target_date").alias("last_target"))
 
 
-@query(f"{dataset_sql('market')} SELECT ticker, target_date, 'left' AS side FROM (SELECT ticker, target_date FROM ds EXCEPT SELECT ticker, target_date FROM ds WHERE abs(log_return) < 0.05) UNION ALL SELECT ticker, target_date, 'right' FROM ds WHERE false")
-def key_difference(spark: SparkSession, folder: str) -> DataFrame:
-    """Keys of a dataset that a filtered copy lacks, and the reverse."""
-    data = dataset_of(spark, folder, "market")
-    return contracts.key_difference(data, data.where(F.abs("log_return") < 0.05), ["ticker", "target_date"])
-
-
 @query(f"{dataset_sql('market')} SELECT ticker, min(CASE WHEN split = 'test' THEN target_date END) AS test_start, max(CASE WHEN split = 'test' THEN target_date END) AS test_end, count(DISTINCT split) AS splits FROM ds GROUP BY 1")
 def split_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return contracts.coverage(dataset_of(spark, folder, "market")).withColumn("splits", F.size("splits").cast("bigint"))
@@ -674,6 +667,7 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     return flat.distinct()
 
 
+_TEN_SEEDS = "count(DISTINCT seed) = 10 AND bool_and(coalesce(status = 'ok' AND seed BETWEEN 0 AND 9, false))"
 _CONFIGS = f"""WITH runs AS ({_RUNS}), c AS (SELECT ticker, "window", units, dropout, CAST(count_if(status = 'ok') AS BIGINT) AS successful_seeds, round(sum(CASE WHEN status = 'ok' THEN mae_bps END), 8) / nullif(count(CASE WHEN status = 'ok' THEN mae_bps END), 0) AS mean_mae_bps, round(sum(CASE WHEN status = 'ok' THEN rmse_bps END), 8) / nullif(count(CASE WHEN status = 'ok' THEN rmse_bps END), 0) AS mean_rmse_bps,
   stddev_samp(CASE WHEN status = 'ok' THEN mae_bps END) AS std_mae_bps, max(CASE WHEN status = 'ok' THEN parameter_count END) AS parameter_count FROM runs GROUP BY 1, 2, 3, 4)"""
 
@@ -685,21 +679,22 @@ def configuration_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""{_CONFIGS} SELECT ticker, "window", units, dropout, successful_seeds, mean_mae_bps, parameter_count, 'lstm' AS model FROM c WHERE mean_mae_bps IS NOT NULL
+    f"""{_CONFIGS} SELECT ticker, "window", units, dropout, successful_seeds, mean_mae_bps, parameter_count, 'lstm' AS model FROM c SEMI JOIN (SELECT ticker, "window", units, dropout FROM runs GROUP BY 1, 2, 3, 4 HAVING {_TEN_SEEDS}) e USING (ticker, "window", units, dropout) WHERE mean_mae_bps IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY mean_mae_bps, mean_rmse_bps NULLS FIRST, std_mae_bps NULLS FIRST, parameter_count, "window", units, dropout) = 1""",
 )
 def lstm_select(spark: SparkSession, folder: str) -> DataFrame:
-    """The best configuration of each ticker, ties settled by error, size and settings."""
-    best = selection.select_networks(selection.configuration_metrics(runs(spark, folder)))
+    """The best configuration of each ticker among those with the protocol's ten seeds, ties settled by error, size and settings."""
+    every = runs(spark, folder)
+    best = selection.select_networks(selection.configuration_metrics(every), selection.eligible_configurations(every, list(range(10))))
     return best.select("ticker", "window", "units", "dropout", "successful_seeds", "mean_mae_bps", "parameter_count", "model")
 
 
 @query(
-    f"""WITH runs AS ({_RUNS}) SELECT ticker, "window", units, dropout FROM runs GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT seed) = 2 AND bool_and(coalesce(status = 'ok' AND seed IN (0, 1), false))"""
+    f"""WITH runs AS ({_RUNS}) SELECT ticker, "window", units, dropout FROM runs GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT seed) = 10 AND bool_and(coalesce(status = 'ok' AND seed BETWEEN 0 AND 9, false))"""
 )
 def eligible_configurations(spark: SparkSession, folder: str) -> DataFrame:
-    """Configurations run with exactly the seeds 0 and 1, both sound."""
-    return selection.eligible_configurations(runs(spark, folder), [0, 1])
+    """Configurations run with exactly the protocol's ten seeds, all sound."""
+    return selection.eligible_configurations(runs(spark, folder), list(range(10)))
 
 
 @query(f"WITH runs AS ({_RUNS}) SELECT ticker, status, count(*) AS rows FROM runs GROUP BY 1, 2")

@@ -78,10 +78,14 @@ def dataset_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return model_dataset(panel(spark, folder, name), PANELS[name].splits)
 
 
+#: Candidate and comparator among the models below, which stand for no fitted one.
+STAND_INS = (("momentum", "naive_zero"), ("reversal", "naive_zero"), ("blend", "naive_zero"), ("blend", "momentum"), ("blend", "reversal"))
+
+
 class LastReturn:
     """Half the last return."""
 
-    name = "arima"
+    name = "momentum"
 
     def expression(self):  # noqa: ANN201
         return F.col("log_return") * F.lit(0.5)
@@ -90,7 +94,7 @@ class LastReturn:
 class Reversal:
     """A quarter of the last return, reversed."""
 
-    name = "lstm"
+    name = "reversal"
 
     def expression(self):  # noqa: ANN201
         return F.col("log_return") * F.lit(-0.25)
@@ -99,7 +103,7 @@ class Reversal:
 class Both:
     """Sum of the two before."""
 
-    name = "arima_lstm"
+    name = "blend"
 
     def expression(self):  # noqa: ANN201
         return F.col("log_return") * F.lit(0.5) + F.col("log_return") * F.lit(-0.25)
@@ -123,10 +127,12 @@ targets AS (SELECT *, lead(date) OVER w AS target_date, lead(log_return) OVER w
 ds AS (SELECT date, target_date, ticker, adj_close, log_return, target_return, CASE {case} END AS split FROM targets WHERE log_return IS NOT NULL AND target_return IS NOT NULL)"""
 
 
-def predictions_sql(name: str, splits: tuple[str, ...] = ("train", "validation", "test")) -> str:
-    """The CTEs above and ``pred``, the four models' predictions."""
+def predictions_sql(name: str, splits: tuple[str, ...] = ("train", "validation", "test"), shared: bool = False) -> str:
+    """The CTEs above and ``pred``, the four models' predictions; with ``shared`` on dates that all tickers have."""
     some = ", ".join(f"'{s}'" for s in splits)
+    every = "every" if shared else "pred"
+    common = ", pred AS (SELECT * FROM every WHERE target_date IN (SELECT target_date FROM every GROUP BY 1 HAVING count(DISTINCT ticker) = (SELECT count(DISTINCT ticker) FROM every)))" if shared else ""
     return f"""{dataset_sql(name)},
-pred AS (SELECT date, target_date, ticker, split, m.model, target_return AS actual_return,
-  CASE m.model WHEN 'naive_zero' THEN 0.0::DOUBLE WHEN 'arima' THEN log_return * 0.5::DOUBLE WHEN 'lstm' THEN log_return * (-0.25)::DOUBLE ELSE log_return * 0.5::DOUBLE + log_return * (-0.25)::DOUBLE END AS predicted_return
-  FROM ds, (VALUES ('naive_zero'), ('arima'), ('lstm'), ('arima_lstm')) m(model) WHERE split IN ({some}))"""
+{every} AS (SELECT date, target_date, ticker, split, m.model, target_return AS actual_return,
+  CASE m.model WHEN 'naive_zero' THEN 0.0::DOUBLE WHEN 'momentum' THEN log_return * 0.5::DOUBLE WHEN 'reversal' THEN log_return * (-0.25)::DOUBLE ELSE log_return * 0.5::DOUBLE + log_return * (-0.25)::DOUBLE END AS predicted_return
+  FROM ds, (VALUES ('naive_zero'), ('momentum'), ('reversal'), ('blend')) m(model) WHERE split IN ({some})){common}"""

@@ -129,3 +129,44 @@ def test_blocks_of_the_recursion_do_not_show(monkeypatch):
     monkeypatch.setattr(arima, "BLOCK", 10_000)
     for a, b in zip(fast, arima._filter(y, phi, theta), strict=True):
         assert a == pytest.approx(b, rel=1e-10)
+
+
+def test_vectorised_tails_equal_the_scalar_ones():
+    from strandline.functions.tails import chi_square_uppers
+
+    x, df = np.meshgrid([0.0, 0.1, 1.0, 7.5, 40.0, np.nan], np.arange(1, 25))
+    got = chi_square_uppers(x.ravel(), df.ravel())
+    want = [chi_square_upper(a, int(b)) for a, b in zip(x.ravel(), df.ravel(), strict=True)]
+    assert got == pytest.approx(want, rel=1e-12, nan_ok=True)
+
+
+def test_erfc():
+    from strandline.functions.tails import erfc
+
+    x = np.array([0.0, 1e-9, 0.3, 1.0, 2.5, 2.99, 3.0, 4.2, 9.0, 26.0, math.inf])
+    assert erfc(x) == pytest.approx([math.erfc(v) for v in x], rel=1e-9)
+    assert np.isnan(erfc(np.array([np.nan])))[0]
+
+
+def test_forecast_paths():
+    y = ar1(0.6, 400, 7) + 2
+    got = fit_arima(y, (1, 0, 0))
+    path = got.forecast_path(y, 5)
+    want = [got.constant + got.phi[0] ** k * (y[-1] - got.constant) for k in range(1, 6)]
+    assert path == pytest.approx(want, rel=1e-6) and path[0] == got.forecast(y)
+    walk = np.cumsum(y)
+    one = fit_arima(walk, (1, 1, 0))
+    assert one.forecast_path(walk, 3)[0] == pytest.approx(one.forecast(walk))
+    assert np.allclose(fit_arima(y, (0, 0, 0)).forecast_path(y, 4), y.mean())
+    assert len(fit_arima(y, (0, 0, 2)).forecast_path(y, 3)) == 3
+    with pytest.raises(ValueError):
+        got.forecast_path(y, 0)
+
+
+def test_a_second_optimiser_follows_one_that_does_not_converge():
+    rng = np.random.default_rng(11)
+    for seed in range(6):
+        e = rng.standard_normal(400)
+        y = e[2:] - 1.6 * e[1:-1] + 0.62 * e[:-2]  # close to a non-invertible moving average
+        short, full = fit_arima(y, (2, 0, 2), iterations=3), fit_arima(y, (2, 0, 2))
+        assert full.converged and short.loglik <= full.loglik + 1.0

@@ -1,5 +1,6 @@
 """Panel operators: hand-computed values, causality and refusals."""
 
+import dataclasses
 import math
 from datetime import date, timedelta
 
@@ -155,6 +156,68 @@ def test_bootstrap_equals_direct_resampling(spark):
         assert got[scope, "mae"].observations == n * len(part)
 
 
+def test_inference_needs_one_calendar(spark):
+    rows = [(k, t, "test", m, 0.01 * k, 0.02 * f) for t in ("AAA", "BBB") for k in range(12) for m, f in (("c", 1), ("n", 2))]
+    whole = predictions(spark, rows)
+    uneven = whole.where(f"ticker <> 'BBB' or date <> '{day(5)}'")
+    config, pairs = InferenceConfig(lag=2, block=3, repetitions=20), [("c", "n")]
+    for run in (inference.bootstrap_intervals, inference.dm_results):
+        assert run(whole, config, pairs).count() > 0
+        with pytest.raises(ValueError, match="test dates"):
+            run(uneven, config, pairs)
+        assert run(inference.on_shared_calendar(uneven), config, pairs).count() > 0
+    assert inference.on_shared_calendar(uneven).count() == 44
+
+
+def test_forecasts_must_be_finite_and_fits_converge(spark, monkeypatch):
+    data = returns.model_dataset(panel(spark), SPLITS)
+
+    class Broken:
+        name = "broken"
+
+        def expression(self):
+            return forecast.F.when(forecast.F.col("date") == day(15), forecast.F.lit(float("nan"))).otherwise(0.0)
+
+    with pytest.raises(ValueError, match="forecast_not_finite"):
+        forecast.predict(data, Broken(), ("test", "validation", "train"))
+    with pytest.raises(Exception, match="not finite"):
+        forecast.walk_forward(data, lambda t, h: float("inf"), "m", warm_up=5).collect()
+    stuck = forecast.fit_arima(np.random.default_rng(0).standard_normal(60), (0, 0, 0))
+    monkeypatch.setattr(forecast, "fit_arima", lambda *a, **k: dataclasses.replace(stuck, converged=False))
+    with pytest.raises(ValueError, match="converge"):
+        forecast.arima_fitter({"AAA": (0, 0, 0)})("AAA", np.zeros(9))
+
+
+def test_paths_forecast_every_row_from_one_fit(spark):
+    data = returns.model_dataset(panel(spark), SPLITS)
+    got = forecast.forecast_paths(data, {"AAA": (0, 0, 0), "BBB": (0, 0, 0)}, "path", splits=("test",), history_splits=("train", "validation")).collect()
+    assert len(got) == data.where("split = 'test'").count() and len({(r.ticker, round(r.predicted_return, 12)) for r in got}) == 2
+    with pytest.raises(Exception, match="no order"):
+        forecast.forecast_paths(data, {"AAA": (0, 0, 0)}, "path", splits=("test",)).collect()
+
+
+def test_builder_progress_and_any_error(spark):
+    data = returns.model_dataset(panel(spark, 40, ("AAA",)), SPLITS)
+    done = spark.sparkContext.accumulator(0)
+
+    def build(config, seed):
+        raise MemoryError if seed else FloatingPointError("overflow")
+
+    rows = {r.seed: r for r in forecast.run_grid(data, [NetworkConfig(2, 2, 0.0)], [0, 1], build=build, progress=done, evaluate="test", learn_splits=("train", "validation")).collect()}
+    assert (rows[0].status, rows[0].error, rows[1].status, rows[1].error) == ("non_finite", "overflow", "failed", "MemoryError") and done.value == 2
+
+
+def test_bad_series_are_errors(spark):
+    from strandline.operators.stationarity import stationarity_report
+
+    rows = [("A", "log_return", day(k), str(np.sin(k * k))) for k in range(60)] + [("B", "log_return", day(k), "1.0") for k in range(60)]
+    frame = spark.createDataFrame(rows, "ticker string, series string, date date, value string")
+    with pytest.raises(Exception, match="B log_return"):
+        stationarity_report(frame).collect()
+    got = stationarity_report(frame, strict=False).collect()
+    assert len(got) == 4 and all((r.statistic is None) == (r.ticker == "B") for r in got)
+
+
 def test_hybrid_identity_and_alignment(spark):
     data = returns.model_dataset(panel(spark), SPLITS)
     component = forecast.predict_by_column(data, forecast.ExpandingMean(), ("test",))
@@ -177,7 +240,12 @@ def test_residual_chain_finds_gaps(spark):
     every = forecast.predict_by_column(data, forecast.Naive(), ("train", "validation", "test"))
     assert returns.residual_chain(every, data).where("not contiguous").count() == 0
     assert returns.residual_chain(every, data).count() == every.count() - 1
-    assert returns.residual_chain(every.where(f"date <> '{day(30)}'"), data).where("not contiguous").count() == 1
+    gap = every.where(f"date <> '{day(30)}'")
+    assert returns.residual_chain(gap, data, validate=False).where("not contiguous").count() == 1
+    with pytest.raises(ValueError, match="contiguous"):
+        returns.residual_chain(gap, data)
+    with pytest.raises(ValueError, match="source"):
+        returns.residual_chain(every, data.where(f"date <> '{day(30)}'"))
     contracts.validate_tail(every.where(f"date >= '{day(20)}'"), data)
     with pytest.raises(ValueError):
         contracts.validate_tail(every.where(f"date >= '{day(20)}' and date <> '{day(30)}'"), data)
