@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from strandline.functions.tails import chi_square_upper, levinson
 from strandline.operators.inference import resampled_differences
 from strandline.operators.rolling_tree import TreeLayout, _grow
-from strandline.operators.spikes import _runs
+from strandline.operators.spikes import _steps, _vanished
 
 
 @given(st.sampled_from([64, 128, 256]), st.data())
@@ -40,7 +40,7 @@ def test_tree_sums(values, a, b):
 @given(st.lists(st.sampled_from([1.0, 2.0, float("nan")]), min_size=1, max_size=30), st.integers(2, 6))
 def test_runs(values, least):
     row = np.array([values])
-    got = _runs(row, ~np.isnan(row), least)[0].tolist()
+    got = _vanished(_steps(row), np.zeros(1), least - 1)[0].tolist()
     want, k = [False] * len(values), 0
     while k < len(values):
         end = k
