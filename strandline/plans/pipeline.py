@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from datetime import date
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +44,37 @@ def _validate_source(dataset: DataFrame, protocol: Protocol) -> tuple[date, date
     return config.test
 
 
+_EVERY = ("train", "validation", "test")
+
+
+def _backtest(store: CheckpointStore, dataset: DataFrame, protocol: Protocol, orders: Mapping[str, tuple[int, int, int]], splits: tuple[str, ...]) -> DataFrame:
+    """ARIMA refits at every eligible origin of ``splits``, a unit per ticker; the complete tail of the dataset."""
+    own = lambda t: dataset.where(F.col("ticker") == t)
+    fit = lambda t: forecast.walk_forward(own(t), forecast.arima_fitter(dict(orders)), "arima", splits=splits, history_splits=splits, warm_up=protocol.warm_up)
+    found = store.run_named("arima", {t: (lambda t=t: fit(t)) for t in protocol.tickers})
+    contracts.validate_tail(found, dataset.where(F.col("split").isin(*splits)))
+    return found
+
+
+def run_residual_backtest(
+    spark: SparkSession, dataset: DataFrame, root: object, protocol: Protocol, orders: Mapping[str, tuple[int, int, int]], splits: tuple[str, ...] = ("train", "validation")
+) -> tuple[DataFrame, DataFrame]:
+    """(forecasts, residual dataset) of expanding ARIMA refits, resumable by ticker in a store of its own.
+
+    The residual dataset is the chain of forecast errors; a gap in it is an
+    error. Both tables are kept, and computed again and compared on a resume.
+    """
+    contracts.validate_dataset(dataset)
+    mark = fingerprint({"data": content_digest(dataset.select(*DATASET_COLUMNS)), "orders": dict(orders), "splits": splits, "protocol": repr(protocol)})
+    store = CheckpointStore(spark, root, mark)
+    found = _backtest(store, dataset, protocol, orders, splits)
+    return found, store.keep("residuals", returns.residual_chain(found, dataset).drop("contiguous"))
+
+
 def run_final(
     spark: SparkSession,
     dataset: DataFrame,
-    root: str | Path,
+    root: object,
     protocol: Protocol,
     orders: Mapping[str, tuple[int, int, int]],
     networks: Mapping[str, NetworkConfig],
@@ -61,7 +87,8 @@ def run_final(
     Networks learn from training and validation rows. A residual network learns
     from the chain of ARIMA errors from the first eligible origin on. Each model
     must forecast every test row of the dataset; a missing row, or a gap in the
-    chain, is an error. Finished units are verified and reused.
+    chain, is an error. Finished units are verified and reused; the final table is
+    put together from them again and compared with the one kept.
     """
     training = training or TrainingConfig()
     mark = fingerprint({"data": content_digest(dataset.select(*DATASET_COLUMNS)), "orders": dict(orders), "networks": repr(sorted(networks.items())), "residual": repr(sorted(residual_networks.items())), "seeds": seeds, "training": repr(training), "protocol": repr(protocol)})
@@ -69,9 +96,7 @@ def run_final(
     due = dataset.where("split = 'test'")
     store = CheckpointStore(spark, root, mark)
     own = lambda frame, t: frame.where(F.col("ticker") == t)
-    every = ("train", "validation", "test")
-    arima = store.run_named("arima", {t: (lambda t=t: forecast.walk_forward(own(dataset, t), forecast.arima_fitter(dict(orders)), "arima", splits=every, history_splits=every, warm_up=protocol.warm_up)) for t in protocol.tickers})
-    contracts.validate_tail(arima, dataset)
+    arima = _backtest(store, dataset, protocol, orders, _EVERY)
     residuals = returns.residual_chain(arima, dataset).drop("contiguous")
     train = lambda data, config: forecast.run_predictions(forecast.run_grid(data, [config], list(seeds), training=training, evaluate="test", strict=True, learn_splits=("train", "validation")))
     lstm = store.run_named("lstm", {t: (lambda t=t: train(own(dataset, t), networks[t])) for t in protocol.tickers})
@@ -85,7 +110,7 @@ def run_final(
     for component, name in zip(components, MODEL_ORDER, strict=True):
         contracts.validate_test_component(component, name, protocol.tickers, span)
         contracts.validate_schedule(component, due)
-    predictions = forecast.align(components, validate=True)
+    predictions = store.keep("final", forecast.align(components))
     family = lambda f, name: f.select(*PREDICTION_COLUMNS, "seed").withColumn("family", F.lit(name))
     by_seed = metrics.seed_metrics(family(lstm, "lstm").unionByName(family(forecast.hybrid(arima_test, second, validate=True), "arima_lstm")))
     return FinalReports(

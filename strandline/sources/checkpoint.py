@@ -11,14 +11,15 @@ import functools
 import hashlib
 import json
 import re
-import shutil
 from collections.abc import Callable, Iterable, Mapping
-from pathlib import Path
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.sources.snapshots import file_records, package_versions, write_text
+from strandline.sources.snapshots import MANIFEST, package_versions
+from strandline.sources.storage import Folder, file_records
 
 FORMAT = 1
 _DIGEST = re.compile(r"[0-9a-f]{64}")
@@ -31,15 +32,25 @@ def fingerprint(payload: Mapping[str, object]) -> str:
     return hashlib.sha256(json.dumps(whole, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def canonical(frame: DataFrame) -> Column:
+    """A row as text in which no two rows are alike: every value with its length, by the shortest digits that read back, nulls marked."""
+    parts = []
+    for name, kind in sorted(frame.dtypes):
+        column = F.col(f"`{name}`")
+        text = F.to_json(F.struct(column)) if kind.startswith(("array", "map", "struct")) else column.cast("string")
+        parts.append(F.when(column.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text)))
+    return F.concat(*parts)
+
+
 def content_digest(frame: DataFrame) -> str:
-    """A hash of a table's rows that does not depend on their order: sums of row hashes and the row count.
+    """SHA-256 of a table's rows, whatever their order: row digests in four parts, summed, and the row count.
 
-    Doubles enter by their bits; the sums combine across partitions, so nothing
-    is sorted or collected.
+    The sums combine across partitions, so nothing is sorted or collected.
     """
     columns = sorted(frame.columns)
-    row = F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns), F.hash(*columns)
-    sums = [F.coalesce(F.sum(x.cast("decimal(20,0)")), F.lit(0)).cast("string") for x in row]
+    digest = F.sha2(canonical(frame), 256)
+    parts = [F.conv(F.substring(digest, 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)") for k in range(4)]
+    sums = [F.coalesce(F.sum(x), F.lit(0)).cast("string") for x in parts]
     got = frame.agg(F.count("*").cast("string"), *sums).first()
     return hashlib.sha256("|".join([*columns, *got]).encode()).hexdigest()
 
@@ -47,86 +58,97 @@ def content_digest(frame: DataFrame) -> str:
 class CheckpointStore:
     """``root/manifest.json`` with the fingerprint, ``root/units/<name>`` data and ``<name>.json``."""
 
-    def __init__(self, spark: SparkSession, root: str | Path, mark: str) -> None:
+    def __init__(self, spark: SparkSession, root: object, mark: str) -> None:
         if not _DIGEST.fullmatch(mark):
             raise ValueError("fingerprint must be a SHA-256 digest")
-        self.spark, self.root, self.mark = spark, Path(root), mark
-        self.units.mkdir(parents=True, exist_ok=True)
-        manifest = self.root / "manifest.json"
-        if manifest.exists():
-            if self._json(manifest).get("fingerprint") != mark:
+        self.spark, self.mark = spark, mark
+        self.folder, self.units = Folder(spark, root), Folder(spark, f"{root}/units")
+        self.units.make()
+        if self.folder.exists(MANIFEST):
+            if self._json(self.folder, MANIFEST).get("fingerprint") != mark:
                 raise ValueError("the store belongs to another fingerprint")
         else:
-            write_text(manifest, json.dumps({"format": FORMAT, "fingerprint": mark}))
+            self.folder.write_text(MANIFEST, json.dumps({"format": FORMAT, "fingerprint": mark}))
         self._check_entries()
 
-    @property
-    def units(self) -> Path:
-        return self.root / "units"
-
     @staticmethod
-    def _json(path: Path) -> dict:
+    def _json(folder: Folder, name: str) -> dict:
         try:
-            got = json.loads(path.read_text())
-        except (OSError, json.JSONDecodeError) as error:
-            raise ValueError(f"{path.name} cannot be read") from error
+            got = json.loads(folder.read_text(name))
+        except (Py4JJavaError, json.JSONDecodeError) as error:
+            raise ValueError(f"{name} cannot be read") from error
         if not isinstance(got, dict):
-            raise ValueError(f"{path.name} is malformed")
+            raise ValueError(f"{name} is malformed")
         return got
 
     def _check_entries(self) -> None:
         """Only known entries; half-written units (data without JSON) are cleared."""
-        for entry in self.root.iterdir():
-            if entry.name not in ("units", "manifest.json") and not entry.name.endswith(".tmp"):
-                raise ValueError(f"unexpected entry {entry.name}")
-        for entry in self.units.iterdir():
-            if entry.is_dir():
-                if not (self.units / f"{entry.name}.json").exists():
-                    shutil.rmtree(entry)
-            elif entry.suffix == ".json":
-                if not (self.units / entry.stem).is_dir():
-                    raise ValueError(f"{entry.name} has no data")
-            elif not entry.name.endswith(".tmp"):
-                raise ValueError(f"unexpected entry {entry.name}")
+        for name in self.folder.names():
+            if name not in ("units", MANIFEST) and not name.endswith(".tmp"):
+                raise ValueError(f"unexpected entry {name}")
+        names = self.units.names()
+        for name in names:
+            if self.units.is_folder(name):
+                if f"{name}.json" not in names:
+                    self.units.delete(name)
+            elif name.endswith(".json"):
+                if name.removesuffix(".json") not in names:
+                    raise ValueError(f"{name} has no data")
+            elif not name.endswith(".tmp"):
+                raise ValueError(f"unexpected entry {name}")
 
     def done(self) -> list[str]:
-        return sorted(p.stem for p in self.units.glob("*.json"))
+        return [n.removesuffix(".json") for n in self.units.names() if n.endswith(".json")]
 
     def save(self, unit: str, frame: DataFrame, extra: Mapping[str, object] | None = None) -> None:
         if not _UNIT.fullmatch(unit):
             raise ValueError("not a unit name")
-        path = self.units / unit
-        frame.write.mode("overwrite").parquet(str(path))
-        rows = self.spark.read.schema(frame.schema).parquet(str(path)).count()
-        record = {"unit": unit, "fingerprint": self.mark, "rows": rows, "columns": frame.columns, "parts": file_records(self.spark, str(path)), "extra": dict(extra or {})}
-        write_text(self.units / f"{unit}.json", json.dumps(record, sort_keys=True, default=str))
+        path = self.units.child(unit)
+        frame.write.mode("overwrite").parquet(path)
+        rows = self.spark.read.schema(frame.schema).parquet(path).count()
+        parts = file_records(self.spark, self.units.path, unit)
+        record = {"unit": unit, "fingerprint": self.mark, "rows": rows, "columns": frame.columns, "parts": parts, "extra": dict(extra or {})}
+        self.units.write_text(f"{unit}.json", json.dumps(record, sort_keys=True, default=str))
 
     def load(self, unit: str) -> tuple[DataFrame, dict]:
-        record = self._json(self.units / f"{unit}.json")
+        record = self._json(self.units, f"{unit}.json")
         if record.get("unit") != unit or record.get("fingerprint") != self.mark:
             raise ValueError(f"{unit} was written by another run")
-        path = str(self.units / unit)
-        if record.get("parts") != file_records(self.spark, path):
+        if record.get("parts") != file_records(self.spark, self.units.path, unit):
             raise ValueError(f"files of {unit} differ from its record")
-        frame = self.spark.read.parquet(path)
+        frame = self.spark.read.parquet(self.units.child(unit))
         if frame.columns != record.get("columns") or frame.count() != record.get("rows"):
             raise ValueError(f"{unit} differs from its record")
         return frame, record["extra"]
 
-    def run_named(self, family: str, work: Mapping[str, Callable[[], DataFrame]], progress: Callable[[str, bool], None] | None = None) -> DataFrame:
-        """Computes the units of a family that are missing, in order, and returns the union of all, verified."""
+    def run_named(self, family: str, work: Mapping[str, Callable[[], DataFrame]], progress: Callable[[str, bool], None] | None = None, together: int = 4) -> DataFrame:
+        """Computes the units of a family that are missing, ``together`` at a time, and returns the union of all, verified."""
         done = set(self.done())
         unknown = {u for u in done if u.startswith(f"{family}-")} - {f"{family}-{name}" for name in work}
         if unknown:
             raise ValueError(f"unknown units: {', '.join(sorted(unknown))}")
-        for name, compute in work.items():
-            unit = f"{family}-{name}"
+
+        def run(item: tuple[str, Callable[[], DataFrame]]) -> None:
+            unit = f"{family}-{item[0]}"
             if unit not in done:
-                self.save(unit, compute())
+                self.save(unit, item[1]())
             if progress:
                 progress(unit, unit in done)
+
+        # units are small jobs: several run side by side, so that one ticker's tail does not hold up the rest
+        with ThreadPoolExecutor(together) as pool:
+            list(pool.map(run, work.items()))
         return functools.reduce(DataFrame.unionByName, [self.load(f"{family}-{name}")[0] for name in work])
 
+    def keep(self, unit: str, frame: DataFrame) -> DataFrame:
+        """Saves a table computed from other units, or, where it is there, computes it again and compares."""
+        if unit not in self.done():
+            self.save(unit, frame)
+        kept, _ = self.load(unit)
+        if not same_rows(kept, frame):
+            raise ValueError(f"{unit} differs from what its parts give")
+        return kept
+
 
 def missing_units(store: CheckpointStore, units: Iterable[str]) -> list[str]:
     return [u for u in units if u not in set(store.done())]

@@ -13,19 +13,21 @@ import importlib.metadata
 import json
 import re
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, date, datetime
-from pathlib import Path
 from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.contracts import require_columns, validate_prices
 from strandline.operators.returns import model_dataset
-from strandline.schema import PRICE_COLUMNS, SplitConfig
+from strandline.schema import PRICE_COLUMNS, SPLITS, SplitConfig
+from strandline.sources.storage import Folder, file_records
 
 PRICE_DDL = "date date, ticker string, open double, high double, low double, close double, adj_close double, volume double, dividends double, stock_splits double"
+MANIFEST = "manifest.json"
 _NAME = re.compile(r"[/\\\0]")
 
 
@@ -109,20 +111,6 @@ def package_versions(names: Iterable[str] = ("pyspark", "numpy", "pandas", "pyar
     return out
 
 
-def sha256(path: str | Path, chunk: int = 1 << 20) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as data:
-        while part := data.read(chunk):
-            digest.update(part)
-    return digest.hexdigest()
-
-
-def file_records(spark: SparkSession, folder: str) -> dict[str, dict[str, int | str]]:
-    """Bytes and SHA-256 of every data file below a folder, hashed by tasks."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", F.sha2("content", 256).alias("sha256"))
-    return {r["path"].rsplit("/", 1)[1]: {"bytes": r["length"], "sha256": r["sha256"]} for r in rows.collect()}  # one row per file
-
-
 def csv_line(frame: DataFrame) -> DataFrame:
     """Text columns with ten significant digits and ISO dates."""
     digits = lambda c: F.when(F.col(c).isNotNull(), F.regexp_replace(F.format_string("%.10g", F.col(c)), r"(\.\d*?)0+(e|$)|\.0+(e|$)", "$1$2$3"))
@@ -133,40 +121,36 @@ def csv_line(frame: DataFrame) -> DataFrame:
 class SnapshotStore:
     """A folder with data files and ``manifest.json``, which is written last and atomically."""
 
-    def __init__(self, spark: SparkSession, root: str | Path) -> None:
-        self.spark, self.root = spark, Path(root)
-
-    @property
-    def manifest_path(self) -> Path:
-        return self.root / "manifest.json"
+    def __init__(self, spark: SparkSession, root: object) -> None:
+        self.spark, self.folder = spark, Folder(spark, root)
 
     def write(self, tables: Mapping[str, DataFrame], metadata: Mapping[str, object], *, force: bool = False, format: str = "parquet", order: Sequence[str] = ("ticker", "date")) -> dict:
         """All tables are computed and written before the manifest; nothing counts as written without it."""
-        if self.manifest_path.exists() and not force:
-            raise FileExistsError(f"{self.root} holds a snapshot")
-        self.root.mkdir(parents=True, exist_ok=True)
-        self.manifest_path.unlink(missing_ok=True)
+        if self.folder.exists(MANIFEST) and not force:
+            raise FileExistsError(f"{self.folder.path} holds a snapshot")
+        self.folder.make()
+        self.folder.delete(MANIFEST)
         files = {}
         for name, frame in tables.items():
-            path = str(self.root / name)
+            path = self.folder.child(name)
             if format == "csv":
                 # one file by contract: a deterministic text copy for people, not for large tables
                 csv_line(frame.orderBy(*order).coalesce(1)).write.mode("overwrite").option("header", True).csv(path)
             else:
                 frame.write.mode("overwrite").parquet(path)
-            files[name] = {"rows": self._read(name, frame.schema, format).count(), "columns": frame.columns, "parts": file_records(self.spark, path)}
+            files[name] = {"rows": self._read(name, frame.schema, format).count(), "columns": frame.columns, "parts": file_records(self.spark, self.folder.path, name)}
         manifest = {"created_at_utc": datetime.now(UTC).isoformat(), "format": format, "software": package_versions(), **metadata, "files": files}
-        write_text(self.manifest_path, json.dumps(manifest, indent=2, sort_keys=True, default=str))
+        self.folder.write_text(MANIFEST, json.dumps(manifest, indent=2, sort_keys=True, default=str))
         return manifest
 
     def _read(self, name: str, schema, format: str) -> DataFrame:  # noqa: ANN001
-        path = str(self.root / name)
+        path = self.folder.child(name)
         return self.spark.read.schema(schema).option("header", True).csv(path) if format == "csv" else self.spark.read.schema(schema).parquet(path)
 
     def manifest(self) -> dict:
         try:
-            manifest = json.loads(self.manifest_path.read_text())
-        except (OSError, json.JSONDecodeError) as error:
+            manifest = json.loads(self.folder.read_text(MANIFEST))
+        except (Py4JJavaError, json.JSONDecodeError) as error:
             raise ValueError("manifest cannot be read") from error
         if not isinstance(manifest, dict) or not isinstance(manifest.get("files"), dict):
             raise ValueError("manifest is malformed")
@@ -178,7 +162,7 @@ class SnapshotStore:
         record = manifest["files"].get(name)
         if not isinstance(record, dict) or type(record.get("rows")) is not int or record["rows"] < 0 or not isinstance(record.get("parts"), dict):
             raise ValueError(f"manifest has no sound record of {name}")
-        if file_records(self.spark, str(self.root / name)) != record["parts"]:
+        if file_records(self.spark, self.folder.path, name) != record["parts"]:
             raise ValueError(f"files of {name} differ from the manifest")
         frame = self._read(name, schema, manifest.get("format", "parquet"))
         if frame.columns != record["columns"]:
@@ -188,13 +172,7 @@ class SnapshotStore:
         return frame
 
 
-def write_text(path: Path, text: str) -> None:
-    part = path.with_name(path.name + ".tmp")
-    part.write_text(text)
-    part.replace(path)
-
-
-def build_raw(spark: SparkSession, source: PriceSource, config: SnapshotConfig, root: str | Path, *, force: bool = False) -> dict:
+def build_raw(spark: SparkSession, source: PriceSource, config: SnapshotConfig, root: object, *, force: bool = False) -> dict:
     """Reads, validates and writes a raw snapshot; a failed check writes nothing."""
     window = (F.col("date") >= F.lit(config.start)) & (F.col("date") < F.lit(config.end))
     prices = source.read(spark, config).where(F.col("ticker").isin(*config.tickers) & window)
@@ -206,13 +184,13 @@ def build_raw(spark: SparkSession, source: PriceSource, config: SnapshotConfig,
     return SnapshotStore(spark, root).write({"prices": prices}, {"config": described}, force=force)
 
 
-def build_processed(spark: SparkSession, raw_root: str | Path, root: str | Path, splits: SplitConfig, *, force: bool = False, format: str = "parquet") -> dict:
+def build_processed(spark: SparkSession, raw_root: object, root: object, splits: SplitConfig, *, force: bool = False, format: str = "parquet") -> dict:
     """The model dataset of a raw snapshot, with split counts and the raw manifest's hash."""
     raw = SnapshotStore(spark, raw_root)
     dataset = model_dataset(raw.read("prices", PRICE_DDL).select("date", "ticker", "adj_close"), splits, validate=True)
     counts = {r["split"]: r["count"] for r in dataset.groupBy("split").count().collect()}
     bounds = {name: [str(a), str(b)] for name, (a, b) in splits.parts}
-    metadata = {"source": {"manifest_sha256": sha256(raw.manifest_path)}, "split_basis": "target_date", "split_config": bounds, "split_rows": counts}
+    metadata = {"source": {"manifest_sha256": hashlib.sha256(raw.folder.read_text(MANIFEST).encode()).hexdigest()}, "split_basis": "target_date", "split_config": bounds, "split_rows": counts}
     return SnapshotStore(spark, root).write({"dataset": dataset}, metadata, force=force, format=format, order=("ticker", "target_date"))
 
 
@@ -229,6 +207,8 @@ def parse_args(argv: Sequence[str]) -> argparse.Namespace:
     processed = parts.add_parser("processed")
     processed.add_argument("--raw", required=True)
     processed.add_argument("--text", action="store_true")
+    for name in SPLITS:
+        processed.add_argument(f"--{name}", nargs=2, type=date.fromisoformat, metavar=("FIRST", "LAST"), help=f"dates of the {name} split")
     for part in (raw, processed):
         part.add_argument("--output", required=True)
         part.add_argument("--force", action="store_true")
@@ -245,7 +225,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         config = SnapshotConfig(tuple(args.tickers), args.start, args.end, min_observations=args.min_observations, source=args.input)
         build_raw(spark, FileSource(args.input, args.format, options), config, args.output, force=args.force)
     else:
-        build_processed(spark, args.raw, args.output, SplitConfig(), force=args.force, format="csv" if args.text else "parquet")
+        build_processed(spark, args.raw, args.output, replace(SplitConfig(), **{n: tuple(getattr(args, n)) for n in SPLITS if getattr(args, n)}), force=args.force, format="csv" if args.text else "parquet")
     return 0
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from strandline.models.lstm import TrainingConfig
 from strandline.operators import returns
-from strandline.plans.pipeline import run_final
+from strandline.plans.pipeline import run_final, run_residual_backtest
 from strandline.schema import InferenceConfig, NetworkConfig, Protocol, SplitConfig
 from strandline.sources import snapshots
 from strandline.sources.checkpoint import CheckpointStore, content_digest, fingerprint, missing_units, same_rows
+from strandline.sources.storage import Folder, file_records
 from strandline.streaming.online import FORECAST_DDL, batch_writer, online_forecasts, windowed_quality
 
 D = date(2020, 1, 1)
@@ -71,15 +72,21 @@ def test_raw_and_processed_round_trip(spark, raw, tmp_path):
 
 def test_tampered_snapshots_are_refused(spark, raw):
     store = snapshots.SnapshotStore(spark, raw)
-    manifest = json.loads(store.manifest_path.read_text())
+    path = raw / "manifest.json"
+    manifest = json.loads(path.read_text())
+
+    def write(text):
+        path.write_text(text)
+        (raw / ".manifest.json.crc").unlink(missing_ok=True)
+
     for change in ({"rows": 79}, {"rows": True}, {"rows": -1}, {"columns": ["x"]}, {"parts": {}}):
         altered = json.loads(json.dumps(manifest))
         altered["files"]["prices"].update(change)
-        store.manifest_path.write_text(json.dumps(altered))
+        write(json.dumps(altered))
         with pytest.raises(ValueError):
             store.read("prices", snapshots.PRICE_DDL)
     for text in ("{", "[]", "{}"):
-        store.manifest_path.write_text(text)
+        write(text)
         with pytest.raises(ValueError):
             store.read("prices", snapshots.PRICE_DDL)
 
@@ -90,6 +97,9 @@ def test_command_line(spark, tmp_path):
     with pytest.raises(ValueError):
         snapshots.main(["raw", "--input", str(tmp_path / "v"), "--tickers", "GONE", "--start", "2020-01-01", "--end", "2020-06-01", "--output", str(tmp_path / "x")], spark)
     assert not (tmp_path / "x" / "manifest.json").exists()
+    own = ["--train", "2020-01-01", "2020-01-15", "--validation", "2020-01-16", "2020-01-25", "--test", "2020-01-26", "2020-12-31"]
+    assert snapshots.main(["processed", "--raw", str(tmp_path / "r"), "--output", str(tmp_path / "p"), *own], spark) == 0
+    assert snapshots.SnapshotStore(spark, tmp_path / "p").manifest()["split_config"]["test"] == ["2020-01-26", "2020-12-31"]
     for bad in ({"tickers": ()}, {"start": D, "end": D}, {"min_observations": 0}):
         with pytest.raises(ValueError):
             snapshots.SnapshotConfig(**{"tickers": ("A",), "start": D, "end": date(2021, 1, 1), **bad})
@@ -104,6 +114,39 @@ def test_digest_ignores_order_and_sees_changes(spark):
     assert fingerprint({"a": 1, "b": [2]}) == fingerprint({"b": [2], "a": 1}) != fingerprint({"a": 2, "b": [2]})
 
 
+def test_folders_and_records(spark, tmp_path):
+    import hashlib
+
+    folder = Folder(spark, f"file://{tmp_path}/f")
+    assert folder.names() == [] and not folder.exists("a")
+    folder.make()
+    for text in ("one", "zwei ü"):
+        folder.write_text("a", text)
+        assert folder.read_text("a") == text
+    assert folder.names() == ["a"] and not folder.is_folder("a")
+    spark.range(10).repartition(3).write.parquet(folder.child("t"))
+    files = {p.name: p for p in (tmp_path / "f" / "t").glob("*.parquet")}
+    got = file_records(spark, folder.path, "t")
+    assert got == {n: {"bytes": p.stat().st_size, "sha256": hashlib.sha256(p.read_bytes()).hexdigest()} for n, p in files.items()} and len(got) == 3
+    folder.delete("t")
+    assert folder.names() == ["a"] and not folder.exists("t")
+
+
+def test_residual_backtest_resumes(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(D + timedelta(k), t, float(p)) for t in ("AAA", "BBB") for k, p in enumerate(100 * np.exp(np.cumsum(rng.normal(0, 0.02, 60))))]
+    splits = SplitConfig((D, D + timedelta(40)), (D + timedelta(41), D + timedelta(50)), (D + timedelta(51), D + timedelta(90)))
+    data = returns.model_dataset(spark.createDataFrame(rows, "date date, ticker string, adj_close double"), splits)
+    protocol = Protocol(("AAA", "BBB"), splits, warm_up=20)
+    run = lambda: run_residual_backtest(spark, data, tmp_path / "r", protocol, {"AAA": (0, 0, 0), "BBB": (0, 0, 0)})
+    found, residuals = run()
+    assert found.count() == residuals.count() + 2 and residuals.columns[:4] == ["date", "target_date", "ticker", "adj_close"]
+    again, kept = run()
+    assert same_rows(found, again) and same_rows(residuals, kept)
+    with pytest.raises(Exception, match="ticker"):
+        run_residual_backtest(spark, data, tmp_path / "x", protocol, {"AAA": (0, 0, 0)})
+
+
 def test_checkpoints_resume_and_verify(spark, tmp_path):
     mark, calls = fingerprint({"x": 1}), []
     work = {n: (lambda n=n: (calls.append(n), spark.range(3).withColumn("unit", F.lit(n)))[1]) for n in ("a", "b")}
@@ -126,6 +169,8 @@ def test_checkpoints_resume_and_verify(spark, tmp_path):
         store.save("../x", spark.range(1))
     record = tmp_path / "s" / "units" / "f-a.json"
     kept = record.read_text()
+    crc = record.with_name(f".{record.name}.crc")
+    crc.unlink(missing_ok=True)
     record.write_text(kept.replace('"rows": 3', '"rows": 4'))
     with pytest.raises(ValueError):
         again.load("f-a")
