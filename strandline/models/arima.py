@@ -20,6 +20,10 @@ import numpy as np
 BLOCK = 48
 
 
+#: Relative change of the mean log-likelihood below which a search has arrived; the usual figure of quasi-Newton codes.
+FLAT = 2.2e-9
+
+
 class FitError(ValueError):
     """The model could not be fitted."""
 
@@ -213,7 +217,7 @@ def fit_arima(values: np.ndarray, order: tuple[int, int, int], *, start: np.ndar
         f = loss(around)
         return float(f[0]), (f[1 : k + 1] - f[k + 1 :]) / (2 * h)
 
-    def descend(x: np.ndarray) -> tuple[np.ndarray, float, bool]:
+    def descend(x: np.ndarray, iterations: int = iterations) -> tuple[np.ndarray, float, bool]:
         """BFGS from ``x``: point, value and whether it converged."""
         value, grad = slope(x)
         if not np.isfinite(value):
@@ -237,7 +241,7 @@ def fit_arima(values: np.ndarray, order: tuple[int, int, int], *, start: np.ndar
             if curve > 1e-12:
                 rho, one = 1 / curve, np.eye(k)
                 inverse = (one - rho * np.outer(move, change)) @ inverse @ (one - rho * np.outer(change, move)) + rho * np.outer(move, move)
-            small = abs(value - after) < 1e-10
+            small = abs(value - after) < FLAT * max(1.0, abs(value))
             x, value, grad = x + move, after, new
             if small:
                 return x, value, True
@@ -249,18 +253,16 @@ def fit_arima(values: np.ndarray, order: tuple[int, int, int], *, start: np.ndar
     if not np.isfinite(value):
         raise FitError("likelihood is not finite")
     if not converged:
-        # the second optimiser, from the best point of the first and from none
-        starts = [(x, value), (np.zeros(k), float(loss(np.zeros((1, k)))[0]))]
-        for start_point, start_value in starts:
-            if not np.isfinite(start_value):
-                continue
-            found = descend(_simplex(loss, start_point, start_value, 200 * k)[0])
+        # first with fresh curvature, which is cheap; then by the second optimiser, which needs values only
+        again = descend(x, iterations // 3)
+        if again[1] <= value:
+            x, value, converged = again
+        if not converged:
+            found = descend(_simplex(loss, x, value, 40 * k)[0], iterations // 3)
             # at the edge of what is invertible slopes say little: two searches that end in one value have found it
             converged = found[1] <= value + 1e-7 and (found[2] or found[1] >= value - 1e-7)
             if found[1] < value:
                 x, value = found[:2]
-            if converged:
-                break
     mean, phi, theta = parts(x[None])
     squares, logs, _, _ = _filter(scaled[None] - mean[:, None], phi, theta)
     variance = float(squares[0] / n)
