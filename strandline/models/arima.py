@@ -1,12 +1,14 @@
 """ARIMA by exact Gaussian likelihood in state-space form, in NumPy.
 
 The ARMA part of the (differenced) series is a state of length
-``max(p, q + 1)`` with stationary start; the innovation variance is
-concentrated out. Coefficients are searched through partial autocorrelations,
+``max(p, q + 1)`` with stationary start; the innovation variance and the mean
+are concentrated out: a column of ones runs through the filter beside the
+series, and the mean is the least-squares one of the two innovations. Coefficients are searched through partial autocorrelations,
 so that every point tried is stationary and invertible. The optimiser is BFGS
 with gradients by differences; all perturbed points run side by side through
-one Kalman recursion. Where it does not converge a simplex search goes on from
-the best point, and BFGS from there.
+one Kalman recursion. Where it does not converge, also with fresh curvature, a
+compass search goes on from the best point; a fit has converged if neither finds
+a better one.
 """
 
 from __future__ import annotations
@@ -28,8 +30,13 @@ class FitError(ValueError):
     """The model could not be fitted."""
 
 
+#: Unconstrained numbers beyond which coefficients no longer move: partial autocorrelations of 0.99995.
+EDGE = 100.0
+
+
 def _coefficients(raw: np.ndarray) -> np.ndarray:
     """Rows of unconstrained numbers to coefficients of stationary polynomials."""
+    raw = np.clip(raw, -EDGE, EDGE)
     r = raw / np.sqrt(1 + raw * raw)
     out = np.zeros_like(r)
     for k in range(r.shape[1]):
@@ -56,11 +63,15 @@ def _system(phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _filter(y: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sum of scaled squares, sum of log variances, one-step forecast, its scaled variance) of each row's model of ``y`` (m, n)."""
+    """(scaled products of innovations, sum of log variances, state after the last reading, scaled variance of the next) of each row's model.
+
+    ``y`` (n, c) holds series that run through one model side by side; the
+    products are (m, c, c), the states (m, r, c).
+    """
     t, noise, p = _system(phi, theta)
-    m, n = y.shape
-    a = np.zeros((m, t.shape[1], 1))
-    squares, logs = np.zeros(m), np.zeros(m)
+    m, (n, c) = len(phi), y.shape
+    a = np.zeros((m, t.shape[1], c))
+    squares, logs = np.zeros((m, c, c)), np.zeros(m)
     j, steady = 0, False
     while j < n and not steady:
         f = p[:, 0, 0]
@@ -68,14 +79,14 @@ def _filter(y: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarr
         following = t @ p @ t.transpose(0, 2, 1) + noise - gain @ gain.transpose(0, 2, 1) * f[:, None, None]
         steady = j > 5 and np.abs(following - p).max() < 1e-11
         p = following
-        v = y[:, j] - a[:, 0, 0]
-        squares += v * v / f
+        v = y[j] - a[:, 0, :]
+        squares += v[:, :, None] * v[:, None, :] / f[:, None, None]
         logs += np.log(f)
-        a = t @ a + gain * v[:, None, None]
+        a = t @ a + gain * v[:, None, :]
         j += 1
     if j < n:
         # the gain stands still: one product a step
-        closed, rest = t.copy(), np.empty((m, n - j))
+        closed, rest = t.copy(), np.empty((m, n - j, c))
         closed[:, :, 0] -= gain[:, :, 0]
         k = j
         if n - j > 4 * BLOCK:
@@ -89,14 +100,15 @@ def _filter(y: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarr
             lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
             within = np.where(lag > 0, echo[:, np.maximum(lag, 0)], 0.0)
             while k + BLOCK <= n:
-                part = y[:, k : k + BLOCK, None]
-                rest[:, k - j : k - j + BLOCK] = (reach @ a + within @ part)[:, :, 0]
+                part = y[k : k + BLOCK]
+                rest[:, k - j : k - j + BLOCK] = reach @ a + within @ part
                 a = powers[BLOCK] @ a + carry @ part
                 k += BLOCK
         for k in range(k, n):
-            rest[:, k - j] = a[:, 0, 0]
-            a = closed @ a + gain * y[:, k, None, None]
-        squares += ((y[:, j:] - rest) ** 2).sum(axis=1) / f
+            rest[:, k - j] = a[:, 0, :]
+            a = closed @ a + gain * y[k]
+        v = y[j:] - rest
+        squares += v.transpose(0, 2, 1) @ v / f[:, None, None]
         logs += (n - j) * np.log(f)
     return squares, logs, a, p[:, 0, 0]
 
@@ -133,7 +145,7 @@ class ArimaFit:
         out = np.full(steps, self.constant)
         if len(self.phi) or len(self.theta):
             y = np.diff(values, n=d) if d else np.asarray(values, float)
-            _, _, state, _ = _filter((y - self.constant)[None], self.phi[None], self.theta[None])
+            _, _, state, _ = _filter((y - self.constant)[:, None], self.phi[None], self.theta[None])
             move, state = _system(self.phi[None], self.theta[None])[0][0], state[0]
             for k in range(steps):
                 out[k] += float(state[0, 0])
@@ -147,28 +159,21 @@ class ArimaFit:
         return float(self.forecast_path(values, 1)[0])
 
 
-def _simplex(loss, start: np.ndarray, value: float, evaluations: int, size: float = 0.25, tolerance: float = 1e-9) -> tuple[np.ndarray, float]:  # noqa: ANN001
-    """Least point of a downhill simplex search; needs values only."""
-    k = len(start)
-    points = np.vstack([start, start + size * np.eye(k)])
-    values = np.concatenate([[value], loss(points[1:])])
-    while evaluations > 0 and values.max() - values.min() > tolerance:
-        order = np.argsort(values, kind="stable")
-        points, values = points[order], values[order]
-        centre, worst = points[:-1].mean(axis=0), points[-1]
-        # reflection, expansion and both contractions side by side
-        tried = centre + np.array([1.0, 2.0, 0.5, -0.5])[:, None] * (centre - worst)
-        got = loss(tried)
-        evaluations -= len(tried)
+def _compass(loss, x: np.ndarray, value: float, rounds: int) -> tuple[np.ndarray, float, bool]:  # noqa: ANN001
+    """Best point of a compass search: along every coordinate both ways, from ten to a millionth; whether none is better in the end.
+
+    It needs values only, and so still works at the edge of what is invertible,
+    where slopes say little.
+    """
+    reach = np.concatenate([s * 10.0 ** (1.0 - np.arange(8)) for s in (1.0, -1.0)])
+    ways = (reach[:, None, None] * np.eye(len(x))).reshape(-1, len(x))
+    for _ in range(rounds):
+        got = loss(x + ways)
         pick = int(np.argmin(got))
-        if got[pick] < values[-1]:
-            points[-1], values[-1] = tried[pick], got[pick]
-        else:
-            points[1:] = points[0] + 0.5 * (points[1:] - points[0])
-            values[1:] = loss(points[1:])
-            evaluations -= k
-    at = int(np.argmin(values))
-    return points[at], float(values[at])
+        if not got[pick] < value - FLAT * max(1.0, abs(value)):
+            return x, value, True
+        x, value = x + ways[pick], float(got[pick])
+    return x, value, False
 
 
 def fit_arima(values: np.ndarray, order: tuple[int, int, int], *, start: np.ndarray | None = None, iterations: int = 60, tolerance: float = 1e-5) -> ArimaFit:
@@ -191,22 +196,27 @@ def fit_arima(values: np.ndarray, order: tuple[int, int, int], *, start: np.ndar
         variance = float(((y - mean) ** 2).mean())
         loglik = -n / 2 * (np.log(2 * np.pi * variance) + 1)
         return ArimaFit(order, mean, np.zeros(0), np.zeros(0), variance, float(loglik), True, n, np.zeros(0))
-    scaled, centre = (y - (y.mean() if constant else 0.0)) / spread, y.mean() if constant else 0.0
+    centre = float(y.mean()) if constant else 0.0
+    series = np.column_stack([(y - centre) / spread, *([np.ones(n)] if constant else [])])
 
-    def parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return (x[:, -1] if constant else np.zeros(len(x))), _coefficients(x[:, :p]), -_coefficients(x[:, p : p + q])
+    def concentrated(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(mean, squares, logs) of each row: the mean that makes the squares least."""
+        products, logs, _, _ = _filter(series, _coefficients(x[:, :p]), -_coefficients(x[:, p : p + q]))
+        if not constant:
+            return np.zeros(len(x)), products[:, 0, 0], logs
+        mean = products[:, 0, 1] / products[:, 1, 1]
+        return mean, products[:, 0, 0] - mean * products[:, 0, 1], logs
 
     def loss(x: np.ndarray) -> np.ndarray:
-        mean, phi, theta = parts(x)
         with np.errstate(all="ignore"):
             try:
-                squares, logs, _, _ = _filter(scaled[None] - mean[:, None], phi, theta)
+                _, squares, logs = concentrated(x)
             except np.linalg.LinAlgError:
                 return np.full(len(x), np.inf)
             out = 0.5 * (np.log(squares / n) + logs / n)
         return np.where(np.isfinite(out), out, np.inf)
 
-    k = p + q + constant
+    k = p + q
     x = np.zeros(k) if start is None or len(start) != k else np.asarray(start, float).copy()
     if start is None:
         x[: p + q] = 0.1
@@ -253,18 +263,14 @@ def fit_arima(values: np.ndarray, order: tuple[int, int, int], *, start: np.ndar
     if not np.isfinite(value):
         raise FitError("likelihood is not finite")
     if not converged:
-        # first with fresh curvature, which is cheap; then by the second optimiser, which needs values only
+        # first with fresh curvature, which is cheap; then by the second optimiser
         again = descend(x, iterations // 3)
         if again[1] <= value:
             x, value, converged = again
         if not converged:
-            found = descend(_simplex(loss, x, value, 40 * k)[0], iterations // 3)
-            # at the edge of what is invertible slopes say little: two searches that end in one value have found it
-            converged = found[1] <= value + 1e-7 and (found[2] or found[1] >= value - 1e-7)
-            if found[1] < value:
-                x, value = found[:2]
-    mean, phi, theta = parts(x[None])
-    squares, logs, _, _ = _filter(scaled[None] - mean[:, None], phi, theta)
-    variance = float(squares[0] / n)
-    loglik = -n / 2 * (np.log(2 * np.pi * variance) + 1) - logs[0] / 2 - n * np.log(spread)
-    return ArimaFit(order, float(centre + spread * mean[0]), phi[0], theta[0], variance * spread**2, float(loglik), bool(converged), n, x)
+            x, value, converged = _compass(loss, x, value, 20 + 5 * k)
+    mean, squares, logs = (float(v[0]) for v in concentrated(x[None]))
+    variance = squares / n
+    loglik = -n / 2 * (np.log(2 * np.pi * variance) + 1) - logs / 2 - n * np.log(spread)
+    phi, theta = _coefficients(x[None, :p])[0], -_coefficients(x[None, p:])[0]
+    return ArimaFit(order, float(centre + spread * mean), phi, theta, float(variance * spread**2), float(loglik), bool(converged), n, x)

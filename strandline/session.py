@@ -90,10 +90,11 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
     """Rows by key over a fixed number of tasks, for work that is long and data that is small.
 
     Partitions by key alone are merged by their bytes, which says nothing of
-    hours of fitting; a repartition with a number of its own is not.
+    hours of fitting; a repartition with a number of its own is not. Fits differ
+    a hundredfold in length, so there are many more tasks than cores.
     """
     spark = frame.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
     return frame.repartition(tasks, *keys)
 
 
