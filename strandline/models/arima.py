@@ -263,12 +263,15 @@ def fit_arima(values: np.ndarray, order: tuple[int, int, int], *, start: np.ndar
     if not np.isfinite(value):
         raise FitError("likelihood is not finite")
     if not converged:
-        # first with fresh curvature, which is cheap; then by the second optimiser
-        again = descend(x, iterations // 3)
-        if again[1] <= value:
-            x, value, converged = again
-        if not converged:
-            x, value, converged = _compass(loss, x, value, 20 + 5 * k)
+        # in turn: fresh curvature, which is cheap, and the second optimiser
+        for _ in range(3):
+            again = descend(x, iterations // 3)
+            if again[1] <= value:
+                x, value, converged = again
+            if not converged:
+                x, value, converged = _compass(loss, x, value, 10 + 3 * k)
+            if converged:
+                break
     mean, squares, logs = (float(v[0]) for v in concentrated(x[None]))
     variance = squares / n
     loglik = -n / 2 * (np.log(2 * np.pi * variance) + 1) - logs / 2 - n * np.log(spread)
