@@ -264,12 +264,12 @@ def fit_arima(values: np.ndarray, order: tuple[int, int, int], *, start: np.ndar
         raise FitError("likelihood is not finite")
     if not converged:
         # in turn: fresh curvature, which is cheap, and the second optimiser
-        for _ in range(3):
+        for _ in range(2):
             again = descend(x, iterations // 3)
             if again[1] <= value:
                 x, value, converged = again
             if not converged:
-                x, value, converged = _compass(loss, x, value, 10 + 3 * k)
+                x, value, converged = _compass(loss, x, value, 10 + 30 // k)
             if converged:
                 break
     mean, squares, logs = (float(v[0]) for v in concentrated(x[None]))
