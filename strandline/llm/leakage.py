@@ -29,7 +29,8 @@ Defined results
     items and documents each give their rows; a pair comes once. The first
     sentence of an item is a standing instruction, and no part of the passage,
     if ``standing`` or more items begin with it. Items shorter than ``least``
-    words cannot leak by the rule; ``unsearched_items`` lists them. Texts of any
+    words cannot leak by the rule; ``searched_items`` says which are searched
+    (``words``: of an item's longest stretch). Texts of any
     length are read whole. Empty tables give an empty result; further columns
     are ignored.
 """
@@ -163,12 +164,12 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return items.select("item_id", "words").mapInArrow(read, "seed bigint, item_id bigint")
 
 
-def unsearched_items(items: DataFrame, rule: LeakRule | None = None) -> DataFrame:
-    """(item_id, words): items whose words, without a standing instruction, are too few for any leak by the rule."""
+def searched_items(items: DataFrame, rule: LeakRule | None = None) -> DataFrame:
+    """(item_id, words, searched): words of each item without a standing instruction, and whether they are enough for a leak by the rule."""
     rule = rule or LeakRule()
     words = item_words(items.where("item_id is not null"), rule).groupBy("item_id").agg(F.max(F.aggregate("weights", F.lit(0), lambda a, x: a + x)).alias("words"))
     every = items.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id")).distinct()
-    return every.join(words, "item_id", "left").fillna(0, ["words"]).where(F.col("words") < rule.least)
+    return every.join(words, "item_id", "left").fillna(0, ["words"]).withColumn("searched", F.col("words") >= rule.least)
 
 
 def seed_filter(seeds: DataFrame, rule: LeakRule) -> np.ndarray:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.scalars import clean_ticker, is_finite
 from strandline.llm.langid import document_languages, label_findings, label_segments
-from strandline.llm.leakage import find_leaks, unsearched_items
+from strandline.llm.leakage import find_leaks, searched_items
 from strandline.llm.mixing import MixSettings, mix_documents, mix_report, token_table
 from strandline.llm.percentiles import BucketScale, combine, read_percentiles, sketch
 from strandline.llm.topn import cluster, prepared, skipping_report, top_n
@@ -92,9 +92,9 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
-def p6_unsearched(spark: SparkSession, folder: str) -> DataFrame:
-    """Evaluation items that are too short for any leak."""
-    return unsearched_items(table(spark, folder, "eval_items"))
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every evaluation item with its words and whether it is long enough to be searched."""
+    return searched_items(table(spark, folder, "eval_items"))
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,7 +138,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_skipping": p5_skipping,
     "p6_found": p6_found,
-    "p6_unsearched": p6_unsearched,
+    "p6_items": p6_items,
     "p7_shares": p7_shares,
     "p7_multinomial_shares": p7_multinomial_shares,
     "p7_documents": p7_documents,

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from strandline.llm.leakage import LeakRule, align, fewest_words, find_leaks, looked_up, salted_join, seed_filter, spaced_seeds, unsearched_items
+from strandline.llm.leakage import LeakRule, align, fewest_words, find_leaks, looked_up, salted_join, searched_items, seed_filter, spaced_seeds
 from strandline.llm.text import bare_words, readable
 
 WORDS = [f"{a}{b}{c}" for a in ("mor", "tel", "ban", "kur") for b in ("i", "e", "o") for c in ("ska", "lin", "dor", "mat", "pes")]
@@ -173,7 +173,7 @@ def test_salted_join_is_the_join(spark):
 def test_short_items_are_reported(spark):
     say = "Read this and answer."
     items = [(k, f"{say} " + " ".join(f"w{k}x{j}" for j in range(n))) for k, n in enumerate((40, 24, 23, 3))] + [(8, None), (9, "")]
-    got = {r.item_id: r.words for r in unsearched_items(spark.createDataFrame(items, ITEM)).collect()}
+    got = {r.item_id: r.words for r in searched_items(spark.createDataFrame(items, ITEM)).collect() if not r.searched}
     assert got == {2: 23, 3: 3, 8: 0, 9: 0}
 
 
